@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import profiles, tables_and_columns  # noqa: F401
+from . import encoders, learning, profiles, quality, roles, scores, tables_and_columns  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
