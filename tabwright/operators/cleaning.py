@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.columns import col, kinds, numeric_columns
+from ..functions.columns import col, count_where, kinds, numeric_columns
 from ..functions.sizing import slotted
 from .frequencies import modes, value_frequencies
 from .quantiles import exact_quantiles
@@ -58,7 +58,7 @@ def effective_roles(df: DataFrame, roles: Mapping[str, str], target: Target | No
 def fit_fills(df: DataFrame, roles: Mapping[str, str], target: Target | None = None) -> list[Fill]:
     """Missing counts in one aggregate, medians by exact selection, modes by one frequency pass."""
     folded, role = kinds(df), effective_roles(df, roles, target)
-    row = df.agg(*[F.count_if(col(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
+    row = df.agg(*[count_where(col(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
     holes = {c: row[f"m{i}"] for i, c in enumerate(df.columns) if row[f"m{i}"]}
     numeric = set(numeric_columns(df))
     by_median = [

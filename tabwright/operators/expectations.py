@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.columns import col, kinds, numeric_columns
+from ..functions.columns import col, count_where, kinds, numeric_columns
 from .frequencies import is_value, value_frequencies
 from .roles import Target
 
@@ -108,7 +108,7 @@ def run_suite(df: DataFrame, suite: Sequence[Expectation], compat: bool = False)
         if e.kind == fv.EXP_NOT_NULL:
             exprs[f"nn:{c}"] = F.count(col(c))
         elif e.kind == fv.EXP_IN_SET:
-            exprs[f"set:{c}"] = F.count_if(~col(c).isin(list(e.args["values"])))
+            exprs[f"set:{c}"] = count_where(~col(c).isin(list(e.args["values"])))
             exprs[f"nn:{c}"] = F.count(col(c))
         elif e.kind == fv.EXP_BETWEEN:
             low, high = e.args.get("min"), e.args.get("max")
@@ -116,7 +116,7 @@ def run_suite(df: DataFrame, suite: Sequence[Expectation], compat: bool = False)
                 ok = F.lit(True)
                 ok = ok & (col(c) >= F.lit(low)) if low is not None else ok
                 ok = ok & (col(c) <= F.lit(high)) if high is not None else ok
-                exprs[f"bt:{c}:{low}:{high}"] = F.count_if(ok)
+                exprs[f"bt:{c}:{low}:{high}"] = count_where(ok)
             exprs[f"nn:{c}"] = F.count(col(c))
     seen = df.agg(*[v.alias(k) for k, v in exprs.items()]).first().asDict()
 
@@ -126,10 +126,10 @@ def run_suite(df: DataFrame, suite: Sequence[Expectation], compat: bool = False)
         freq = value_frequencies(df, wanted)
         sets = [e for e in judged if e.kind == fv.EXP_DISTINCT_SET and e.column in folded and e.args["values"] is not None]
         extra = [
-            F.count_if(is_value() & (F.col("column_name") == e.column) & _set_test(df, e)).alias(f"m{i}")
+            count_where(is_value() & (F.col("column_name") == e.column) & _set_test(df, e)).alias(f"m{i}")
             for i, e in enumerate(sets)
         ]
-        for r in freq.groupBy("column_name").agg(F.count_if(is_value()).alias("n_unique"), *extra).collect():
+        for r in freq.groupBy("column_name").agg(count_where(is_value()).alias("n_unique"), *extra).collect():
             distinct[r["column_name"]] = r["n_unique"]
             for i, e in enumerate(sets):
                 if e.column == r["column_name"]:
@@ -184,7 +184,7 @@ def _judge(e: Expectation, df, folded, seen, distinct, members):
 
 def suite_statistics(results: DataFrame) -> DataFrame:
     """(evaluated, successful, unsuccessful, success_pct)."""
-    n, ok = F.count("*"), F.count_if("success")
+    n, ok = F.count("*"), count_where(F.col("success"))
     return results.agg(
         n.alias("evaluated"), ok.alias("successful"), (n - ok).alias("unsuccessful"),
         F.coalesce(ok * 100.0 / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("success_pct"),
@@ -193,7 +193,7 @@ def suite_statistics(results: DataFrame) -> DataFrame:
 
 def gate(results: DataFrame, threshold: float = fv.GATE_SUCCESS_RATE) -> DataFrame:
     """(evaluated, unsuccessful, success_rate, status, can_proceed)."""
-    n, ok = F.count("*"), F.count_if("success")
+    n, ok = F.count("*"), count_where(F.col("success"))
     rate = F.coalesce(ok / F.nullif(n, F.lit(0)), F.lit(0.0))
     table = results.agg(n.alias("evaluated"), (n - ok).alias("unsuccessful"), rate.alias("success_rate"))
     clean = (F.col("unsuccessful") == 0) & (F.col("evaluated") > 0)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.columns import col, kind_of
+from ..functions.columns import col, count_where, kind_of
 
 CELL = ("l", "d", "s")
 
@@ -78,7 +78,7 @@ def value_text(df: DataFrame) -> Column:
 def distinct_and_missing(freq: DataFrame) -> DataFrame:
     """(column_name, n_unique, n_missing, n_rows) from a frequency table."""
     return freq.groupBy("column_name").agg(
-        F.count_if(is_value()).alias("n_unique"),
+        count_where(is_value()).alias("n_unique"),
         F.sum(F.when(is_value(), 0).otherwise(F.col("n"))).alias("n_missing"),
         F.sum("n").alias("n_rows"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import col
+from ..functions.columns import col, count_where
 from ..functions.sizing import DRIVER_ROWS, rows_if_bounded, slotted
 
 
@@ -19,9 +19,9 @@ def classification_metrics(df: DataFrame, label: str, prediction: str, positive:
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg((col(label) == col(prediction)).cast("double")).alias("accuracy"),
-        F.count_if(y & p).alias("tp"),
-        F.count_if(~y & p).alias("fp"),
-        F.count_if(y & ~p).alias("fn"),
+        count_where(y & p).alias("tp"),
+        count_where(~y & p).alias("fp"),
+        count_where(y & ~p).alias("fn"),
     )
     none = F.lit(0.0)
     precision = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), none)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import col, kind_of, kinds, numeric_columns, preview_text, text_columns
-from .frequencies import distinct_and_missing, value_frequencies
+from ..functions.columns import col, count_where, kind_of, kinds, numeric_columns, text_columns
+from .frequencies import CELL, distinct_and_missing, is_value, value_frequencies, value_text
 from .quantiles import exact_quantiles
 
 
@@ -31,7 +31,7 @@ def per_column(
 
 
 def missing(c: str) -> Column:
-    return F.count_if(col(c).isNull())
+    return count_where(col(c).isNull())
 
 
 def profile_table(df: DataFrame) -> DataFrame:
@@ -66,18 +66,24 @@ def null_profile(df: DataFrame) -> DataFrame:
     return per_column(df, df.columns, {"missing": missing}).where(F.col("missing") > 0)
 
 
-def column_statistics(df: DataFrame) -> DataFrame:
+def column_statistics(df: DataFrame, samples: int = 3) -> DataFrame:
     """(column_name, dtype, n_unique, n_missing, missing_pct, samples).
 
-    Samples are the three smallest values, so the answer does not depend on
-    row order.  They come from the frequency table, not from sorting the data.
+    Samples are the smallest values, so the answer does not depend on row
+    order.  Counts and samples read the same shuffled frequency table; each
+    task passes on at most `samples` values per column.
     """
     folded = kinds(df)
     freq = value_frequencies(df)
     shape = distinct_and_missing(freq)
-    samples = smallest_values(df, 3)
+    # NULL sorts last instead of being filtered out: both readers then share one shuffle.
+    smallest = Window.partitionBy("column_name").orderBy((~is_value()).cast("int"), *CELL, "n")
+    first = freq.withColumn("rn", F.row_number().over(smallest)).where(F.col("rn") <= samples)
+    texts = F.array_sort(F.collect_list(F.when(is_value(), F.struct("rn", value_text(df).alias("t")))))
+    few = first.groupBy(F.col("column_name").alias("c")).agg(F.array_join(F.transform(texts, lambda x: x["t"]), "|").alias("samples"))
     types = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.lit(folded[c]))])
-    return shape.join(F.broadcast(samples), "column_name", "left").select(  # one row per column
+    # A null-safe key keeps Spark from filtering one reader, which would split the shuffle in two.
+    return shape.join(F.broadcast(few), F.col("column_name").eqNullSafe(F.col("c")), "left").select(  # one row per column
         "column_name",
         types[F.col("column_name")].alias("dtype"),
         "n_unique",
@@ -87,30 +93,6 @@ def column_statistics(df: DataFrame) -> DataFrame:
     )
 
 
-def smallest_values(df: DataFrame, n: int) -> DataFrame:
-    """(column_name, samples): the n smallest distinct values of each column as text.
-
-    The n-th smallest is the minimum above the (n-1)-th: n small aggregates
-    instead of one array holding every value.
-    """
-    folded = kinds(df)
-    floor_row: dict[str, object] = {}
-    picked: dict[str, list[str]] = {c: [] for c in df.columns}
-    for _ in range(n):
-        exprs = []
-        for i, c in enumerate(df.columns):
-            above = col(c) if c not in floor_row else F.when(col(c) > F.lit(floor_row[c]), col(c))
-            low = F.min(above)
-            exprs += [low.alias(f"v{i}"), preview_text(low, folded[c]).alias(f"t{i}")]
-        row = df.agg(*exprs).first()
-        for i, c in enumerate(df.columns):
-            if row[f"v{i}"] is not None:
-                floor_row[c] = row[f"v{i}"]
-                picked[c].append(row[f"t{i}"])
-    rows = [(c, "|".join(v)) for c, v in picked.items()]
-    return df.sparkSession.createDataFrame(rows, "column_name string, samples string")
-
-
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, count, mean, std, min, q25, median, q75, max) with exact quartiles."""
     columns = list(columns or numeric_columns(df))

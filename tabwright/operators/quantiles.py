@@ -1,156 +1,201 @@
 """Exact quantiles without holding a column in one task.
 
 `percentile` keeps every distinct value of a column in one aggregation buffer.
-Here an approximate pass brackets each wanted rank, and a counting pass keeps
-only the values inside the brackets (about 4 / ACCURACY of the rows) and the
-number of rows around them.  A bracket that still holds too much is narrowed
-again; one that missed its rank is widened.  The answer is exact either way.
+Here a sample brackets each wanted rank, one code-generated aggregate counts
+the rows below, at the ends of and inside every bracket, and only brackets that
+do not settle by those counts are looked into.  A bracket that holds too many
+rows is narrowed by a sample of its own rows; one that missed its rank is
+widened.  Samples decide only where to look: the answer is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
-from math import floor
+from dataclasses import dataclass, field
+from math import floor, inf, nextafter, sqrt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import col
-from ..functions.sizing import DRIVER_ROWS
+from ..functions.columns import col, count_where
 
+SAMPLE_ROWS = 100_000
+BRACKET_ROWS = 1_000_000
 ACCURACY = 10_000
+SIGMAS = 5.0
 
 
 @dataclass
 class _Bracket:
+    """An interval of one column that should hold the order statistics `ranks`."""
+
     column: str
-    prob: float
+    size: int
+    ranks: tuple[int, ...]
     low: float
     high: float
-    margin: float
-    slack: float = 2.0
+    ends: tuple[float, float]
+    slack: float = SIGMAS
+    base: int = 0           # rows below `low`
+    inside: int = 0
+    stuck: bool = False     # the last narrowing changed nothing
+    found: dict[int, float] = field(default_factory=dict)
 
+    @property
+    def open(self) -> list[int]:
+        return [k for k in dict.fromkeys(self.ranks) if k not in self.found]
 
-def _wanted(prob: float, n: int) -> tuple[int, int, float]:
-    position = prob * (n - 1)
-    first = floor(position)
-    return first, min(first + 1, n - 1), position - first
+    def test(self):
+        return (col(self.column) >= self.low) & (col(self.column) <= self.high)
 
 
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float],
-    driver_rows: int = DRIVER_ROWS,
-    accuracy: int = ACCURACY,
+    sample_rows: int = SAMPLE_ROWS,
+    bracket_rows: int = BRACKET_ROWS,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, as `percentile` defines them."""
     data = df.select(*[col(c).cast("double").alias(c) for c in columns])
-    margin = 2.0 / accuracy
-    spans = sorted({min(max(p + s * margin, 0.0), 1.0) for p in probs for s in (-1, 1)})
-    first = data.agg(
-        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(col(c), spans, accuracy).alias(f"p{i}") for i, c in enumerate(columns)],
-        *[F.min(col(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
-        *[F.max(col(c)).alias(f"hi{i}") for i, c in enumerate(columns)],
+    row = data.agg(
+        *[f(col(c)).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("n", F.count), ("a", F.min), ("b", F.max))]
     ).first()
-    size = {c: first[f"n{i}"] for i, c in enumerate(columns)}
-    ends = {c: (first[f"lo{i}"], first[f"hi{i}"]) for i, c in enumerate(columns)}
-    found: dict[tuple[str, float], float | None] = {(c, p): None for c in columns for p in probs}
-    todo: list[_Bracket] = []
+    size = {c: row[f"n{i}"] for i, c in enumerate(columns)}
+    first = {(c, p): floor(p * (size[c] - 1)) for c in columns if size[c] for p in probs}
+    ranks = {k: (v, min(v + 1, size[k[0]] - 1)) for k, v in first.items()}
+    todo = []
     for i, c in enumerate(columns):
         if not size[c]:
             continue
-        at = dict(zip(spans, first[f"p{i}"]))
-        for p in probs:
-            low = at[min(max(p - margin, 0.0), 1.0)] if p - margin > 0 else ends[c][0]
-            high = at[min(max(p + margin, 0.0), 1.0)] if p + margin < 1 else ends[c][1]
-            todo.append(_Bracket(c, p, low, high, margin))
-
-    while todo:
-        while large := [b for b in todo if b.low < b.high and size[b.column] * 2 * b.margin * len(todo) > driver_rows]:
-            _narrow(data, large, size, ends, accuracy)
-        todo = _settle(data, todo, size, ends, found)
-    return {c: [found[(c, p)] for p in probs] for c in columns}
-
-
-def _inside(b: _Bracket):
-    return (col(b.column) >= b.low) & (col(b.column) <= b.high)
-
+        ends = (row[f"a{i}"], row[f"b{i}"])
+        pairs = [ranks[(c, p)] for p in probs]
+        if size[c] <= min(sample_rows, bracket_rows):  # few rows: one bracket for all ranks
+            pairs = [tuple(sorted({k for pair in pairs for k in pair}))]
+        todo += [_Bracket(c, size[c], pair, *ends, ends, inside=size[c]) for pair in pairs]
+    brackets = list(todo)
+    for b in todo:
+        if b.low == b.high:
+            b.found = {k: b.low for k in b.ranks}
+    todo = [b for b in todo if b.open]
+    _select(data, [b for b in todo if b.inside <= min(sample_rows, bracket_rows)])
+    while todo := [b for b in todo if b.open]:
+        stuck = [b for b in todo if b.stuck]
+        _trim(data, stuck)
+        _narrow(data, [b for b in todo if not b.stuck], sample_rows)
+        _count(data, [b for b in todo if b.open])
+        _select(data, [b for b in todo if b.open and b.inside <= bracket_rows])
+
+    known = {(b.column, k): v for b in brackets for k, v in b.found.items()}
+
+    def value(c: str, p: float) -> float | None:
+        if not size[c]:
+            return None
+        low, high = ranks[(c, p)]
+        part = p * (size[c] - 1) - low
+        return known[(c, low)] * (1 - part) + known[(c, high)] * part
 
-def _reset(b: _Bracket, ends) -> None:
-    """The bracket missed its rank: start again from the whole range, with more slack."""
-    b.low, b.high = ends[b.column]
-    b.margin, b.slack = 0.5, b.slack * 2
+    return {c: [value(c, p) for p in probs] for c in columns}
 
 
-def _narrow(data, large, size, ends, accuracy) -> None:
-    """One more approximate pass inside each large bracket."""
-    counts = data.agg(
-        *[F.count_if(col(b.column) < b.low).alias(f"below{i}") for i, b in enumerate(large)],
-        *[F.count_if(_inside(b)).alias(f"in{i}") for i, b in enumerate(large)],
-    ).first()
-    targets, asks = [], []
-    for i, b in enumerate(large):
-        lower, upper, _ = _wanted(b.prob, size[b.column])
-        below, inside = counts[f"below{i}"], counts[f"in{i}"]
-        if lower < below or upper >= below + inside:
-            _reset(b, ends)
-            continue
-        step = b.slack / accuracy
-        start = max((lower - below) / inside - step, 0.0)
-        stop = min((upper - below + 1) / inside + step, 1.0)
-        targets.append((b, (stop - start) / 2 * inside / size[b.column], start <= 0.0, stop >= 1.0))
-        asks.append(F.percentile_approx(F.when(_inside(b), col(b.column)), [start, stop], accuracy).alias(f"p{len(asks)}"))
-    if not asks:
+def _narrow(data: DataFrame, brackets: list[_Bracket], sample_rows: int) -> None:
+    """Move each bracket around its ranks, by quantiles of a sample of its rows."""
+    if not brackets:
         return
-    row = data.agg(*asks).first()
-    for i, (b, margin, from_start, to_end) in enumerate(targets):
-        low, high = row[f"p{i}"]
-        low, high = (b.low if from_start else low), (b.high if to_end else high)
-        if (low, high) == (b.low, b.high):
-            b.margin = 0.0  # cannot get narrower: few distinct values
-        else:
-            b.low, b.high, b.margin = low, high, margin
-
-
-def _settle(data, todo, size, ends, found):
-    """Count values inside and rows around the brackets; return what is left to do."""
-    by_column: dict[str, list[list[float]]] = {}
-    for b in sorted(todo, key=lambda x: (x.low, x.high)):
-        merged = by_column.setdefault(b.column, [])
-        if merged and b.low <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b.high)
+    share = min(1.0, sample_rows / min(b.inside for b in brackets))
+    sample = data if share == 1.0 else data.sample(share, seed=17)
+    by_column: dict[tuple, list[float]] = {}
+    wanted = []
+    for b in brackets:
+        drawn = max(b.inside * share, 1.0)
+        step = b.slack * (sqrt(0.25 / drawn) if share < 1.0 else 0.0) + 2.0 / ACCURACY
+        start = max((b.ranks[0] - b.base) / b.inside - step, 0.0)
+        stop = min((b.ranks[-1] - b.base + 1) / b.inside + step, 1.0)
+        by_column.setdefault((b.column, b.low, b.high), []).extend([start, stop])
+        wanted.append((b, (b.column, b.low, b.high), start, stop))
+    keys = list(by_column)
+    exprs = []
+    for i, (c, low, high) in enumerate(keys):
+        x = F.when((col(c) >= low) & (col(c) <= high), col(c))
+        exprs.append(F.percentile_approx(x, by_column[(c, low, high)], ACCURACY).alias(f"p{i}"))
+    got = sample.agg(*exprs).first()
+    for b, key, start, stop in wanted:
+        values = got[f"p{keys.index(key)}"]
+        at = dict(zip(by_column[key], values or []))
+        low, high = (b.low if start <= 0 or not at else at[start]), (b.high if stop >= 1 or not at else at[stop])
+        b.stuck = (low, high) == (b.low, b.high)
+        b.low, b.high = low, high
+
+
+def _count(data: DataFrame, brackets: list[_Bracket]) -> None:
+    """Rows below and inside each bracket; a one-value bracket settles by them."""
+    if not brackets:
+        return
+    row = data.agg(*[
+        e for i, b in enumerate(brackets)
+        for e in (count_where(col(b.column) < b.low).alias(f"below{i}"), count_where(b.test()).alias(f"in{i}"))
+    ]).first()
+    for i, b in enumerate(brackets):
+        b.base, b.inside = row[f"below{i}"], row[f"in{i}"]
+        if any(not b.base <= k < b.base + b.inside for k in b.open):
+            b.low, b.high = b.ends  # the sample missed: start again with more slack
+            b.base, b.inside, b.slack, b.stuck = 0, b.size, b.slack * 4, False
+        elif b.low == b.high:
+            b.found |= {k: b.low for k in b.open}
+
+
+def _trim(data: DataFrame, brackets: list[_Bracket]) -> None:
+    """Cut heavy end values off brackets that no sample can narrow."""
+    if not brackets:
+        return
+    row = data.agg(*[
+        e for i, b in enumerate(brackets)
+        for e in (count_where(col(b.column) == b.low).alias(f"low{i}"), count_where(col(b.column) == b.high).alias(f"high{i}"))
+    ]).first()
+    for i, b in enumerate(brackets):
+        for k in b.open:
+            if k < b.base + row[f"low{i}"]:
+                b.found[k] = b.low
+            elif k >= b.base + b.inside - row[f"high{i}"]:
+                b.found[k] = b.high
+        b.ranks = tuple(b.open) or b.ranks
+        b.low, b.high, b.stuck = nextafter(b.low, inf), nextafter(b.high, -inf), False
+
+
+def _select(data: DataFrame, brackets: list[_Bracket]) -> None:
+    """Order statistics inside brackets of bounded size."""
+    if not brackets:
+        return
+    spans: list[list] = []  # disjoint [column, low, high, base, ranks]
+    for b in sorted(brackets, key=lambda b: (b.column, b.low, b.high)):
+        if spans and spans[-1][0] == b.column and b.low <= spans[-1][2]:
+            spans[-1][2] = max(spans[-1][2], b.high)
+            spans[-1][4] |= set(b.open)
         else:
-            merged.append([b.low, b.high])
-    parts = []
-    for c, intervals in by_column.items():
-        # Even zones lie between brackets and keep no value; odd zones are brackets.
-        zone = F.lit(2 * len(intervals))
-        for i, (low, high) in reversed(list(enumerate(intervals))):
-            zone = F.when(col(c) < low, 2 * i).when(col(c) <= high, 2 * i + 1).otherwise(zone)
-        zone = F.when(col(c).isNotNull(), zone)
-        parts += [F.lit(c), zone, F.when(zone % 2 == 1, col(c))]
-    rows = (
-        data.select(F.stack(F.lit(len(by_column)), *parts).alias("c", "zone", "v"))
-        .where(F.col("zone").isNotNull())
-        .groupBy("c", "zone", "v")
+            spans.append([b.column, b.low, b.high, b.base, set(b.open)])
+    hits, parts = F.lit(False), []
+    names = dict.fromkeys(s[0] for s in spans)
+    for c in names:
+        number = F.lit(None).cast("int")
+        for i, (name, low, high, _, _) in enumerate(spans):
+            if name == c:
+                here = (col(c) >= low) & (col(c) <= high)
+                hits, number = hits | here, F.when(here, i).otherwise(number)
+        parts += [number, col(c)]
+    counts = (
+        data.where(hits)
+        .select(F.stack(F.lit(len(names)), *parts).alias("span", "v"))
+        .where(F.col("span").isNotNull())
+        .groupBy("span", "v")
         .agg(F.count("*").alias("n"))
-        .collect()
     )
-    left = []
-    for b in todo:
-        mine = sorted((r for r in rows if r["c"] == b.column), key=lambda r: (r["zone"], r["v"] or 0.0))
-        lower, upper, fraction = _wanted(b.prob, size[b.column])
-        picked, seen = {}, 0
-        for r in mine:
-            for rank in (lower, upper):
-                if seen <= rank < seen + r["n"] and r["v"] is not None:
-                    picked[rank] = r["v"]
-            seen += r["n"]
-        if lower in picked and upper in picked:
-            found[(b.column, b.prob)] = picked[lower] * (1 - fraction) + picked[upper] * fraction
-        else:
-            _reset(b, ends)
-            left.append(b)
-    return left
+    upto = F.sum("n").over(Window.partitionBy("span").orderBy("v"))
+    placed = counts.withColumn("stop", upto).withColumn("start", F.col("stop") - F.col("n"))
+    ranks = F.array(*[F.array(*[F.lit(k - s[3]) for k in sorted(s[4])]) for s in spans])
+    wanted = placed.where(F.exists(ranks[F.col("span")], lambda k: (F.col("start") <= k) & (k < F.col("stop"))))
+    for r in wanted.collect():  # at most one row per rank
+        c, _, _, base, open_ = spans[r["span"]]
+        for k in open_:
+            if r["start"] <= k - base < r["stop"]:
+                for b in brackets:
+                    if b.column == c and k in b.ranks:
+                        b.found[k] = r["v"]

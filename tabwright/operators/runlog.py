@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.columns import col
+from ..functions.columns import col, count_where
 
 
 def _lookup(stage: Column, default: int) -> Column:
@@ -68,8 +68,8 @@ def run_metric_summary(log: DataFrame, value: str = "value") -> DataFrame:
     v, stage = col(value), F.col("stage")
     return log.groupBy("run_id").agg(
         F.count("*").alias("events"),
-        F.count_if(F.col("status") == "failed").alias("errors"),
-        (F.count_if((stage == "validation") & (v >= 50)) * 100.0 / F.nullif(F.count_if(stage == "validation"), F.lit(0))).alias("validation_pct"),
+        count_where(F.col("status") == "failed").alias("errors"),
+        (count_where((stage == "validation") & (v >= 50)) * 100.0 / F.nullif(count_where(stage == "validation"), F.lit(0))).alias("validation_pct"),
         F.sum(F.when(stage == "prep", v)).alias("rows_changed"),
         F.max(F.when(stage == "automl", v)).alias("best_metric"),
     )

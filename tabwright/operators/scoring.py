@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.columns import col, kinds, safe_number
+from ..functions.columns import col, count_where, kinds, safe_number
 
 
 def column_set_diff(df: DataFrame, expected: Sequence[str], target: str | None = None) -> list[str]:
@@ -76,7 +76,7 @@ def prediction_summary(df: DataFrame, prediction: str, task: str) -> DataFrame:
     if task == "classification":
         return df.groupBy(p.cast("string").alias("prediction_class")).agg(F.count("*").alias("n"))
     return df.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(p.isNull()).alias("missing"),
+        F.count(F.lit(1)).alias("n"), count_where(p.isNull()).alias("missing"),
         F.min(p).alias("min"), F.max(p).alias("max"), F.avg(p).alias("mean"), F.stddev_samp(p).alias("std"),
     )
 
@@ -85,7 +85,7 @@ def batch_summary(df: DataFrame, prediction: str) -> DataFrame:
     """(total, successful, failed, min, max, mean, std) with the population std."""
     p = col(prediction)
     return df.agg(
-        F.count(F.lit(1)).alias("total"), F.count(p).alias("successful"), F.count_if(p.isNull()).alias("failed"),
+        F.count(F.lit(1)).alias("total"), F.count(p).alias("successful"), count_where(p.isNull()).alias("failed"),
         F.min(p).alias("min"), F.max(p).alias("max"), F.avg(p).alias("mean"), F.stddev_pop(p).alias("std"),
     )
 

@@ -147,7 +147,11 @@ def compare_models(
     models = models or candidates(task, classes, len(features))
     models = {m: e for m, e in models.items() if m not in exclude}
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    table = assembler.transform(data.withColumn("__fold", _fold(keys, folds))).select(target, "__fold", "features").cache()
+    shaped = assembler.transform(data.withColumn("__fold", _fold(keys, folds)))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if shaped.rdd.getNumPartitions() < cores:  # fits are iterative: use every core each time
+        shaped = shaped.repartition(cores, *[col(k) for k in keys])
+    table = shaped.select(target, "__fold", "features").cache()
 
     def one(job: tuple[str, int]):
         name, k = job

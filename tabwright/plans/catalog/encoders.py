@@ -153,10 +153,10 @@ def interaction_features(spark, d):
     return E.interaction_features(o, "o_totalprice", "o_orderpriority").drop("o_totalprice", "o_orderpriority")
 
 
-@query("target_mean_encode", f"""SELECT o_orderkey, o_custkey, {r('avg(o_totalprice) OVER (PARTITION BY o_custkey)', 4)} AS mean_price FROM orders""")
+@query("target_mean_encode", f"""SELECT o_orderkey, o_custkey, {r('avg(o_totalprice) OVER (PARTITION BY o_custkey)', 7)} AS mean_price FROM orders""")
 def target_mean_encode(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return rounded(E.target_mean_encode(o, "o_custkey", "o_totalprice", "mean_price").drop("o_totalprice"), 4)
+    return rounded(E.target_mean_encode(o, "o_custkey", "o_totalprice", "mean_price").drop("o_totalprice"), 7)
 
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")

@@ -57,11 +57,11 @@ def batch_error_rows(spark, d):
     return checked.select("c_custkey", "error", value.alias("prediction"))
 
 
-@query("prediction_interval", f"""WITH {SCORED_SQL} SELECT l_orderkey, l_linenumber, {r('prediction', 3)} AS prediction, {r(f'prediction - {Z!r} * abs(prediction) * 0.1', 3)} AS lower_bound,
-    {r(f'prediction + {Z!r} * abs(prediction) * 0.1', 3)} AS upper_bound, CAST(0.95 AS DOUBLE) AS confidence_level, {r('abs(prediction) * 0.1', 3)} AS std_error FROM p""")
+@query("prediction_interval", f"""WITH {SCORED_SQL} SELECT l_orderkey, l_linenumber, {r('prediction', 6)} AS prediction, {r(f'prediction - {Z!r} * abs(prediction) * 0.1', 6)} AS lower_bound,
+    {r(f'prediction + {Z!r} * abs(prediction) * 0.1', 6)} AS upper_bound, CAST(0.95 AS DOUBLE) AS confidence_level, {r('abs(prediction) * 0.1', 6)} AS std_error FROM p""")
 def prediction_interval(spark, d):
     p = scored(spark, d).select(*KEYS, "prediction")
-    return rounded(S.prediction_interval(p, "prediction"), 3)
+    return rounded(S.prediction_interval(p, "prediction"), 6)
 
 
 WEIGHTS = {"l_quantity": 37.5, "l_extendedprice": 0.9, "l_discount": -1000.0, "l_tax": 0.0}
@@ -246,8 +246,8 @@ STAGE_OF = "CASE event_type WHEN 'signup' THEN 'ingest' WHEN 'view' THEN 'schema
 STATUS_OF = "CASE WHEN event_type = 'error' AND value > 100 THEN 'failed' WHEN value > 300 THEN 'completed' WHEN value > 50 THEN 'running' ELSE 'pending' END"
 LOG_EXPRS = ["CONCAT('run-', user_id) AS run_id", "ts", "event_id", "value", f"{STAGE_OF} AS stage", f"{STATUS_OF} AS status"]
 LOG_SQL = f"log AS (SELECT {', '.join(LOG_EXPRS)} FROM events)"
-LATEST_SQL = f"""{LOG_SQL}, latest AS (SELECT run_id, stage, status, n_events FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) AS at,
-    count(*) OVER (PARTITION BY run_id) AS n_events FROM log) WHERE at = 1)"""
+LATEST_SQL = f"""{LOG_SQL}, latest AS (SELECT run_id, stage, status, n_events FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id DESC) AS rn,
+    count(*) OVER (PARTITION BY run_id) AS n_events FROM log) WHERE rn = 1)"""
 PROGRESS = "CASE stage WHEN 'ingest' THEN 0 WHEN 'schema' THEN 10 WHEN 'validation' THEN 30 WHEN 'prep' THEN 50 WHEN 'automl' THEN 70 WHEN 'explain' THEN 90 END"
 
 
