@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import col, count_where
@@ -30,35 +33,22 @@ def classification_metrics(df: DataFrame, label: str, prediction: str, positive:
     return row.select("n", "accuracy", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
-def macro_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Accuracy with class-weighted precision, recall and F1 for any number of classes."""
-    cells = confusion_matrix(df, label, prediction)
-    sides = cells.select(
-        F.stack(
-            F.lit(2), F.col("label").cast("string"), F.lit(1), F.lit(0),
-            F.col("prediction").cast("string"), F.lit(0), F.lit(1),
-        ).alias("c", "is_label", "is_pred"),
-        F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0)).alias("hit"),
-        "n",
-    )
-    per_class = sides.groupBy("c").agg(
-        F.sum(F.col("n") * F.col("is_label")).alias("support"),
-        F.sum(F.col("n") * F.col("is_pred")).alias("predicted"),
-        F.sum(F.col("hit") * F.col("is_label")).alias("hits"),
-    )
-    none = F.lit(0.0)
-    p = F.coalesce(F.try_divide(F.col("hits"), F.col("predicted")), none)
-    r = F.coalesce(F.try_divide(F.col("hits"), F.col("support")), none)
-    f = F.coalesce(F.try_divide(2.0 * F.col("hits"), F.col("predicted") + F.col("support")), none)
-    w = F.col("support") / F.sum("support")
-    total = F.sum("support")
-    return per_class.agg(
-        total.alias("n"),
-        (F.sum("hits") / total).alias("accuracy"),
-        (F.sum(F.col("support") * p) / total).alias("precision"),
-        (F.sum(F.col("support") * r) / total).alias("recall"),
-        (F.sum(F.col("support") * f) / total).alias("f1"),
-    )
+def weighted_metrics(cells: Iterable[tuple[int, int, int]]) -> dict[str, float]:
+    """Accuracy and support-weighted precision, recall and F1 of a confusion matrix."""
+    support, predicted, hits = Counter(), Counter(), Counter()
+    for label, guess, n in cells:
+        support[label] += n
+        predicted[guess] += n
+        if label == guess:
+            hits[label] += n
+    total = sum(support.values())
+    share = lambda part: sum(support[c] * part(c) for c in support) / total
+    return {
+        "accuracy": sum(hits.values()) / total,
+        "precision": share(lambda c: hits[c] / predicted[c] if predicted[c] else 0.0),
+        "recall": share(lambda c: hits[c] / support[c]),
+        "f1": share(lambda c: 2 * hits[c] / (predicted[c] + support[c])),
+    }
 
 
 def auc(df: DataFrame, label: str, score: str, positive: object = 1) -> DataFrame:

@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import col, kinds
-from .metrics import macro_metrics, regression_metrics
+from .metrics import confusion_matrix, regression_metrics, weighted_metrics
 
 CLASSIFICATION_METRICS = ("accuracy", "auc", "f1", "precision", "recall")
 REGRESSION_METRICS = ("r2", "rmse", "mae", "mape")
+ROWS_PER_TASK = 50_000
 
 
 def training_input_checks(df: DataFrame, target: str, task: str) -> DataFrame:
@@ -112,14 +113,14 @@ def as_pipeline(model: Estimator, features: Sequence[str], target: str, stages:
     return Pipeline(stages=[*stages, assembler, model.copy().setLabelCol(target).setFeaturesCol("features")])
 
 
-def _scores(predicted: DataFrame, target: str, task: str) -> dict[str, float]:
+def _scores(predicted: DataFrame, target: str, task: str, classes: int) -> dict[str, float]:
     if task == "regression":
         row = regression_metrics(predicted, target, "prediction").first()
         return {m: row[m] for m in REGRESSION_METRICS}
-    row = macro_metrics(predicted.withColumn("__y", col(target).cast("double")), "__y", "prediction").first()
-    out = {m: row[m] for m in ("accuracy", "f1", "precision", "recall")}
-    binary = "rawPrediction" in predicted.columns and predicted.agg(F.max(col(target))).first()[0] <= 1
-    out["auc"] = BinaryClassificationEvaluator(labelCol=target).evaluate(predicted) if binary else None
+    cells = confusion_matrix(predicted, target, "prediction").collect()  # at most classes squared rows
+    out = weighted_metrics([(int(r["label"]), int(r["prediction"]), r["n"]) for r in cells])
+    scored = classes == 2 and "rawPrediction" in predicted.columns
+    out["auc"] = BinaryClassificationEvaluator(labelCol=target).evaluate(predicted) if scored else None
     return out
 
 
@@ -149,15 +150,16 @@ def compare_models(
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     shaped = assembler.transform(data.withColumn("__fold", _fold(keys, folds)))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if shaped.rdd.getNumPartitions() < cores:  # fits are iterative: use every core each time
-        shaped = shaped.repartition(cores, *[col(k) for k in keys])
+    useful = min(cores, rows // ROWS_PER_TASK + 1)
+    if shaped.rdd.getNumPartitions() < useful:  # fits are iterative: use every core each time
+        shaped = shaped.repartition(useful, *[col(k) for k in keys])
     table = shaped.select(target, "__fold", "features").cache()
 
     def one(job: tuple[str, int]):
         name, k = job
         try:
             fitted = models[name].copy().setLabelCol(target).fit(table.where(F.col("__fold") != k))
-            return name, _scores(fitted.transform(table.where(F.col("__fold") == k)), target, task)
+            return name, _scores(fitted.transform(table.where(F.col("__fold") == k)), target, task, classes)
         except Exception as problem:  # a candidate that cannot learn this table is left out
             return name, str(problem)
 
