@@ -136,18 +136,14 @@ def fill_from_neighbours(df: DataFrame, column: str, order: Sequence[str]) -> Da
     carried = edges.select(
         "__slot",
         F.last("last", ignorenulls=True).over(before).alias("__before"),
-        F.first("first", ignorenulls=True).over(after).alias("__after"),
+        F.coalesce("first", F.first("first", ignorenulls=True).over(after)).alias("__next"),
     )
     inside = Window.partitionBy("__slot").orderBy(*[col(c) for c in order])
     back = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     placeholder = F.lit(fv.MISSING_DATE).cast(df.schema[column].dataType)
+    # A row with nothing before it lies ahead of its range's first value, so that value is the next one.
     value = F.coalesce(
-        F.last(col(column), ignorenulls=True).over(back),
-        F.col("__before"),
-        F.first(col(column), ignorenulls=True).over(ahead),
-        F.col("__after"),
-        placeholder,
+        F.last(col(column), ignorenulls=True).over(back), F.col("__before"), F.col("__next"), placeholder
     )
     filled = ranged.join(F.broadcast(carried), "__slot").withColumn(column, value)  # one row per range
     return filled.select(*[col(c) for c in df.columns])

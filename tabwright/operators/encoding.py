@@ -16,7 +16,7 @@ from pyspark.ml.feature import SQLTransformer, StopWordsRemover
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.columns import TOKEN_PATTERN, col, kinds, quoted, tokens
+from ..functions.columns import TOKEN_PATTERN, col, count_where, kinds, quoted, tokens
 from ..functions.sizing import DRIVER_ROWS, lookup, rows_if_bounded
 from .frequencies import is_value, value_frequencies, value_text
 from .importance import label_codes
@@ -119,21 +119,22 @@ def english_stop_words() -> list[str]:
 def fit_tfidf(df: DataFrame, column: str, terms: int = fv.TFIDF_TERMS, stop_words: Sequence[str] | None = None) -> Step:
     """The most frequent terms (ties by term) and their smooth idf.
 
-    Corpus counts are one map-side combined shuffle by term; document counts of
-    the chosen terms are plain sums.
+    The text is cut once: every token is emitted for its corpus count and every
+    distinct token of a row for its row count.  Both add up map-side, so the
+    shuffle carries terms, not tokens.
     """
     stop = list(stop_words) if stop_words is not None else english_stop_words()
-    words = df.select(F.explode(tokens(col(column))).alias("term")).where(~F.col("term").isin(stop))
-    top = words.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(terms)
-    vocabulary = sorted(r["term"] for r in top.collect())
-    if not vocabulary:
-        return Step(column, "tfidf", {"terms": [], "idf": []})
-    per_row = df.select(F.explode(F.array_distinct(tokens(col(column)))).alias("term"))
-    seen = per_row.where(F.col("term").isin(vocabulary)).groupBy("term").agg(F.count("*").alias("d")).collect()
-    in_rows = {r["term"]: r["d"] for r in seen}
+    cut = df.select(tokens(col(column)).alias("t"))
+    words = cut.select(F.posexplode(F.array("t", F.array_distinct("t"))).alias("distinct", "t")).select(
+        "distinct", F.explode("t").alias("term")
+    )
+    counts = words.where(~F.col("term").isin(stop)).groupBy("term").agg(
+        count_where(F.col("distinct") == 0).alias("n"), count_where(F.col("distinct") == 1).alias("d")
+    )
+    top = sorted(counts.orderBy(F.desc("n"), "term").limit(terms).collect(), key=lambda r: r["term"])
     n = df.count()
-    idf = [log((1 + n) / (1 + in_rows[w])) + 1 for w in vocabulary]
-    return Step(column, "tfidf", {"terms": vocabulary, "idf": idf})
+    idf = [log((1 + n) / (1 + r["d"])) + 1 for r in top]
+    return Step(column, "tfidf", {"terms": [r["term"] for r in top], "idf": idf})
 
 
 def tfidf(df: DataFrame, column: str, **kw) -> DataFrame:
