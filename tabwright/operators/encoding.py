@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import TOKEN_PATTERN, col, count_where, kinds, quoted, tokens
-from ..functions.sizing import DRIVER_ROWS, lookup, rows_if_bounded
+from ..functions.sizing import lookup, rows_if_bounded
 from .frequencies import is_value, value_frequencies, value_text
 from .importance import label_codes
 from .roles import Target
@@ -177,15 +177,15 @@ def encoder_comparison(df: DataFrame, category: str, target: str) -> DataFrame:
     Both correlations depend only on (count, sum) per category, so rows are
     never encoded.
     """
+    known = df.where(col(category).isNotNull())
     y = col(target).cast("double")
-    row = df.where(col(category).isNotNull()).agg(F.avg(y).alias("m"), F.stddev_pop(y).alias("s")).first()
+    row = known.agg(F.count(y).alias("n"), F.avg(y).alias("m"), F.stddev_pop(y).alias("s")).first()
     z = (y - F.lit(row["m"])) / F.lit(row["s"] or 1.0)
-    groups = df.where(col(category).isNotNull()).groupBy(col(category)).agg(F.count(y).alias("n"), F.avg(z).alias("g"))
-    total = groups.agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("g") * F.col("g")).alias("between"))
-    share = F.col("n") / F.col("total")
+    groups = known.groupBy(col(category)).agg(F.count(y).alias("n"), F.avg(z).alias("g"))
+    share = F.col("n") / F.lit(row["n"])
     level = F.abs(share * F.col("g")) / F.sqrt(share * (1 - share))
-    best = groups.join(F.broadcast(total)).agg(  # one row
-        F.max(F.sqrt(F.col("between") / F.col("total"))).alias("target_encoding_r"), F.max(level).alias("best_one_hot_r")
+    best = groups.agg(
+        F.sqrt(F.sum(share * F.col("g") * F.col("g"))).alias("target_encoding_r"), F.max(level).alias("best_one_hot_r")
     )
     return best.withColumn("ratio", F.col("target_encoding_r") / F.col("best_one_hot_r"))
 
@@ -206,7 +206,7 @@ def fit_target(df: DataFrame, target: Target) -> Step:
         if (row["a"], row["b"]) in ((0, 1), (0.0, 1.0)):
             return Step(c, "to_int")
         return Step(c, "labels", {"levels": [_as_text(row["a"]), _as_text(row["b"])]})
-    return Step(c, "labels", {"levels": levels_of(df, [c], limit=DRIVER_ROWS)[c]})
+    return Step(c, "labels", {"levels": levels_of(df, [c])[c]})
 
 
 def _as_text(v) -> str:
@@ -240,9 +240,7 @@ class Encoder:
                     for v in s.state["levels"]
                 ]
             elif s.kind in ("ordinal", "labels"):
-                text = self._shown(q, types[c])
-                pairs = ", ".join(f"{text_literal(v)}, {i}" for i, v in enumerate(s.state["levels"]))
-                code = f"element_at(map({pairs}), {text})" if pairs else "CAST(NULL AS INT)"
+                code = self._position(self._shown(q, types[c]), s.state["levels"])
                 out.append(f"{f'coalesce({code}, -1)' if s.kind == 'ordinal' else code} AS {q}")
             elif s.kind == "to_int":
                 out.append(f"CAST({q} AS INT) AS {q}")
@@ -279,6 +277,19 @@ class Encoder:
             return f"CASE WHEN {q} = floor({q}) THEN CAST(CAST({q} AS BIGINT) AS STRING) ELSE CAST({q} AS STRING) END"
         return f"date_format({q}, 'yyyy-MM-dd HH:mm:ss')" if kind == "datetime" else f"CAST({q} AS STRING)"
 
+    @staticmethod
+    def _position(text: str, levels: Sequence[str]) -> str:
+        """Position of a value among the levels, by halving: few comparisons for many levels."""
+        pairs = sorted((v, i) for i, v in enumerate(levels))
+
+        def pick(part) -> str:
+            if len(part) <= 4:
+                return "CASE " + " ".join(f"WHEN {text} = {text_literal(v)} THEN {i}" for v, i in part) + " END"
+            half = len(part) // 2
+            return f"CASE WHEN {text} < {text_literal(part[half][0])} THEN {pick(part[:half])} ELSE {pick(part[half:])} END"
+
+        return pick(pairs) if pairs else "CAST(NULL AS INT)"
+
     @staticmethod
     def _word_flag(q: str, s: Step) -> str:
         text = f"CAST({q} AS STRING)"

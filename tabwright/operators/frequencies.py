@@ -97,11 +97,9 @@ def modes(freq: DataFrame) -> DataFrame:
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n, pct) of one column, NULL excluded, pct of the non-null rows."""
+    total = df.agg(F.count(col(column))).first()[0]
     counts = df.where(col(column).isNotNull()).groupBy(col(column).alias("value")).agg(F.count("*").alias("n"))
-    total = df.agg(F.count(col(column)).alias("total"))
-    return counts.join(F.broadcast(total)).select(  # one row
-        "value", "n", (F.col("n") * 100.0 / F.col("total")).alias("pct")
-    )
+    return counts.select("value", "n", (F.col("n") * 100.0 / F.lit(total)).alias("pct"))
 
 
 def class_balance(df: DataFrame, column: str) -> DataFrame:

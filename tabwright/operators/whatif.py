@@ -25,30 +25,44 @@ def scenarios(df: DataFrame, changes: Mapping[str, Mapping[str, Column]]) -> Dat
     return df.select(*[col(c) for c in rest], F.inline(F.array(*parts)))
 
 
-def scenario_compare(df: DataFrame, base: Sequence[str], prediction: str) -> DataFrame:
-    """(base, n, std, range, cv, ranking) over the scenarios of each base row; best first."""
+def scenario_compare(df: DataFrame, base: Sequence[str], prediction: str, names: Sequence[str]) -> DataFrame:
+    """(base, n, std, range, cv, ranking) over the scenarios of each base row; best first.
+
+    One buffer slot per scenario name: nothing is collected, so a base key that
+    holds many rows combines map-side like any other.
+    """
     p = col(prediction)
-    ranked = F.array_sort(F.collect_list(F.struct((-p).alias("order"), F.col("scenario"))))
-    return df.groupBy(*[col(b) for b in base]).agg(
+    slots = {f"__p{i}": F.max(F.when(F.col("scenario") == name, p)) for i, name in enumerate(names)}
+    table = df.groupBy(*[col(b) for b in base]).agg(
         F.count("*").alias("n"),
         F.stddev_pop(p).alias("std"),
         (F.max(p) - F.min(p)).alias("range"),
         F.coalesce(F.stddev_pop(p) / F.nullif(F.avg(p), F.lit(0.0)), F.lit(0.0)).alias("cv"),
-        F.array_join(F.transform(ranked, lambda s: s["scenario"]), ">").alias("ranking"),
+        *[e.alias(k) for k, e in slots.items()],
     )
+    pairs = F.array(*[F.struct((-F.col(k)).alias("order"), F.lit(name).alias("name")) for k, name in zip(slots, names)])
+    ranked = F.array_sort(F.filter(pairs, lambda s: s["order"].isNotNull()))
+    ranking = F.array_join(F.transform(ranked, lambda s: s["name"]), ">")
+    return table.withColumn("ranking", ranking).drop(*slots)
 
 
-def scenario_pair_diff(df: DataFrame, base: Sequence[str], inputs: Sequence[str]) -> DataFrame:
-    """(base, scenario, differences): inputs that differ from scenario 0 of the same base row."""
-    first = F.struct(*[col(c) for c in inputs])
-    groups = df.groupBy(*[col(b) for b in base]).agg(
-        F.max(F.when(F.col("scenario_no") == 0, first)).alias("f"),
-        F.collect_list(F.struct("scenario_no", "scenario", *[col(c) for c in inputs])).alias("all"),
+def scenario_pair_diff(df: DataFrame, base: Sequence[str], inputs: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """(base, scenario, differences): inputs that differ from the first scenario of the same base row."""
+    given = F.struct(*[col(c) for c in inputs])
+    table = df.groupBy(*[col(b) for b in base]).agg(
+        *[F.max(F.when(F.col("scenario") == name, given)).alias(f"__s{i}") for i, name in enumerate(names)]
     )
-    each = groups.select(*[col(b) for b in base], "f", F.inline("all")).where("scenario_no > 0")
-    shown = lambda c: F.concat(F.lit(f"{c}: "), col(c).cast("string"), F.lit(" vs "), F.col("f")[c].cast("string"))
-    diffs = [F.when(~col(c).eqNullSafe(F.col("f")[c]), shown(c)) for c in inputs]
-    return each.select(*[col(b) for b in base], "scenario", F.concat_ws("; ", *diffs).alias("differences"))
+
+    def differences(i: int) -> Column:
+        now, first = F.col(f"__s{i}"), F.col("__s0")
+        shown = lambda c: F.concat(F.lit(f"{c}: "), now[c].cast("string"), F.lit(" vs "), first[c].cast("string"))
+        return F.concat_ws("; ", *[F.when(~now[c].eqNullSafe(first[c]), shown(c)) for c in inputs])
+
+    rows = [
+        F.struct(F.lit(name).alias("scenario"), F.when(F.col(f"__s{i}").isNotNull(), differences(i)).alias("differences"))
+        for i, name in enumerate(names) if i
+    ]
+    return table.select(*[col(b) for b in base], F.inline(F.array(*rows))).where(F.col("differences").isNotNull())
 
 
 def sweep(df: DataFrame, feature: str, grid: Sequence[float]) -> DataFrame:
@@ -62,20 +76,27 @@ def sensitivity_sweep(model: PipelineModel, df: DataFrame, keys: Sequence[str],
     return model.transform(sweep(df, feature, grid)).select(*[col(k) for k in keys], "grid_value", "prediction")
 
 
-def sweep_monotonicity(swept: DataFrame, keys: Sequence[str], prediction: str = "prediction") -> DataFrame:
+def sweep_monotonicity(
+    swept: DataFrame, keys: Sequence[str], grid: Sequence[float], prediction: str = "prediction"
+) -> DataFrame:
     """(keys, rising_pct, range_pct, r) per base row.
 
-    A base row has as many points as the grid; pairs are counted inside its
-    array and never become rows.
+    One buffer slot per grid value; pairs of grid values are compared inside
+    the row and never become rows.
     """
+    grid = sorted(float(g) for g in grid)
     g, p = F.col("grid_value"), col(prediction)
     points = swept.groupBy(*[col(k) for k in keys]).agg(
-        F.array_sort(F.collect_list(F.struct(g.alias("g"), p.alias("p")))).alias("pts"),
+        *[F.avg(F.when(g == v, p)).alias(f"__g{i}") for i, v in enumerate(grid)],
         ((F.max(p) - F.min(p)) / F.nullif(F.avg(p), F.lit(0.0)) * 100.0).alias("range_pct"),
         F.when(F.stddev_pop(p) > 0, F.corr(g, p)).alias("r"),
     )
-    later = lambda x: F.size(F.filter(F.col("pts"), lambda y: (y["g"] > x["g"]) & (y["p"] > x["p"])))
-    all_later = lambda x: F.size(F.filter(F.col("pts"), lambda y: y["g"] > x["g"]))
-    total = lambda f: F.aggregate(F.transform(F.col("pts"), f), F.lit(0), lambda a, x: a + x)
-    rising = F.try_divide(total(later) * 100.0, total(all_later))
-    return points.select(*[col(k) for k in keys], rising.alias("rising_pct"), "range_pct", "r")
+    line = F.array(*[F.col(f"__g{i}") for i in range(len(grid))])
+    after = lambda i: F.slice("__line", i + 2, len(grid))
+    rises = F.aggregate(
+        F.transform(F.col("__line"), lambda x, i: F.size(F.filter(after(i), lambda y: y > x))), F.lit(0), lambda a, x: a + x
+    )
+    pairs = len(grid) * (len(grid) - 1) // 2
+    return points.withColumn("__line", line).select(
+        *[col(k) for k in keys], (rises * 100.0 / F.lit(pairs)).alias("rising_pct"), "range_pct", "r"
+    )

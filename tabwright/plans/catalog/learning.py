@@ -123,8 +123,8 @@ RULE = "CAST(l_quantity > 20 AS INT) AS prediction, l_quantity * (1 - l_discount
     SELECT n, {r('a')} AS accuracy, {r('tp / (tp + fp)')} AS precision, {r('tp / (tp + fn)')} AS recall, {r('2 * tp / (2 * tp + fp + fn)')} AS f1, {r('auc')} AS auc FROM c, u""")
 def classification_metrics(spark, d):
     p = table(spark, d, "lineitem").selectExpr(RULE.split(", ")[0], *RULE.split(", ")[1:])
-    both = M.classification_metrics(p, "label", "prediction").join(F.broadcast(M.auc(p, "label", "score")))  # one row each
-    return rounded(both)
+    area = M.auc(p, "label", "score").first()["auc"]
+    return rounded(M.classification_metrics(p, "label", "prediction").withColumn("auc", F.lit(area)))
 
 
 @query("regression_metrics", f"""{LINEAR_SQL} SELECT count(*) AS n, {r('1 - avg((charge - prediction) ^ 2) / var_pop(charge)')} AS r2,

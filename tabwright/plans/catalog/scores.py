@@ -106,7 +106,7 @@ SCENARIO_SQL = union([f"SELECT o_orderkey, '{n}' AS scenario, (o_totalprice * {m
 @query("scenario_compare", f"""SELECT o_orderkey, count(*) AS n, {r('stddev_pop(prediction)', 4)} AS std, {r('max(prediction) - min(prediction)', 4)} AS range,
     {r('stddev_pop(prediction) / avg(prediction)')} AS cv, string_agg(scenario, '>' ORDER BY prediction DESC, scenario) AS ranking FROM ({SCENARIO_SQL}) GROUP BY 1""")
 def scenario_compare(spark, d):
-    return rounded(W.scenario_compare(scenario_rows(spark, d), ["o_orderkey"], "prediction"), 4, cv=6)
+    return rounded(W.scenario_compare(scenario_rows(spark, d), ["o_orderkey"], "prediction", ["base", "cheaper", "dearer"]), 4, cv=6)
 
 
 GRID = [1000.0, 20000.0, 40000.0, 60000.0, 80000.0, 100000.0]
@@ -129,7 +129,7 @@ SWEEP_PREDICTION = "grid_value * (o_custkey % 7 - 3) + abs(grid_value - 3) * 50
 def sweep_monotonicity(spark, d):
     base = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.lit(0.0).alias("x"))
     swept = W.sweep(base, "x", [1, 2, 3, 4, 5, 6]).withColumn("prediction", F.expr(SWEEP_PREDICTION))
-    return rounded(W.sweep_monotonicity(swept, ["o_orderkey"]), 4)
+    return rounded(W.sweep_monotonicity(swept, ["o_orderkey"], range(1, 7)), 4)
 
 
 @query("prediction_variation", f"""WITH {SCORED_SQL} SELECT {r('avg(prediction)', 4)} AS mean, {r('stddev_pop(prediction)', 4)} AS std,

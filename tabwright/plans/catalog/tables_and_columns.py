@@ -187,7 +187,7 @@ def order_scenarios(spark, d):
         THEN 'o_orderpriority: 1-URGENT vs ' || o_orderpriority ELSE '' END AS differences FROM orders
     UNION ALL SELECT o_orderkey, 'double', CASE WHEN o_orderstatus <> 'F' THEN 'o_orderstatus: F vs ' || o_orderstatus ELSE '' END FROM orders""")
 def scenario_pair_diff(spark, d):
-    return whatif.scenario_pair_diff(order_scenarios(spark, d), ["o_orderkey"], ["o_orderpriority", "o_orderstatus"])
+    return whatif.scenario_pair_diff(order_scenarios(spark, d), ["o_orderkey"], ["o_orderpriority", "o_orderstatus"], ["base", "urgent", "double"])
 
 
 @query("display_name", """SELECT p_partkey, list_aggregate(list_transform(list_filter(string_split(

@@ -79,3 +79,11 @@ def test_encoder_comparison_equals_row_correlations(small):
     assert got["target_encoding_r"] == pytest.approx(abs(encoded.agg(F.corr("m", "income")).first()[0]))
     levels = [abs(df.agg(F.corr((F.col("gender") == v).cast("int"), "income")).first()[0]) for v in ("Female", "Male", "Other")]
     assert got["best_one_hot_r"] == pytest.approx(max(levels))
+
+
+def test_many_ordinal_levels(spark):
+    values = [f"v{i * 7 % 100}" for i in range(100)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "k string")
+    enc = E.fit_encoder(df, {"k": "categorical-ordinal"})
+    order = {v: i for i, v in enumerate(sorted(set(values) - {None}))}
+    assert [r["k"] for r in enc.transform(df).collect()] == [order.get(v, -1) for v in values]

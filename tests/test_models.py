@@ -108,5 +108,5 @@ def test_steps():
 
 def test_monotonicity_of_a_rising_sweep(spark):
     swept = W.sweep(spark.createDataFrame([(1, 0.0)], "id int, x double"), "x", [1, 2, 3, 4]).withColumn("prediction", F.col("x") * 2)
-    row = W.sweep_monotonicity(swept, ["id"]).first()
+    row = W.sweep_monotonicity(swept, ["id"], [1, 2, 3, 4]).first()
     assert row["rising_pct"] == 100 and row["r"] == pytest.approx(1) and row["range_pct"] == pytest.approx(120)
