@@ -103,6 +103,16 @@ def lookup(
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a freshly read table that came as fewer splits than cores to all cores.
+
+    For row-heavy work over few unsplittable files; a table in many splits is
+    returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def slotted(df: DataFrame, order: Sequence[Column | str], slot: str = "__slot") -> DataFrame:
     """Split `df` into contiguous ranges of `order`; `slot` numbers the ranges.
 

@@ -60,8 +60,14 @@ def stable_fills(df: DataFrame, target: str) -> dict[str, object]:
     as_number = df.select(
         *[col(c) for c in medians], *[safe_number(col(c)).alias(c) for c in texts if parsed[c]]
     )
-    for c, (m,) in (exact_quantiles(as_number, as_number.columns, (0.5,)) if as_number.columns else {}).items():
-        fills[c] = 0.0 if m is None else m
+    if as_number.columns:
+        # Only columns with holes need their median.
+        row = as_number.agg(F.count(F.lit(1)).alias("n"), *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(as_number.columns)]).first()
+        holes = [c for i, c in enumerate(as_number.columns) if row[f"c{i}"] < row["n"]]
+        for c, (m,) in (exact_quantiles(as_number, holes, (0.5,)) if holes else {}).items():
+            fills[c] = 0.0 if m is None else m
+        for c in as_number.columns:
+            fills.setdefault(c, 0.0)
     for c in texts:
         fills.setdefault(c, fv.MISSING_TEXT)
     if folded[target] == "str":

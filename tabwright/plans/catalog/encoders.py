@@ -8,6 +8,7 @@ from pathlib import Path
 import pyspark
 from pyspark.sql import functions as F
 
+from ...functions.sizing import spread
 from ...operators import encoding as E, roles as R
 from .base import HOLED_SQL, holed, query, r, rounded, table
 
@@ -115,7 +116,7 @@ def tfidf_sql(source, key, text, terms=50):
 
 @query("tfidf_50", f"WITH {tfidf_sql('documents', 'doc_id', 'text')} SELECT doc_id, term, {r('weight')} AS weight FROM weights")
 def tfidf_50(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return rounded(E.tfidf_weights(docs, "text", ["doc_id"]))
 
 
@@ -137,7 +138,7 @@ ENCODE_EXPRS = [
     CAST(o_big AS INTEGER) AS o_big, {', '.join(f"{r(f'coalesce(t{i}, 0)')} AS o_note_tfidf_{i}" for i in range(4))}, CAST(o_target AS INTEGER) AS o_target
     FROM o LEFT JOIN wide ON o.o_orderkey = wide.o_orderkey""")
 def encode_table(spark, d):
-    o = table(spark, d, "orders").selectExpr(*ENCODE_EXPRS)
+    o = spread(table(spark, d, "orders"), "o_orderkey").selectExpr(*ENCODE_EXPRS)
     encoder = E.fit_encoder(o, ENCODE_ROLES, R.Target("o_target", "classification", "binary_01"))
     note = next(s for s in encoder.steps if s.column == "o_note")
     small = E.fit_tfidf(o, "o_note", terms=4)

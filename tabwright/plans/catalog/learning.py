@@ -7,6 +7,7 @@ from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.sql import functions as F
 
+from ...functions.sizing import spread
 from ...operators import explaining as X, metrics as M, training as T
 from .base import LINEITEM, query, r, rounded, table
 from .models import (
@@ -207,7 +208,8 @@ def predict_with_proba(spark, d):
     from ...operators import scoring
     from .models import BAYES_LABELS
 
-    out = scoring.with_probabilities(bayes_model(spark, d), bayes_inputs(spark, d), BAYES_LABELS)
+    rows = spread(bayes_inputs(spark, d), "l_orderkey", "l_linenumber")
+    out = scoring.with_probabilities(bayes_model(spark, d), rows, BAYES_LABELS)
     p = F.col("probabilities")
     return rounded(out.select(
         "l_orderkey", "l_linenumber", p["A"].alias("p_a"), p["N"].alias("p_n"), p["R"].alias("p_r"), "confidence", "predicted_class"), 5)

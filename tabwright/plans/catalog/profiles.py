@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions.sizing import spread
 from ...operators import cleaning, correlation as C, frequencies as Q, importance as I, profiling as P
 from .base import (
     HOLED, HOLED_SQL, LINEITEM, PART, holed, query, r, rounded, shown, table, union,
@@ -41,7 +42,7 @@ def statistics_sql(source, kinds):
 
 @query("column_statistics", union(statistics_sql("h", HOLED), f"WITH {HOLED_SQL}"))
 def column_statistics(spark, d):
-    return rounded(P.column_statistics(holed(spark, d)), 1)
+    return rounded(P.column_statistics(spread(holed(spark, d), "l_orderkey", "l_linenumber")), 1)
 
 
 @query("null_profile", f"WITH {HOLED_SQL} SELECT * FROM (" + union([

@@ -7,6 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from ...functions.columns import feature_category
+from ...functions.sizing import spread
 from ...operators import explaining, forms, runlog, scoring as S, whatif as W
 from .base import LINEITEM, PART, PSEUDO, query, r, rounded, table, union
 from .models import LINEAR_FEATURES, LINEAR_SQL, linear_inputs, linear_model
@@ -116,7 +117,7 @@ GRID = [1000.0, 20000.0, 40000.0, 60000.0, 80000.0, 100000.0]
     FROM scored, (SELECT unnest([{', '.join(map(str, GRID))}]::DOUBLE[]) AS grid_value)""")
 def sensitivity_sweep(spark, d):
     model = linear_model(spark, d)
-    return rounded(W.sensitivity_sweep(model, linear_inputs(spark, d), KEYS, "l_extendedprice", GRID), 2)
+    return rounded(W.sensitivity_sweep(model, spread(linear_inputs(spark, d), *KEYS), KEYS, "l_extendedprice", GRID), 2)
 
 
 SWEEP_PREDICTION = "grid_value * (o_custkey % 7 - 3) + abs(grid_value - 3) * 50 + o_orderkey"
