@@ -81,12 +81,12 @@ def shapley_by_permutation(
     df: DataFrame,
     keys: Sequence[str],
     features: Sequence[str],
-    output: Column | None = None,
+    output: Column | Sequence[Column] | None = None,
     permutations: int = 4,
     background_rows: int = BACKGROUND_ROWS,
     seed: int = 42,
 ) -> DataFrame:
-    """(keys, feature, phi) for any model.
+    """(keys, feature, phi) for any model; phi is an array when there are several outputs.
 
     Each row is explained on its own: a feature order switches features one by
     one from a background row to the row's values, and the change of the model
@@ -94,7 +94,7 @@ def shapley_by_permutation(
     are exploded by literal arrays, scored by one `transform`, and averaged;
     the phi of a row add up to its output minus the mean background output.
     """
-    output = output if output is not None else F.col("prediction").cast("double")
+    outputs = [F.col("prediction").cast("double")] if output is None else [output] if isinstance(output, Column) else list(output)
     sample = explain_sample(df, keys, background_rows, seed).select(*[col(c).cast("double").alias(c) for c in features])
     background = [list(r) for r in sample.collect()]
     rng = random.Random(seed)
@@ -117,26 +117,37 @@ def shapley_by_permutation(
         *[col(k) for k in keys], "__o", "__k",
         *[F.when(F.col("__o")[j] < F.col("__k"), col(c)).otherwise(F.col("__b")[j]).alias(c) for j, c in enumerate(features)],
     )
-    scored = model.transform(mixed).select(*[col(k) for k in keys], "__o", "__k", output.alias("__v"))
+    values = [o.alias(f"__v{i}") for i, o in enumerate(outputs)]
+    scored = model.transform(mixed).select(*[col(k) for k in keys], "__o", "__k", *values)
     # Switching feature j is the difference of steps place+1 and place; sum it without a self-join.
+    names = [f"__v{i}" for i in range(len(outputs))]
     share = [
         F.struct(
             F.lit(c).alias("feature"),
-            F.when(F.col("__k") == F.col("__o")[j] + 1, F.col("__v"))
-            .when(F.col("__k") == F.col("__o")[j], -F.col("__v"))
-            .alias("part"),
+            F.when(F.col("__k") == F.col("__o")[j] + 1, 1).when(F.col("__k") == F.col("__o")[j], -1).alias("sign"),
         )
         for j, c in enumerate(features)
     ]
     n = len(orders) * len(background)
+    phi = [F.sum(F.col("sign") * F.col(v)) / F.lit(float(n)) for v in names]
     return (
-        scored.select(*[col(k) for k in keys], F.inline(F.array(*share)))
-        .where(F.col("part").isNotNull())
+        scored.select(*[col(k) for k in keys], *names, F.inline(F.array(*share)))
+        .where(F.col("sign").isNotNull())
         .groupBy(*[col(k) for k in keys], "feature")
-        .agg((F.sum("part") / F.lit(float(n))).alias("phi"))
+        .agg((phi[0] if len(phi) == 1 else F.array(*phi)).alias("phi"))
     )
 
 
+def class_outputs(model: PipelineModel, classes: int) -> Column | list[Column]:
+    """What is explained of a classifier: the positive class of two, else every class."""
+    last = model.stages[-1]
+    if hasattr(last, "getProbabilityCol"):
+        p = vector_to_array(F.col(last.getProbabilityCol()))
+        return p[1] if classes == 2 else [p[k] for k in range(classes)]
+    raw = vector_to_array(F.col(last.getRawPredictionCol()))
+    return class_probabilities(raw[1])[1] if classes == 2 else [raw[k] for k in range(classes)]
+
+
 def global_importance(phi: DataFrame, value: str = "phi") -> DataFrame:
     """(feature, score): mean |phi|; an array of per-class phi is averaged over classes first."""
     x = F.col(value)

@@ -24,7 +24,7 @@ ACCURACY = 10_000
 SIGMAS = 5.0
 
 
-@dataclass
+@dataclass(eq=False)
 class _Bracket:
     """An interval of one column that should hold the order statistics `ranks`."""
 
@@ -56,7 +56,9 @@ def exact_quantiles(
     bracket_rows: int = BRACKET_ROWS,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, as `percentile` defines them."""
-    data = df.select(*[col(c).cast("double").alias(c) for c in columns])
+    floats = {c for c, t in df.dtypes if t in ("float", "double")}
+    number = lambda c: F.when(~F.isnan(col(c)), col(c).cast("double")) if c in floats else col(c).cast("double")
+    data = df.select(*[number(c).alias(c) for c in columns])  # NaN is a missing value
     row = data.agg(
         *[f(col(c)).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("n", F.count), ("a", F.min), ("b", F.max))]
     ).first()
@@ -81,7 +83,7 @@ def exact_quantiles(
     while todo := [b for b in todo if b.open]:
         stuck = [b for b in todo if b.stuck]
         _trim(data, stuck)
-        _narrow(data, [b for b in todo if not b.stuck], sample_rows)
+        _narrow(data, [b for b in todo if b.open and b not in stuck], sample_rows)
         _count(data, [b for b in todo if b.open])
         _select(data, [b for b in todo if b.open and b.inside <= bracket_rows])
 
@@ -92,7 +94,7 @@ def exact_quantiles(
             return None
         low, high = ranks[(c, p)]
         part = p * (size[c] - 1) - low
-        return known[(c, low)] * (1 - part) + known[(c, high)] * part
+        return known[(c, low)] if part == 0 else known[(c, low)] * (1 - part) + known[(c, high)] * part
 
     return {c: [value(c, p) for p in probs] for c in columns}
 
@@ -144,21 +146,28 @@ def _count(data: DataFrame, brackets: list[_Bracket]) -> None:
 
 
 def _trim(data: DataFrame, brackets: list[_Bracket]) -> None:
-    """Cut heavy end values off brackets that no sample can narrow."""
+    """Cut the smallest and largest value, often heavy ones, off brackets no sample can narrow."""
     if not brackets:
         return
+    row = data.agg(*[
+        f(F.when(b.test(), col(b.column))).alias(f"{k}{i}") for i, b in enumerate(brackets) for k, f in (("a", F.min), ("b", F.max))
+    ]).first()
+    for i, b in enumerate(brackets):
+        b.low, b.high = row[f"a{i}"], row[f"b{i}"]
     row = data.agg(*[
         e for i, b in enumerate(brackets)
         for e in (count_where(col(b.column) == b.low).alias(f"low{i}"), count_where(col(b.column) == b.high).alias(f"high{i}"))
     ]).first()
     for i, b in enumerate(brackets):
+        at_low, at_high = row[f"low{i}"], row[f"high{i}"]
         for k in b.open:
-            if k < b.base + row[f"low{i}"]:
+            if k < b.base + at_low:
                 b.found[k] = b.low
-            elif k >= b.base + b.inside - row[f"high{i}"]:
+            elif k >= b.base + b.inside - at_high:
                 b.found[k] = b.high
         b.ranks = tuple(b.open) or b.ranks
-        b.low, b.high, b.stuck = nextafter(b.low, inf), nextafter(b.high, -inf), False
+        b.base, b.inside, b.stuck = b.base + at_low, b.inside - at_low - at_high, False
+        b.low, b.high = nextafter(b.low, inf), nextafter(b.high, -inf)
 
 
 def _select(data: DataFrame, brackets: list[_Bracket]) -> None:

@@ -11,6 +11,7 @@ from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
@@ -119,11 +120,27 @@ def _scores(predicted: DataFrame, target: str, task: str, classes: int) -> dict[
         return {m: row[m] for m in REGRESSION_METRICS}
     cells = confusion_matrix(predicted, target, "prediction").collect()  # at most classes squared rows
     out = weighted_metrics([(int(r["label"]), int(r["prediction"]), r["n"]) for r in cells])
-    scored = classes == 2 and "rawPrediction" in predicted.columns
-    out["auc"] = BinaryClassificationEvaluator(labelCol=target).evaluate(predicted) if scored else None
+    out["auc"] = _auc(predicted, target, classes)
     return out
 
 
+def _auc(predicted: DataFrame, target: str, classes: int) -> float | None:
+    """Area under the curve; for several classes each against the rest, weighted by its rows."""
+    if classes == 2:
+        found = "rawPrediction" in predicted.columns
+        return BinaryClassificationEvaluator(labelCol=target).evaluate(predicted) if found else None
+    if "probability" not in predicted.columns:
+        return None
+    support = {r[0]: r[1] for r in predicted.groupBy(col(target)).count().collect()}  # one row per class
+    p = vector_to_array(F.col("probability"))
+    one = BinaryClassificationEvaluator(labelCol="__is", rawPredictionCol="__p")
+    area = {
+        k: one.evaluate(predicted.select((col(target) == k).cast("double").alias("__is"), p[k].alias("__p")))
+        for k in range(classes) if support.get(k)
+    }
+    return sum(area[k] * support[k] for k in area) / sum(support[k] for k in area)
+
+
 def compare_models(
     df: DataFrame,
     target: str,

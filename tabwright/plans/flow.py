@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import kinds
 from ..functions.sizing import new_path, pinned
@@ -65,15 +65,14 @@ def run_table(
     width = len(training.feature_columns(ready, goal.name, keys))
     classes = 2
     if goal.task == "classification":
-        from pyspark.sql import functions as F
-
         classes = int(ready.agg(F.max(goal.name)).first()[0]) + 1
     name, estimator = training.winner(board, goal.task, classes, width)
     model = training.finalize(estimator, clean, goal.name, exclude=keys, stages=[stage])
     names = model.stages[-2].getInputCols()
     sample = explaining.explain_sample(ready, keys)
     inner = PipelineModel(stages=model.stages[1:])
-    phi = explaining.shapley_by_permutation(inner, sample, keys, names, permutations=2)
+    output = explaining.class_outputs(inner, classes) if goal.task == "classification" else None
+    phi = explaining.shapley_by_permutation(inner, sample, keys, names, output, permutations=2)
     return Outcome(goal, chosen, checks, verdict, encoder, board, name, model, explaining.global_importance(phi))
 
 

@@ -46,7 +46,7 @@ def scan_csv(
 
 def scan_ml_ready(spark: SparkSession, path: str) -> DataFrame:
     """A prepared table; refused when it has no rows."""
-    return require_rows(spark.read.parquet(path), path)
+    return nan_to_null(require_rows(spark.read.parquet(path), path))
 
 
 def write_prepared(df: DataFrame, path: str, as_csv: bool = False) -> None:

@@ -110,3 +110,16 @@ def test_monotonicity_of_a_rising_sweep(spark):
     swept = W.sweep(spark.createDataFrame([(1, 0.0)], "id int, x double"), "x", [1, 2, 3, 4]).withColumn("prediction", F.col("x") * 2)
     row = W.sweep_monotonicity(swept, ["id"], [1, 2, 3, 4]).first()
     assert row["rising_pct"] == 100 and row["r"] == pytest.approx(1) and row["range_pct"] == pytest.approx(120)
+
+
+def test_several_classes(spark, numbers):
+    rows = numbers.select("id", "a", "b", F.least(F.floor(F.col("a") * 3), F.lit(2)).cast("int").alias("label"))
+    models = {k: v for k, v in T.candidates("classification", 3, 2).items() if k in ("decision_tree", "naive_bayes")}
+    board = {r["model"]: r for r in T.compare_models(rows, "label", "classification", ["id"], models=models).collect()}
+    assert board["decision_tree"]["auc"] > 0.9 and board["naive_bayes"]["auc"] > 0.9
+    model = T.finalize(C.DecisionTreeClassifier(maxBins=256), rows, "label", ["id"])  # bins fine enough to split on `a` alone
+    phi = X.shapley_by_permutation(model, X.explain_sample(rows, ["id"], 10), ["id"], ["a", "b"], X.class_outputs(model, 3), permutations=1)
+    sums = phi.select(F.aggregate("phi", F.lit(0.0), lambda x, y: x + y).alias("s")).agg(F.max(F.abs("s"))).first()[0]
+    assert sums < 1e-9  # probabilities add up to one, so their changes add up to zero
+    score = {r["feature"]: r["score"] for r in X.global_importance(phi).collect()}
+    assert score["a"] > 10 * score["b"]

@@ -33,3 +33,9 @@ def test_equals_percentile(spark, sample_rows, bracket_rows):
 def test_one_row(spark):
     df = spark.createDataFrame([(3,)], "x int")
     assert exact_quantiles(df, ["x"], [0.25, 0.5]) == {"x": [3.0, 3.0]}
+
+
+def test_nan_is_missing_and_infinity_is_a_value(spark):
+    df = spark.createDataFrame([(float("nan"),), (1.0,), (float("inf"),), (2.0,), (None,), (float("-inf"),)], "x double")
+    assert exact_quantiles(df, ["x"], [0.0, 0.5, 1.0]) == {"x": [float("-inf"), 1.5, float("inf")]}
+    assert exact_quantiles(df, ["x"], [0.5], sample_rows=2, bracket_rows=1) == {"x": [1.5]}
