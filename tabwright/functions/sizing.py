@@ -76,6 +76,7 @@ def lookup(
     if rows is not None:
         small = spark.createDataFrame(rows, params.select(key, *values).schema)
         return df.join(F.broadcast(small), key, "left")
+    params = pinned(params.select(key, *values, *([weight] if weight else [])))  # read three times below
     cold = params.select(key, *[F.col(v).alias(f"__cold_{v}") for v in values]).withColumn("__salt", F.lit(0))
     if weight is None:
         joined = df.withColumn("__salt", F.lit(0)).join(cold, [key, "__salt"], "left")

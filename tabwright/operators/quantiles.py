@@ -71,7 +71,7 @@ def exact_quantiles(
             continue
         ends = (row[f"a{i}"], row[f"b{i}"])
         pairs = [ranks[(c, p)] for p in probs]
-        if size[c] <= min(sample_rows, bracket_rows):  # few rows: one bracket for all ranks
+        if size[c] <= bracket_rows:  # few rows: one bracket for all ranks
             pairs = [tuple(sorted({k for pair in pairs for k in pair}))]
         todo += [_Bracket(c, size[c], pair, *ends, ends, inside=size[c]) for pair in pairs]
     brackets = list(todo)
@@ -79,7 +79,7 @@ def exact_quantiles(
         if b.low == b.high:
             b.found = {k: b.low for k in b.ranks}
     todo = [b for b in todo if b.open]
-    _select(data, [b for b in todo if b.inside <= min(sample_rows, bracket_rows)])
+    _select(data, [b for b in todo if b.inside <= bracket_rows])
     while todo := [b for b in todo if b.open]:
         stuck = [b for b in todo if b.stuck]
         _trim(data, stuck)
