@@ -25,7 +25,8 @@ MI_BINS = 8
 
 def numeric_text(df: DataFrame, columns: Sequence[str] | None = None, share: float = fv.MIN_NUMERIC_SHARE) -> DataFrame:
     """(column_name, parsed_share, is_numeric): text whose values mostly parse as numbers."""
-    names = [c for c in (columns or df.columns) if kinds(df)[c] == "str"]
+    folded = kinds(df)
+    names = [c for c in (columns or df.columns) if folded[c] == "str"]
     parsed = lambda c: F.count(safe_number(col(c))) / F.count(F.lit(1))
     table = per_column(df, names, {"parsed_share": parsed})
     return table.withColumn("is_numeric", F.col("parsed_share") >= share)

@@ -26,23 +26,25 @@ def column_set_diff(df: DataFrame, expected: Sequence[str], target: str | None =
     return issues
 
 
-def _as_number(df: DataFrame, c: str):
-    return safe_number(col(c)) if kinds(df)[c] == "str" else col(c).cast("double")
+def _as_number(folded: Mapping[str, str], c: str):
+    return safe_number(col(c)) if folded[c] == "str" else col(c).cast("double")
 
 
 def feature_align(df: DataFrame, expected: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Exactly the expected numeric columns, in order: extras dropped, gaps and bad values 0."""
+    folded = kinds(df)
     out = [
-        F.coalesce(_as_number(df, c), F.lit(0.0)).alias(c) if c in df.columns else F.lit(0.0).alias(c) for c in expected
+        F.coalesce(_as_number(folded, c), F.lit(0.0)).alias(c) if c in folded else F.lit(0.0).alias(c) for c in expected
     ]
     return df.select(*[col(k) for k in keep], *out)
 
 
 def batch_error_rows(df: DataFrame, expected: Sequence[str]) -> DataFrame:
     """Add `error`: which expected inputs of a row are not numbers; NULL when all are."""
+    folded = kinds(df)
     bad = [
-        F.when(col(c).isNotNull() & _as_number(df, c).isNull(), F.lit(f"{c} is not a number"))
-        if c in df.columns else F.lit(f"{c} is missing")
+        F.when(col(c).isNotNull() & _as_number(folded, c).isNull(), F.lit(f"{c} is not a number"))
+        if c in folded else F.lit(f"{c} is missing")
         for c in expected
     ]
     text = F.concat_ws("; ", *bad)
