@@ -113,7 +113,7 @@ def text_boolean(df: DataFrame, column: str) -> Step:
 
 
 def english_stop_words() -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("english")
+    return list(fv.ENGLISH_STOP_WORDS)
 
 
 def fit_tfidf(df: DataFrame, column: str, terms: int = fv.TFIDF_TERMS, stop_words: Sequence[str] | None = None) -> Step:

@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
-import pyspark
 from pyspark.sql import functions as F
 
+from ...functions.fixed_values import ENGLISH_STOP_WORDS
 from ...functions.sizing import spread
 from ...operators import encoding as E, roles as R
 from .base import HOLED_SQL, holed, query, r, rounded, table
 
 
-def stop_words() -> list[str]:
-    """The word list that ships with Spark, read without a session (for the SQL side)."""
-    jar = next(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        text = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return [w for w in text.split("\n") if w]
-
-
 @query("encode_target_binary01", """SELECT l_orderkey, l_linenumber, CAST(l_linenumber % 2 AS INTEGER) AS flag,
     CASE l_linestatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 END AS l_linestatus FROM lineitem""")
 def encode_target_binary01(spark, d):
@@ -105,7 +94,7 @@ def datetime_parts(spark, d):
 
 
 def tfidf_sql(source, key, text, terms=50):
-    words = ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words())
+    words = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)
     return f"""tok AS (SELECT {key}, unnest(regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM {source}),
     voc AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS i FROM (SELECT term FROM tok WHERE term NOT IN ({words}) GROUP BY term ORDER BY count(*) DESC, term LIMIT {terms})),
     tf AS (SELECT {key}, term, count(*) AS n FROM tok JOIN voc USING (term) GROUP BY ALL),
