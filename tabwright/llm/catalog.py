@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, exact_dedup, near_dedup, sentencepiece_codec, sharding
+from . import chat, decontamination, exact_dedup, near_dedup, ngram_lm, sentencepiece_codec, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,3 +122,12 @@ def op7(spark, d):
     return near_dedup.near_groups(table(spark, d, "documents"), percent=85).select(
         "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
     )
+
+
+@query("op5_language_model")
+def op5(spark, d):
+    docs = table(spark, d, "documents").withColumn("held_out", ngram_lm.held_out())
+    model = ngram_lm.train(docs.where("NOT held_out"))
+    return ngram_lm.score(docs, model, ("doc_id", "held_out")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity"
+    )
