@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, exact_dedup, near_dedup, ngram_lm, sentencepiece_codec, sharding
+from . import chat, decontamination, exact_dedup, near_dedup, ngram_lm, sentencepiece_codec, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -131,3 +131,15 @@ def op5(spark, d):
     return ngram_lm.score(docs, model, ("doc_id", "held_out")).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity"
     )
+
+
+def toxicity_model(spark: SparkSession, d: str) -> toxicity.Model:
+    """Learned from the labelled rows that are not held out."""
+    return toxicity.learn(table(spark, d, "documents"), table(spark, d, "labels").where(~toxicity.held_out()))
+
+
+@query("op10_toxicity")
+def op10(spark, d):
+    docs = table(spark, d, "documents").withColumn("held_out", toxicity.held_out())
+    scored = toxicity.score(docs, toxicity_model(spark, d), ("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
