@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, exact_dedup, near_dedup, ngram_lm, sentencepiece_codec, sharding, toxicity
+from . import chat, decontamination, exact_dedup, near_dedup, ngram_lm, secret_scan, sentencepiece_codec, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -143,3 +143,24 @@ def op10(spark, d):
     docs = table(spark, d, "documents").withColumn("held_out", toxicity.held_out())
     scored = toxicity.score(docs, toxicity_model(spark, d), ("doc_id", "held_out"))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def spans_text(spans: Column, keep=None) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    spans = F.filter(spans, keep) if keep else spans
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def counted(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@query("op2_secret_scan")
+def op2(spark, d):
+    docs = table(spark, d, "documents")
+    found = secret_scan.scan(docs, secret_scan.learn(docs))
+    base = F.sha2(spans_text(F.col("spans"), lambda s: s["kind"] != "model"), 256)
+    return found.select(
+        "doc_id", *[counted("spans", k).alias(f"n_{k}") for k in ("assign", "access", "hex")], base.alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"), counted("spans", "model").alias("n_model"),
+    )
