@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, exact_dedup, near_dedup, ngram_lm, secret_scan, sentencepiece_codec, sharding, toxicity
+from . import chat, decontamination, exact_dedup, near_dedup, ngram_lm, pii, secret_scan, sentencepiece_codec, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,3 +164,13 @@ def op2(spark, d):
         "doc_id", *[counted("spans", k).alias(f"n_{k}") for k in ("assign", "access", "hex")], base.alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"), counted("spans", "model").alias("n_model"),
     )
+
+
+@query("op3_pii")
+def op3(spark, d):
+    docs = table(spark, d, "documents")
+    found = pii.scan(docs, pii.learn(docs)).withColumn("base", F.filter("spans", lambda s: ~s["added"]))
+    return found.select(
+        "doc_id", *[counted("base", k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
+    )
