@@ -44,6 +44,12 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete what `new_path` led to, in whatever store the shared folder is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Write `df` once to reliable storage so that every reader sees the same rows."""
     shared_dir(df.sparkSession)
