@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tabwright.functions.sizing import lookup, pinned
+from tabwright.functions.sizing import lookup, new_path, pinned, remove_path
 
 from .components import components
 from .words import WordHashes, grams, hashed, mixed, slices
@@ -37,6 +37,7 @@ from .words import WordHashes, grams, hashed, mixed, slices
 SHINGLE = 5
 BANDS, ROWS = 32, 6
 PROBES = 256
+BROADCAST_NODES = 1_000_000
 
 
 class OnePermutation:
@@ -109,8 +110,6 @@ def signatures(docs: DataFrame, percent: int, shingle: int, bands: int, rows: in
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold; texts: node, body."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = texts.join(wanted, "node")
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b").join(
         texts.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a"
     ).select("a", "b", "body_a", "body_b")
@@ -131,6 +130,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     return both.mapInArrow(run, "a long, b long")
 
 
+def stored_texts(docs: DataFrame, wanted: DataFrame) -> tuple[str, DataFrame]:
+    """(path, node and body of the wanted nodes), written once: the rounds read only texts that share a bucket."""
+    spark = docs.sparkSession
+    wanted = pinned(wanted)
+    if wanted.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)  # else the texts are shuffled, once
+    path = new_path(spark, "near-texts")
+    docs.select(F.monotonically_increasing_id().alias("node"), "body").join(wanted, "node").write.parquet(path)
+    return path, spark.read.schema("node long, body string").parquet(path)
+
+
 def near_groups(
     docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -141,22 +151,24 @@ def near_groups(
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
     signed = pinned(signatures(docs, percent, shingle, bands, rows))
     nodes = pinned(signed.where("n_shingles > 0").groupBy("set_key").agg(
-        F.min("row").alias("node"), F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"),
+        F.min("row").alias("node"), F.first("n_shingles").alias("shingles"), F.min("doc_id").alias("first_doc"), F.first("bands").alias("bands"),
         F.min_by("row", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).alias("keep_row"), F.count("*").alias("copies"),
     ))
-    texts = docs.select(F.monotonically_increasing_id().alias("node"), "body")
-    seats = nodes.where("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
+    seats = nodes.where("bands IS NOT NULL").select("node", "shingles", F.explode("bands").alias("bucket"))
     crowds = seats.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     seats = pinned(seats.join(crowds, "bucket"))
     weights = seats.groupBy("node").agg(F.sum("n").alias("weight"))
+    texts_path, texts = stored_texts(docs, weights.select("node"))
     seats = seats.drop("n").join(weights, "node").withColumn("component", F.col("node"))
 
     tried, links, rank = None, None, F.col("weight")
     while True:
         centres = seats.groupBy("bucket").agg(
-            F.max_by(F.struct("node", "component"), F.struct(rank, "node")).alias("centre"),
+            F.max_by(F.struct("node", "shingles", "component"), F.struct(rank, "node")).alias("centre"),
         )
-        pairs = seats.join(centres, "bucket").where("component != centre.component").select(
+        # No pair of sets whose sizes differ by more than the threshold can reach it.
+        sizes_fit = 100 * F.least("shingles", "centre.shingles") >= percent * F.greatest("shingles", "centre.shingles")
+        pairs = seats.join(centres, "bucket").where("component != centre.component").where(sizes_fit).select(
             F.greatest("node", "centre.node").alias("b"), F.least("node", "centre.node").alias("a")
         ).distinct()
         pairs = pinned(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
@@ -173,6 +185,7 @@ def near_groups(
         seats = pinned(seats.join(open_buckets.select("bucket"), "bucket"))
         rank = F.xxhash64("node", F.lit(tried.count()))
 
+    remove_path(docs.sparkSession, texts_path)
     placed = nodes.select("set_key", "node", "first_doc", "keep_row", "copies")
     if links is None:
         placed = placed.select("set_key", F.col("first_doc").alias("component_id"), "keep_row", "copies")
