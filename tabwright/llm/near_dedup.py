@@ -8,8 +8,10 @@
 3. A bucket of n nodes gives n - 1 candidate edges, all from one centre: the node whose buckets are the
    most crowded, which in a group of edited copies is the original.
 4. Candidates are confirmed on the full sets.
-5. Buckets whose nodes are not yet one component get another centre and only nodes of other components
-   are compared with it, round by round, until a round finds no link.  No bucket or partner is capped.
+5. Buckets whose nodes are not yet one component get further centres, 4, then 16, 64 and so on, those of
+   the smallest components first; only nodes of other components are compared with them.  It ends when
+   all pairs of open buckets have been compared or a round with several centres finds no link any more.
+   No bucket is capped: a node that stands apart in a bucket is compared with all nodes of that bucket.
 6. Components come from alternating stars.
 
 Sets too small to reach the threshold with any different set need no bands.  Texts without words have an
@@ -23,11 +25,12 @@ read again, as files do.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabwright.functions.sizing import lookup, new_path, pinned, remove_path
 
@@ -38,6 +41,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 6
 PROBES = 256
 BROADCAST_NODES = 1_000_000
+GROWTH = 4
 
 
 class OnePermutation:
@@ -130,6 +134,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     return both.mapInArrow(run, "a long, b long")
 
 
+def first_of_each_bucket(seats: DataFrame, several: int, order: Column | None) -> DataFrame:
+    """bucket, centre, c_shingles, c_component: so many nodes of each bucket, those of the smallest components first."""
+    if order is None:
+        sizes = seats.select("node", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
+        seats, order = seats.join(sizes, "component"), F.asc("size")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(order, F.xxhash64("node", "bucket")))
+    return seats.withColumn("place", place).where(F.col("place") <= several).select(
+        "bucket", F.col("node").alias("centre"), F.col("shingles").alias("c_shingles"), F.col("component").alias("c_component")
+    )
+
+
 def stored_texts(docs: DataFrame, wanted: DataFrame) -> tuple[str, DataFrame]:
     """(path, node and body of the wanted nodes), written once: the rounds read only texts that share a bucket."""
     spark = docs.sparkSession
@@ -161,29 +176,27 @@ def near_groups(
     texts_path, texts = stored_texts(docs, weights.select("node"))
     seats = seats.drop("n").join(weights, "node").withColumn("component", F.col("node"))
 
-    tried, links, rank = None, None, F.col("weight")
-    while True:
-        centres = seats.groupBy("bucket").agg(
-            F.max_by(F.struct("node", "shingles", "component"), F.struct(rank, "node")).alias("centre"),
-        )
+    tried = links = groups = None
+    for turn in count():
+        several = GROWTH**turn
+        centres = first_of_each_bucket(seats, several, F.desc("weight") if turn == 0 else None)
         # No pair of sets whose sizes differ by more than the threshold can reach it.
-        sizes_fit = 100 * F.least("shingles", "centre.shingles") >= percent * F.greatest("shingles", "centre.shingles")
-        pairs = seats.join(centres, "bucket").where("component != centre.component").where(sizes_fit).select(
-            F.greatest("node", "centre.node").alias("b"), F.least("node", "centre.node").alias("a")
+        sizes_fit = 100 * F.least("shingles", "c_shingles") >= percent * F.greatest("shingles", "c_shingles")
+        pairs = seats.join(centres, "bucket").where("component != c_component").where(sizes_fit).select(
+            F.greatest("node", "centre").alias("b"), F.least("node", "centre").alias("a")
         ).distinct()
         pairs = pinned(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
+        tried = pairs if tried is None else tried.unionByName(pairs)
         found = pinned(confirmed(pairs, texts, percent, shingle))
-        if found.isEmpty():
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            groups = components(links)
+            seats = seats.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            mixed_buckets = seats.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+            seats = pinned(seats.join(mixed_buckets.select("bucket"), "bucket"))
+        largest = seats.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if turn and (found.isEmpty() or several >= largest):  # or every open pair has been compared
             break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        groups = components(links)
-        seats = seats.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_buckets = seats.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-        seats = pinned(seats.join(open_buckets.select("bucket"), "bucket"))
-        rank = F.xxhash64("node", F.lit(tried.count()))
 
     remove_path(docs.sparkSession, texts_path)
     placed = nodes.select("set_key", "node", "first_doc", "keep_row", "copies")
