@@ -130,8 +130,7 @@ def find_passages(
         F.array().cast("array<int>").alias("spans__"), F.array().cast("array<string>").alias("item_ids"),
     )
     sc = docs.sparkSession.sparkContext
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    names = out.schema.names
+    schema, names = out.schema, out.schema.names
 
     def step(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +172,7 @@ def find_passages(
 
     passes = [sc.broadcast(prints) for prints in blocks(items, item_id, item_text, window, gram, block_words)] or [None]
     for shared in passes:
-        out = out.mapInArrow(step(shared), kinds)
+        out = out.mapInArrow(step(shared), schema)
     span = F.transform(
         F.sequence(F.lit(0), F.expr("size(spans__) div 2 - 1").cast("int")),
         lambda i: F.struct(F.get("spans__", 2 * i).alias("first"), F.get("spans__", 2 * i + 1).alias("end")),

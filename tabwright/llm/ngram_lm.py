@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabwright.functions.sizing import new_path
 
-from .words import SPACED, WordHashes, hashed, mixed, slices
+from .words import SPACED, WordHashes, hashed, mixed, passed_on, slices
 
 END, START = b" ", b"\t"  # no word holds white space
 TASK_TOKENS = 3_000_000
@@ -307,8 +307,9 @@ def score(docs: DataFrame, model: Model, keys: Sequence[str | Column] = ("doc_id
                 names=[*names, "n_tokens", "n_known", "base_score", "score", "perplexity"],
             )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kinds}, n_tokens long, n_known long, base_score double, score double, perplexity double")
+    return source.mapInArrow(
+        run, passed_on(source, "n_tokens long, n_known long, base_score double, score double, perplexity double")
+    )
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 7, part: int = 2) -> Column:

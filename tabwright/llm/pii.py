@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import crf
-from .words import slices
+from .words import passed_on, slices
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -261,5 +261,4 @@ def scan(docs: DataFrame, weights: crf.Weights | None, keys: Sequence[str | Colu
                 out.append([{"kind": KINDS[k], "start": s, "end": e, "added": (k, s, e) not in known} for k, s, e in own])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(span))], names=[*names, "spans"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kinds}, spans array<struct<kind:string,start:int,end:int,added:boolean>>")
+    return source.mapInArrow(run, passed_on(source, "spans array<struct<kind:string,start:int,end:int,added:boolean>>"))

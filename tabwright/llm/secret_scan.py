@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import crf
-from .words import slices
+from .words import passed_on, slices
 
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(
@@ -149,8 +149,7 @@ def scan(docs: DataFrame, weights: crf.Weights | None, keys: Sequence[str | Colu
             out = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e, _ in found] for found in spans]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(span))], names=[*names, "spans"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kinds}, spans array<struct<kind:string,start:int,end:int>>")
+    return source.mapInArrow(run, passed_on(source, "spans array<struct<kind:string,start:int,end:int>>"))
 
 
 def added(spans: list[tuple[int, int, int, int]], labels: list[int], places: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:

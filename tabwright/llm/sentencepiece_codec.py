@@ -20,7 +20,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from .words import slices
+from .words import passed_on, slices
 
 MARKER = "▁"
 MARKED_WORD = re.compile(f"{MARKER}+[^{MARKER}]*")
@@ -98,5 +98,4 @@ def encode_decode(docs: DataFrame, model_path: str, keys: Sequence[str] = ("doc_
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array(decoded, pa.string())], names=[*names, "ids", "decoded"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kinds}, ids array<int>, decoded string")
+    return source.mapInArrow(run, passed_on(source, "ids array<int>, decoded string"))

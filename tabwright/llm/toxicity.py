@@ -29,7 +29,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .words import ALPHANUMERIC, slices, words_of
+from .words import ALPHANUMERIC, passed_on, slices, words_of
 
 SAMPLE_ROWS = 50_000
 LEXICON_ENTRIES = 20_000
@@ -149,8 +149,7 @@ def match_rows(rows: DataFrame, lexicon: dict[bytes, float]) -> DataFrame:
             found = [[math.log1p(x) for x in matches(t, classes, grammar)] for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.float64()))], names=[*names, "patterns"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kinds}, patterns array<double>")
+    return rows.mapInArrow(run, passed_on(rows, "patterns array<double>"))
 
 
 def learn_lexicon(rows: DataFrame, positive: int, negative: int) -> dict[bytes, float]:

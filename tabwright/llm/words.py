@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame, types as T
 
 SLICE_BYTES = 4 << 20
 CACHED_WORDS = 500_000
@@ -77,3 +78,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
         edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+
+
+def passed_on(source: DataFrame, more: str) -> T.StructType:
+    """The columns of `source` but its last (the text), then those that `more` declares."""
+    return T.StructType([*source.schema.fields[:-1], *T.StructType.fromDDL(more).fields])
