@@ -6,7 +6,8 @@ are composed into one machine whose output is not a word hit but a matched patte
 negated or reported insult or threat.  Only clauses that hold an insult or a threat are run.
 
 The insults are learned: words and word beginnings that mark toxic rows of a sample of labelled rows (at
-most `sample_rows`, the first by a hash of their id), by a likelihood-ratio test.  Their log odds are
+most `sample_rows`, the first by a hash of their id, one of each family of copies), by a likelihood-ratio
+test.  Their log odds are
 the arc weights; a logistic regression on the same sample weighs the patterns.  Ids, language and source
 are never inputs.
 
@@ -29,7 +30,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .words import ALPHANUMERIC, passed_on, slices, words_of
+from .words import ALPHANUMERIC, WordHashes, grams, hashed, passed_on, slices, words_of
 
 SAMPLE_ROWS = 50_000
 LEXICON_ENTRIES = 20_000
@@ -152,6 +153,19 @@ def match_rows(rows: DataFrame, lexicon: dict[bytes, float]) -> DataFrame:
     return rows.mapInArrow(run, passed_on(rows, "patterns array<double>"))
 
 
+def families(rows: DataFrame) -> DataFrame:
+    """id, toxic, family: copies and most near copies of a text share the family, its smallest hash of three words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for b in slices(batches, "body"):
+            words, starts = hashed(b.column("body").to_pylist(), cache, ALPHANUMERIC)
+            least = [int(grams(words[s:e], min(3, e - s)).min()) >> 1 if e > s else 0 for s, e in zip(starts[:-1].tolist(), starts[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(least, pa.int64())], names=["id", "toxic", "family"])
+
+    return rows.mapInArrow(run, passed_on(rows, "family long"))
+
+
 def learn_lexicon(rows: DataFrame, positive: int, negative: int) -> dict[bytes, float]:
     """Forms with their log odds; rows: toxic, body."""
 
@@ -184,7 +198,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ).where("toxic = high")
     sample = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("id", F.col("toxic").cast("int").alias("toxic"))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"))
-    rows = texts.join(F.broadcast(sample), "id").select("toxic", "body")  # at most sample_rows ids
+    labelled = texts.join(F.broadcast(sample), "id").select("id", "toxic", "body")  # at most sample_rows ids
+    one_of_each = families(labelled).groupBy("family", "toxic").agg(F.min("id").alias("id")).select("id").distinct()
+    rows = labelled.join(F.broadcast(one_of_each), "id").select("toxic", "body")
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     positive, negative = counts.get(1, 0), counts.get(0, 0)
     if not positive or not negative:
