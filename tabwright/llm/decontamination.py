@@ -8,7 +8,8 @@ it, and only full windows of equal words count as hits.  Items of fewer than `wi
 of their own length and are looked up by a gram of that length.
 
 Items are read in blocks of at most `block_words` words, whatever the size of the benchmark; each block is
-broadcast as sorted fingerprints and documents pass all blocks in one narrow stage, without a shuffle.
+broadcast as sorted fingerprints and documents pass it in a narrow stage, without a shuffle.  Behind each
+block but the last the documents and their hits so far are written, so a task holds one block at a time.
 
 Null and empty texts have no words and no hits, items without words never occur, equal items all count,
 a null item_id is the empty string.  Rows are handled one by one, so repeated rows and ties do not matter;
@@ -23,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tabwright.functions.sizing import pinned
+
 from .words import ALPHANUMERIC, WordHashes, grams, hashed, slices
 
 WINDOW, GRAM = 10, 5
@@ -170,9 +173,13 @@ def find_passages(
 
         return run
 
-    passes = [sc.broadcast(prints) for prints in blocks(items, item_id, item_text, window, gram, block_words)] or [None]
-    for shared in passes:
-        out = out.mapInArrow(step(shared), schema)
+    some = False
+    for prints in blocks(items, item_id, item_text, window, gram, block_words):
+        if some:
+            out = pinned(out)  # one block in a task at a time
+        out, some = out.mapInArrow(step(sc.broadcast(prints)), schema), True
+    if not some:
+        out = out.mapInArrow(step(None), schema)
     span = F.transform(
         F.sequence(F.lit(0), F.expr("size(spans__) div 2 - 1").cast("int")),
         lambda i: F.struct(F.get("spans__", 2 * i).alias("first"), F.get("spans__", 2 * i + 1).alias("end")),
