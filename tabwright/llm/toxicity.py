@@ -35,7 +35,7 @@ from .words import ALPHANUMERIC, WordHashes, grams, hashed, passed_on, slices, w
 SAMPLE_ROWS = 50_000
 LEXICON_ENTRIES = 20_000
 EVIDENCE = 12.0
-LEAST_ODDS = 3.0
+LEAST_ODDS, MOST_ODDS = 3.0, 5.0
 BEGINNINGS = (4, 5, 6)
 NEGATION_SCOPE = 3
 
@@ -187,7 +187,7 @@ def learn_lexicon(rows: DataFrame, positive: int, negative: int) -> dict[bytes,
     evidence = t * F.log(t / (n * share)) + F.when(c > 0, c * F.log(c / (n * (1 - share)))).otherwise(0.0)
     odds = F.log((t + 0.5) / (positive + 1)) - F.log((c + 0.5) / (negative + 1))
     forms_seen = rows.mapInArrow(count, "form binary, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    kept = forms_seen.where((t > share * n) & (odds >= LEAST_ODDS) & (evidence >= EVIDENCE)).select("form", odds.alias("odds"))
+    kept = forms_seen.where((t > share * n) & (odds >= LEAST_ODDS) & (evidence >= EVIDENCE)).select("form", F.least(odds, F.lit(MOST_ODDS)).alias("odds"))
     return {bytes(r["form"]): r["odds"] for r in kept.orderBy(F.desc("odds"), "form").limit(LEXICON_ENTRIES).collect()}
 
 
