@@ -197,8 +197,6 @@ def fit_target(df: DataFrame, target: Target) -> Step:
     c, kind = target.name, kinds(df)[target.name]
     if target.ml_type == "numeric_continuous":
         return Step(c, "to_double")
-    if target.ml_type == "multiclass_int_labels":
-        return Step(c, "to_int")
     if kind == "bool":
         return Step(c, "to_int")
     if target.ml_type in ("binary_01", "binary_numeric"):
@@ -353,7 +351,8 @@ class Encoder:
 
 
 def fit_encoder(
-    df: DataFrame, roles: Mapping[str, str], target: Target | None = None, stop_words: Sequence[str] | None = None
+    df: DataFrame, roles: Mapping[str, str], target: Target | None = None, stop_words: Sequence[str] | None = None,
+    terms: int = fv.TFIDF_TERMS,
 ) -> Encoder:
     """Fit every column by its role; columns without a role are left as they are."""
     folded = kinds(df)
@@ -369,7 +368,7 @@ def fit_encoder(
     for c in of("datetime"):
         steps[c] = Step(c, "datetime")
     for c in of("text"):
-        steps[c] = fit_tfidf(df.select(col(c).cast("string").alias(c)), c, stop_words=stop_words)
+        steps[c] = fit_tfidf(df.select(col(c).cast("string").alias(c)), c, terms, stop_words)
     for c in of("identifier_ignore"):
         steps[c] = Step(c, "drop")
     if target is not None and target.name in df.columns:

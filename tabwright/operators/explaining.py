@@ -105,7 +105,9 @@ def shapley_by_permutation(
         orders += [order, order[::-1]]
     place = [[o.index(j) for j in range(len(features))] for o in orders]
     start = F.array(*[F.array(*[F.lit(v) for v in b]) for b in background])
-    where = F.array(*[F.array(*[F.lit(v) for v in p]) for p in place])
+    where = F.array(*[
+        F.struct(F.array(*[F.lit(v) for v in p]).alias("place"), F.array(*[F.lit(v) for v in o]).alias("order")) for p, o in zip(place, orders)
+    ])
     steps = F.sequence(F.lit(0), F.lit(len(features)))
     grown = (
         df.select(*[col(k) for k in keys], *[col(c).cast("double").alias(c) for c in features])
@@ -115,24 +117,22 @@ def shapley_by_permutation(
     )
     mixed = grown.select(
         *[col(k) for k in keys], "__o", "__k",
-        *[F.when(F.col("__o")[j] < F.col("__k"), col(c)).otherwise(F.col("__b")[j]).alias(c) for j, c in enumerate(features)],
+        *[F.when(F.col("__o.place")[j] < F.col("__k"), col(c)).otherwise(F.col("__b")[j]).alias(c) for j, c in enumerate(features)],
     )
     values = [o.alias(f"__v{i}") for i, o in enumerate(outputs)]
     scored = model.transform(mixed).select(*[col(k) for k in keys], "__o", "__k", *values)
-    # Switching feature j is the difference of steps place+1 and place; sum it without a self-join.
+    # A step ends the switch of one feature (+) and begins that of the next (-): two parts a row, whatever the width.
     names = [f"__v{i}" for i in range(len(outputs))]
+    named = F.array(*[F.lit(c) for c in features])
     share = [
-        F.struct(
-            F.lit(c).alias("feature"),
-            F.when(F.col("__k") == F.col("__o")[j] + 1, 1).when(F.col("__k") == F.col("__o")[j], -1).alias("sign"),
-        )
-        for j, c in enumerate(features)
+        F.struct(F.get(named, F.get("__o.order", F.col("__k") - 1)).alias("feature"), F.lit(1).alias("sign")),
+        F.struct(F.get(named, F.get("__o.order", F.col("__k"))).alias("feature"), F.lit(-1).alias("sign")),
     ]
     n = len(orders) * len(background)
     phi = [F.sum(F.col("sign") * F.col(v)) / F.lit(float(n)) for v in names]
     return (
         scored.select(*[col(k) for k in keys], *names, F.inline(F.array(*share)))
-        .where(F.col("sign").isNotNull())
+        .where(F.col("feature").isNotNull())
         .groupBy(*[col(k) for k in keys], "feature")
         .agg((phi[0] if len(phi) == 1 else F.array(*phi)).alias("phi"))
     )

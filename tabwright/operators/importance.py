@@ -182,9 +182,10 @@ def binned(df: DataFrame, columns: Sequence[str], bins: int = MI_BINS) -> dict[s
 def mutual_info_scores(df: DataFrame, target: Target, bins: int = MI_BINS) -> DataFrame:
     """(column_name, mi) in nats between each feature and the class.
 
-    Plug-in estimate: numeric features in quantile bins, text by value.  The
-    nearest-neighbour estimate ranks strong features the same but differs in
-    value.
+    Plug-in estimate less its bias (values - 1)(classes - 1) / 2N: numeric
+    features in quantile bins, text by value.  A column of unique values, whose
+    plug-in estimate is the entropy of the class, so scores about 0.  The
+    nearest-neighbour estimate ranks strong features the same but differs in value.
     """
     clean = stable_clean(df, target.name)
     folded = kinds(clean)
@@ -199,13 +200,14 @@ def mutual_info_scores(df: DataFrame, target: Target, bins: int = MI_BINS) -> Da
         .groupBy("column_name", "x", "y")
         .agg(F.count("*").alias("n"))
     )
-    n = clean.count()
     by_x = joint.groupBy("column_name", "x").agg(F.sum(F.col("n") * F.log("n")).alias("within"), F.sum("n").alias("nx"))
     by_y = joint.groupBy("column_name", "y").agg(F.sum("n").alias("ny"))
     # MI = (sum n log n - sum nx log nx - sum ny log ny) / N + log N, each sum grouped on its own.
-    x_part = by_x.groupBy("column_name").agg((F.sum("within") - F.sum(F.col("nx") * F.log("nx"))).alias("a"))
-    y_part = by_y.groupBy("column_name").agg(F.sum(F.col("ny") * F.log("ny")).alias("b"))
-    mi = (F.col("a") - F.col("b")) / F.lit(float(n)) + F.log(F.lit(float(n)))
+    x_part = by_x.groupBy("column_name").agg((F.sum("within") - F.sum(F.col("nx") * F.log("nx"))).alias("a"), F.count("*").alias("kx"), F.sum("nx").alias("total"))
+    y_part = by_y.groupBy("column_name").agg(F.sum(F.col("ny") * F.log("ny")).alias("b"), F.count("*").alias("ky"))
+    total = F.col("total").cast("double")
+    bias = (F.col("kx") - 1) * (F.col("ky") - 1) / (2 * total)
+    mi = (F.col("a") - F.col("b")) / total + F.log(total) - bias
     return x_part.join(F.broadcast(y_part), "column_name").select(  # one row per column
         "column_name", F.greatest(mi, F.lit(0.0)).alias("mi")
     )

@@ -27,6 +27,13 @@ def encode_target_int(spark, d):
     return E.Encoder([E.fit_target(o, R.Target("grade", "classification", "multiclass_int_labels"))]).transform(o)
 
 
+@query("encode_target_signed", "SELECT o_orderkey, CAST(o_orderkey % 3 AS INTEGER) AS sign FROM orders")
+def encode_target_signed(spark, d):
+    """Labels -10, 0 and 7 become classes in their order."""
+    o = table(spark, d, "orders").selectExpr("o_orderkey", "CASE o_orderkey % 3 WHEN 0 THEN -10 WHEN 1 THEN 0 ELSE 7 END AS sign")
+    return E.Encoder([E.fit_target(o, R.Target("sign", "classification", "multiclass_int_labels"))]).transform(o)
+
+
 @query("encode_target_label", "SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority FROM orders")
 def encode_target_label(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
@@ -119,20 +126,16 @@ ENCODE_EXPRS = [
 ]
 
 
-@query("encode_table", f"""WITH o AS (SELECT {', '.join(ENCODE_EXPRS)} FROM orders), {tfidf_sql('o', 'o_orderkey', 'o_note', 4)},
+@query("encode_pipeline", f"""WITH o AS (SELECT {', '.join(ENCODE_EXPRS)} FROM orders), {tfidf_sql('o', 'o_orderkey', 'o_note', 4)},
     wide AS (SELECT o_orderkey, {', '.join(f"coalesce(max(CASE WHEN i = {i} THEN weight END), 0) AS t{i}" for i in range(4))} FROM weights JOIN voc USING (term) GROUP BY 1)
     SELECT o.o_orderkey, {r('(o_totalprice - (SELECT avg(o_totalprice) FROM o)) / (SELECT stddev_pop(o_totalprice) FROM o)')} AS o_totalprice,
     {', '.join(f"CAST(o_orderstatus = '{v}' AS INTEGER) AS o_orderstatus_{v}" for v in 'FOP')},
     CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority, {parts_sql('o_orderdate')},
     CAST(o_big AS INTEGER) AS o_big, {', '.join(f"{r(f'coalesce(t{i}, 0)')} AS o_note_tfidf_{i}" for i in range(4))}, CAST(o_target AS INTEGER) AS o_target
     FROM o LEFT JOIN wide ON o.o_orderkey = wide.o_orderkey""")
-def encode_table(spark, d):
+def encode_pipeline(spark, d):
     o = spread(table(spark, d, "orders"), "o_orderkey").selectExpr(*ENCODE_EXPRS)
-    encoder = E.fit_encoder(o, ENCODE_ROLES, R.Target("o_target", "classification", "binary_01"))
-    note = next(s for s in encoder.steps if s.column == "o_note")
-    small = E.fit_tfidf(o, "o_note", terms=4)
-    encoder.steps[encoder.steps.index(note)] = small
-    return rounded(encoder.transform(o))
+    return rounded(E.fit_encoder(o, ENCODE_ROLES, R.Target("o_target", "classification", "binary_01"), terms=4).transform(o))
 
 
 @query("interaction_features", "SELECT o_orderkey, " + ", ".join(

@@ -243,8 +243,8 @@ FILLED_SQL = f"""{HOLED_SQL}, f AS (SELECT {r('coalesce(l_quantity, (SELECT medi
     coalesce(l_linestatus, {mode_sql('l_linestatus')}) AS l_linestatus, coalesce(l_taxed, {mode_sql('l_taxed')}) AS l_taxed FROM h)"""
 
 
-@query("clean_table", f"WITH {FILLED_SQL} SELECT DISTINCT * FROM f")
-def clean_table(spark, d):
+@query("clean_pipeline", f"WITH {FILLED_SQL} SELECT DISTINCT * FROM f")
+def clean_pipeline(spark, d):
     return rounded(cleaning.clean(holed(spark, d).select(*CLEAN_COLUMNS), CLEAN_ROLES))
 
 

@@ -194,7 +194,13 @@ def correlation_fallback(spark, d):
     return rounded(I.correlation_fallback(clean_input(spark, d), "l_extendedprice"))
 
 
-MI_FEATURES = {"l_quantity": "float", "l_extendedprice": "float", "l_tax": "float", "l_linenumber": "int", "l_linestatus": "str"}
+MI_FEATURES = {"l_quantity": "float", "l_extendedprice": "float", "l_tax": "float", "l_linenumber": "int", "l_linestatus": "str", "l_name": "str"}
+MI_SOURCE = "(SELECT *, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS l_name FROM lineitem)"  # a unique text
+
+
+def mi_input(spark, d):
+    name = F.concat_ws("-", "l_orderkey", "l_linenumber").alias("l_name")
+    return table(spark, d, "lineitem").select("*", name).select(*MI_FEATURES, "l_returnflag")
 
 
 def mi_sql(features, target, source):
@@ -208,22 +214,22 @@ def mi_sql(features, target, source):
         parts.append(f"SELECT '{c}' AS column_name, {x} AS x, CAST({target} AS VARCHAR) AS y FROM {source}")
     return f"""j AS (SELECT column_name, x, y, count(*) AS n FROM ({union(parts)}) GROUP BY ALL),
     p AS (SELECT *, sum(n) OVER (PARTITION BY column_name, x) AS nx, sum(n) OVER (PARTITION BY column_name, y) AS ny, sum(n) OVER (PARTITION BY column_name) AS t FROM j),
-    mi AS (SELECT column_name, greatest(sum(n / t * ln(n * t / (nx * ny))), 0) AS mi FROM p GROUP BY 1)"""
+    mi AS (SELECT column_name, greatest(sum(n / t * ln(n * t / (nx * ny))) - (count(DISTINCT x) - 1) * (count(DISTINCT y) - 1) / (2 * max(t)), 0) AS mi FROM p GROUP BY 1)"""
 
 
-@query("mutual_info_scores", f"WITH {mi_sql(MI_FEATURES, 'l_returnflag', 'lineitem')} SELECT column_name, {r('mi')} AS mi FROM mi")
+@query("mutual_info_scores", f"WITH {mi_sql(MI_FEATURES, 'l_returnflag', MI_SOURCE)} SELECT column_name, {r('mi')} AS mi FROM mi")
 def mutual_info_scores(spark, d):
-    li = table(spark, d, "lineitem").select(*MI_FEATURES, "l_returnflag")
+    li = mi_input(spark, d)
     return rounded(I.mutual_info_scores(li, R.Target("l_returnflag", "classification", "multiclass_text_labels")))
 
 
-@query("key_features", f"""WITH {CODED_SQL}, {mi_sql(MI_FEATURES, 'l_returnflag', 'lineitem')}
+@query("key_features", f"""WITH {CODED_SQL}, {mi_sql(MI_FEATURES, 'l_returnflag', MI_SOURCE)}
     SELECT 'regression' AS task, column_name, {r('score')} AS score FROM (SELECT column_name, {F_SCORE} AS score FROM rr ORDER BY score DESC, column_name LIMIT 3)
     UNION ALL SELECT 'classification', column_name, {r('mi')} FROM (SELECT * FROM mi ORDER BY mi DESC, column_name LIMIT 3)""")
 def key_features(spark, d):
     price = R.Target("l_extendedprice", "regression", "numeric_continuous")
     flag = R.Target("l_returnflag", "classification", "multiclass_text_labels")
-    li = table(spark, d, "lineitem").select(*MI_FEATURES, "l_returnflag")
+    li = mi_input(spark, d)
     out = [
         I.top_features(I.feature_scores(df, t), 3).select(F.lit(t.task).alias("task"), "column_name", "score")
         for df, t in ((clean_input(spark, d), price), (li, flag))

@@ -11,8 +11,8 @@ from tabwright.plans.catalog import QUERIES, SQL
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
     "profile_table", "column_statistics", "describe_numeric", "mode_value", "target_correlation", "ffill_bfill_datetime", "scan_csv",
-    "feature_align", "lookup_map", "suggest_encoding_roles", "f_regression_scores", "mutual_info_scores", "run_suite", "clean_table",
-    "tfidf_50", "encode_table", "target_mean_encode", "classification_metrics", "shap_values", "predict_with_proba", "scenario_compare",
+    "feature_align", "lookup_map", "suggest_encoding_roles", "f_regression_scores", "mutual_info_scores", "run_suite", "clean_pipeline",
+    "tfidf_50", "encode_pipeline", "target_mean_encode", "classification_metrics", "shap_values", "predict_with_proba", "scenario_compare",
     "sweep_monotonicity", "slider_config", "stage_state", "run_results_rollup",
 ]
 
