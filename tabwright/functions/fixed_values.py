@@ -36,6 +36,15 @@ FEATURE_CATEGORY_WORDS = {
     "product": ("product", "service", "category", "type", "brand", "model"),
 }
 
+# Most classes that a model comparison takes on.
+MOST_CLASSES = 2_000
+
+# Cells of a CSV file that count as missing.
+MISSING_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)
+
 # Text booleans.
 TRUE_WORDS = ("yes", "y", "true", "1", "on", "enabled")
 FALSE_WORDS = ("no", "n", "false", "0", "off", "disabled")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import col, kinds
+from ..functions.sizing import rows_if_bounded
 from .metrics import confusion_matrix, regression_metrics, weighted_metrics
 
 CLASSIFICATION_METRICS = ("accuracy", "auc", "f1", "precision", "recall")
@@ -128,12 +129,12 @@ def _auc(predicted: DataFrame, target: str, classes: int) -> float | None:
     """Area under the curve; for several classes each against the rest, weighted by its rows."""
     if classes == 2:
         found = "rawPrediction" in predicted.columns
-        return BinaryClassificationEvaluator(labelCol=target).evaluate(predicted) if found else None
+        return BinaryClassificationEvaluator(labelCol=target, numBins=0).evaluate(predicted) if found else None
     if "probability" not in predicted.columns:
         return None
     support = {r[0]: r[1] for r in predicted.groupBy(col(target)).count().collect()}  # one row per class
     p = vector_to_array(F.col("probability"))
-    one = BinaryClassificationEvaluator(labelCol="__is", rawPredictionCol="__p")
+    one = BinaryClassificationEvaluator(labelCol="__is", rawPredictionCol="__p", numBins=0)
     area = {
         k: one.evaluate(predicted.select((col(target) == k).cast("double").alias("__is"), p[k].alias("__p")))
         for k in range(classes) if support.get(k)
@@ -149,19 +150,32 @@ def compare_models(
     exclude: Sequence[str] = (),
     parallelism: int = 4,
     models: dict[str, Estimator] | None = None,
+    training_rows: int | None = None,
 ) -> DataFrame:
-    """(model, rank, fold metrics averaged) for every candidate.
+    """(model, rank, folds_done, error, fold metrics averaged) for every candidate.
 
     Folds are a hash of `keys`.  The assembled table is cached once and every
-    fit reads it; fits run side by side as `pyspark.ml.tuning` does.
+    fit reads it; fits run side by side as `pyspark.ml.tuning` does.  Class
+    labels may be any numbers; models see their positions.  `training_rows`
+    bounds the rows that are compared on, by a hash of `keys` (None: all).
+    A model that fails in any fold has no metrics, only its error; when all
+    fail the comparison does.
     """
     data = filter_null_target(df, target)
     features = feature_columns(data, target, keys)
-    rows, top = data.agg(F.count(F.lit(1)), F.max(col(target))).first()
+    rows = data.count()
     if rows == 0:
         raise ValueError("no rows with a target")
+    if training_rows is not None and rows > training_rows:
+        share = F.pmod(F.xxhash64(F.lit("rows"), *[col(k) for k in keys]), F.lit(1_000_000))
+        data = data.where(share < F.lit(training_rows * 1_000_000 // rows))
+        rows = training_rows
     folds = fold_count(rows)
-    classes = int(top) + 1 if task == "classification" else 0
+    classes = 0
+    if task == "classification":
+        levels = class_values(data, target)
+        classes = len(levels)
+        data = data.withColumn(target, F.array_position(F.array(*[F.lit(v) for v in levels]), col(target).cast("double")).cast("int") - 1)
     models = models or candidates(task, classes, len(features))
     models = {m: e for m, e in models.items() if m not in exclude}
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
@@ -177,8 +191,8 @@ def compare_models(
         try:
             fitted = models[name].copy().setLabelCol(target).fit(table.where(F.col("__fold") != k))
             return name, _scores(fitted.transform(table.where(F.col("__fold") == k)), target, task, classes)
-        except Exception as problem:  # a candidate that cannot learn this table is left out
-            return name, str(problem)
+        except Exception as problem:  # reported with the model
+            return name, f"{type(problem).__name__}: {str(problem)[:300]}"
 
     try:
         with ThreadPoolExecutor(parallelism) as pool:
@@ -188,15 +202,24 @@ def compare_models(
     names = CLASSIFICATION_METRICS if task == "classification" else REGRESSION_METRICS
     rows_out = []
     for m in models:
-        got = [s for name, s in results if name == m and isinstance(s, dict)]
-        if not got:
-            continue
-        mean = lambda key: (lambda v: sum(v) / len(v) if v else None)([g[key] for g in got if g[key] is not None])
-        rows_out.append((m, *[mean(k) for k in names]))
-    schema = "model string, " + ", ".join(f"{k} double" for k in names)
+        own = [s for name, s in results if name == m]
+        got = [s for s in own if isinstance(s, dict)]
+        mean = lambda key: (lambda v: sum(v) / len(v) if v and len(got) == folds else None)([g[key] for g in got if g[key] is not None])
+        rows_out.append((m, len(got), next((s for s in own if isinstance(s, str)), None), *[mean(k) for k in names]))
+    if rows_out and not any(r[1] == folds for r in rows_out):
+        raise RuntimeError("no model could be compared: " + "; ".join(f"{r[0]}: {r[2]}" for r in rows_out))
+    schema = "model string, folds_done int, error string, " + ", ".join(f"{k} double" for k in names)
     return leaderboard(df.sparkSession.createDataFrame(rows_out, schema), task)
 
 
+def class_values(df: DataFrame, target: str, limit: int = fv.MOST_CLASSES) -> list[float]:
+    """The sorted distinct labels of a numeric target; refuses more than `limit`."""
+    rows = rows_if_bounded(df.select(col(target).cast("double").alias("v")).distinct(), limit)
+    if rows is None:
+        raise ValueError(f"{target} has more than {limit} classes")
+    return sorted(r["v"] for r in rows)
+
+
 def leaderboard(table: DataFrame, task: str, by: str | None = None) -> DataFrame:
     """Add `rank` (best first, ties by name); the table has one row per model."""
     by = by or ("accuracy" if task == "classification" else "r2")
@@ -211,7 +234,7 @@ def top_models(table: DataFrame, n: int = 5) -> DataFrame:
 def winner(table: DataFrame, task: str, classes: int = 2, features: int = 1) -> tuple[str, Estimator]:
     """The best model's name and estimator; the plain linear model if there is none."""
     row = table.orderBy("rank").first()
-    if row is None:
+    if row is None or ("error" in table.columns and row["error"] is not None):
         return "fallback", fallback(task)
     return row["model"], candidates(task, classes, features)[row["model"]]
 

@@ -129,9 +129,9 @@ ENCODE_EXPRS = [
 @query("encode_pipeline", f"""WITH o AS (SELECT {', '.join(ENCODE_EXPRS)} FROM orders), {tfidf_sql('o', 'o_orderkey', 'o_note', 4)},
     wide AS (SELECT o_orderkey, {', '.join(f"coalesce(max(CASE WHEN i = {i} THEN weight END), 0) AS t{i}" for i in range(4))} FROM weights JOIN voc USING (term) GROUP BY 1)
     SELECT o.o_orderkey, {r('(o_totalprice - (SELECT avg(o_totalprice) FROM o)) / (SELECT stddev_pop(o_totalprice) FROM o)')} AS o_totalprice,
-    {', '.join(f"CAST(o_orderstatus = '{v}' AS INTEGER) AS o_orderstatus_{v}" for v in 'FOP')},
-    CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority, {parts_sql('o_orderdate')},
-    CAST(o_big AS INTEGER) AS o_big, {', '.join(f"{r(f'coalesce(t{i}, 0)')} AS o_note_tfidf_{i}" for i in range(4))}, CAST(o_target AS INTEGER) AS o_target
+    CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority, CAST(o_big AS INTEGER) AS o_big, CAST(o_target AS INTEGER) AS o_target,
+    {', '.join(f"CAST(o_orderstatus = '{v}' AS INTEGER) AS o_orderstatus_{v}" for v in 'FOP')}, {parts_sql('o_orderdate')},
+    {', '.join(f"{r(f'coalesce(t{i}, 0)')} AS o_note_tfidf_{i}" for i in range(4))}
     FROM o LEFT JOIN wide ON o.o_orderkey = wide.o_orderkey""")
 def encode_pipeline(spark, d):
     o = spread(table(spark, d, "orders"), "o_orderkey").selectExpr(*ENCODE_EXPRS)
@@ -149,7 +149,7 @@ def interaction_features(spark, d):
 @query("target_mean_encode", f"""SELECT o_orderkey, o_custkey, {r('avg(o_totalprice) OVER (PARTITION BY o_custkey)', 7)} AS mean_price FROM orders""")
 def target_mean_encode(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return rounded(E.target_mean_encode(o, "o_custkey", "o_totalprice", "mean_price").drop("o_totalprice"), 7)
+    return rounded(E.target_mean_encode(o, "o_custkey", "o_totalprice", "mean_price"), 7).select("o_orderkey", "o_custkey", "mean_price")
 
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")

@@ -28,7 +28,7 @@ def training_input_checks(spark, d):
     o_orderkey, o_totalprice FROM orders""")
 def train_test_split(spark, d):
     train, test = T.train_test_split(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
-    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return train.select(F.lit("train").alias("part"), "*").unionByName(test.select(F.lit("test").alias("part"), "*"))
 
 
 def quality_rows(spark, d):

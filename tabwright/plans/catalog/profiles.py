@@ -21,7 +21,7 @@ def nulls(c):
     f"SELECT '{c}' AS column_name, '{k}' AS dtype, count(*) AS n_rows, count({c}) AS non_null, "
     f"{r(f'{nulls(c)} * 100.0 / count(*)', 4)} AS missing_pct FROM h" for c, k in HOLED.items()], f"WITH {HOLED_SQL}"))
 def profile_table(spark, d):
-    return rounded(P.profile_table(holed(spark, d)), 4)
+    return rounded(P.profile_table(holed(spark, d)), 4).select("column_name", "dtype", "n_rows", "non_null", "missing_pct")
 
 
 @query("ingest_stats", f"""WITH {HOLED_SQL} SELECT count(*) AS n_rows, CAST({len(HOLED)} AS BIGINT) AS n_columns,
@@ -56,7 +56,8 @@ def null_profile(spark, d):
     f"CAST(min({c}) AS DOUBLE) AS min, {r(f'quantile_cont({c}, 0.25)', 4)} AS q25, {r(f'quantile_cont({c}, 0.5)', 4)} AS median, "
     f"{r(f'quantile_cont({c}, 0.75)', 4)} AS q75, CAST(max({c}) AS DOUBLE) AS max FROM lineitem" for c in NUMERIC]))
 def describe_numeric(spark, d):
-    return rounded(P.describe_numeric(table(spark, d, "lineitem")), 4)
+    out = rounded(P.describe_numeric(table(spark, d, "lineitem")), 4)
+    return out.select("column_name", "count", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
 @query("cardinality_categorical", union([

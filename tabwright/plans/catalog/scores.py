@@ -309,8 +309,8 @@ def run_metric_summary(spark, d):
     return rounded(runlog.run_metric_summary(log(spark, d)), 4)
 
 
-@query("run_results_rollup", f"""WITH {LATEST_SQL}, {METRIC_SQL} SELECT l.run_id, stage, status, n_events, {METRIC_COLUMNS},
-    CAST(CASE WHEN status IN ('completed', 'failed') THEN 100 ELSE {PROGRESS} END AS INTEGER) AS progress_pct FROM latest l LEFT JOIN m ON l.run_id = m.run_id""")
+@query("run_results_rollup", f"""WITH {LATEST_SQL}, {METRIC_SQL} SELECT l.run_id, stage, status, n_events,
+    CAST(CASE WHEN status IN ('completed', 'failed') THEN 100 ELSE {PROGRESS} END AS INTEGER) AS progress_pct, {METRIC_COLUMNS} FROM latest l LEFT JOIN m ON l.run_id = m.run_id""")
 def run_results_rollup(spark, d):
     entries = log(spark, d)
     latest = runlog.stage_progress(runlog.run_latest_status(entries))

@@ -13,13 +13,18 @@ from .models import LINEAR_FEATURES, LINEAR_SQL, linear_inputs, linear_model
 
 
 @query("scan_csv", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
-    strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders""")
+    strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority,
+    CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 END AS gaps, 'He said "' || o_orderpriority || '", ok' AS said FROM orders""")
 def scan_csv(spark, d):
     path = new_path(spark, "csv")
-    orders = table(spark, d, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    orders = table(spark, d, "orders").withColumns({
+        "o_orderdate": F.date_format("o_orderdate", "yyyy-MM-dd"),
+        "gaps": F.expr("CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderkey % 5 AS STRING) ELSE 'NA' END"),
+        "said": F.concat(F.lit('He said "'), "o_orderpriority", F.lit('", ok')),
+    })
     tables.write_prepared(orders, path, as_csv=True)
     out = tables.scan_csv(spark, path)
-    return out.withColumns({"o_orderkey": F.col("o_orderkey").cast("bigint"), "o_custkey": F.col("o_custkey").cast("bigint")})
+    return out.withColumns({"o_orderkey": F.col("o_orderkey").cast("bigint"), "o_custkey": F.col("o_custkey").cast("bigint"), "gaps": F.col("gaps").cast("bigint")})
 
 
 @query("scan_ml_ready", """SELECT o_orderkey, o_totalprice, CAST(o_orderstatus = 'F' AS INTEGER) AS is_final FROM orders""")

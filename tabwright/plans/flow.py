@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import fixed_values as fv
 from ..functions.columns import kinds
 from ..functions.sizing import new_path, pinned
 from ..operators import cleaning, encoding, expectations, explaining, roles as R, training
@@ -37,11 +38,18 @@ def run_table(
     target: str | None = None,
     confirmed: Mapping[str, str] | None = None,
     exclude_models: Sequence[str] = (),
+    training_rows: int | None = None,
+    explained_rows: int = fv.EXPLAIN_ROWS,
+    background_rows: int = explaining.BACKGROUND_ROWS,
+    permutations: int = 2,
 ) -> Outcome:
     """Roles, gate, clean-up, encoding, model comparison, refit and attribution.
 
     `keys` identify a row: they split folds, order fills and pick samples, and
-    are never features.
+    are never features.  `training_rows` bounds what models are compared on; the
+    winner is fitted on all rows.  Linear winners are explained in closed form
+    over all rows, others by `permutations` over `explained_rows` rows against
+    `background_rows`; the importance table says how many rows it rests on.
     """
     goal = R.suggest_target(df, target)
     suggested = {c: r for c, r in R.suggest_roles(df).items() if c not in keys}
@@ -61,7 +69,7 @@ def run_table(
     encoder = encoding.fit_encoder(clean, features, goal)
     stage = encoder.as_stage(clean)
     ready = stage.transform(clean)
-    board = training.compare_models(ready, goal.name, goal.task, keys, exclude=exclude_models)
+    board = training.compare_models(ready, goal.name, goal.task, keys, exclude=exclude_models, training_rows=training_rows)
     width = len(training.feature_columns(ready, goal.name, keys))
     classes = 2
     if goal.task == "classification":
@@ -69,11 +77,18 @@ def run_table(
     name, estimator = training.winner(board, goal.task, classes, width)
     model = training.finalize(estimator, clean, goal.name, exclude=keys, stages=[stage])
     names = model.stages[-2].getInputCols()
-    sample = explaining.explain_sample(ready, keys)
-    inner = PipelineModel(stages=model.stages[1:])
-    output = explaining.class_outputs(inner, classes) if goal.task == "classification" else None
-    phi = explaining.shapley_by_permutation(inner, sample, keys, names, output, permutations=2)
-    return Outcome(goal, chosen, checks, verdict, encoder, board, name, model, explaining.global_importance(phi))
+    last = model.stages[-1]
+    if goal.task == "regression" and hasattr(last, "coefficients"):
+        explained = training.filter_null_target(ready, goal.name)
+        rows = explained.count()
+        phi = explaining.linear_attribution(explained, keys, dict(zip(names, map(float, last.coefficients))))
+    else:
+        sample, rows = explaining.explain_sample(ready, keys, explained_rows), explained_rows
+        inner = PipelineModel(stages=model.stages[1:])
+        output = explaining.class_outputs(inner, classes) if goal.task == "classification" else None
+        phi = explaining.shapley_by_permutation(inner, sample, keys, names, output, permutations, background_rows)
+    importance = explaining.global_importance(phi).withColumn("most_rows", F.lit(rows))
+    return Outcome(goal, chosen, checks, verdict, encoder, board, name, model, importance)
 
 
 def run_file(spark: SparkSession, path: str, keys: Sequence[str], **options) -> Outcome:

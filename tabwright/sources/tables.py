@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.columns import col, kinds, nan_to_null, preview_text
+from ..functions import fixed_values as fv
+from ..functions.columns import NUMBER_PATTERN, col, kinds, nan_to_null, preview_text
 
 EVENT_SCHEMA = (
     "timestamp timestamp_ntz, severity string, stage string, run_id string, event string, event_data map<string, string>"
@@ -24,24 +25,49 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 
 
 def scan_csv(
-    spark: SparkSession, path: str, schema: str | T.StructType | None = None, parse_dates: bool = False
+    spark: SparkSession, path: str, schema: str | T.StructType | None = None, parse_dates: bool = False,
+    multi_line: bool = False, missing: Sequence[str] = fv.MISSING_TOKENS,
 ) -> DataFrame:
     """A headered CSV with inferred types; malformed or empty input is refused.
 
-    Inference reads the data once more; pass `schema` to avoid that on large
-    input.  Dates stay text unless `parse_dates`.  A row that does not fit the
-    header fails the job that reads it.
+    A quote inside quotes is doubled, cells in `missing` are NULL before types are looked for, and cells may
+    hold line breaks with `multi_line` (a file is then one task, so ask for it only where needed).
+    Inference is one more pass over the data; pass `schema` to avoid it.  Dates stay text unless
+    `parse_dates`.  A row that does not fit the header fails the job that reads it.
     """
-    reader = spark.read.option("header", True).option("mode", "FAILFAST").option("nanValue", "nan")
+    reader = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"').option("multiLine", multi_line)
+    text = reader.option("inferSchema", False).csv(path)
+    cells = text.select(*[F.when(~col(c).isin(*missing), col(c)).alias(c) for c in text.columns])
+    require_rows(cells, path)
     if schema is None:
-        found = reader.option("inferSchema", True).csv(path).schema
-        if not parse_dates:
-            dates = (T.DateType, T.TimestampType, T.TimestampNTZType)
-            found = T.StructType([
-                T.StructField(f.name, T.StringType() if isinstance(f.dataType, dates) else f.dataType) for f in found
-            ])
-        schema = found
-    return nan_to_null(require_rows(reader.schema(schema).csv(path), path))
+        kinds_found = _csv_types(cells, parse_dates)
+    else:
+        wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        kinds_found = {f.name: f.dataType.simpleString() for f in wanted}
+    return nan_to_null(cells.select(*[
+        (col(c) if kinds_found[c] == "string" else F.trim(col(c)).cast(kinds_found[c])).alias(c) for c in text.columns if c in kinds_found
+    ]))
+
+
+def _csv_types(cells: DataFrame, parse_dates: bool) -> dict[str, str]:
+    """The narrowest type that holds every cell of a column: one aggregate over the text."""
+    def fits(c: str) -> dict[str, Column]:
+        x = F.trim(col(c))
+        tests = {
+            "int": x.rlike(r"^[+-]?\d+$") & x.try_cast("int").isNotNull(), "bigint": x.rlike(r"^[+-]?\d+$") & x.try_cast("bigint").isNotNull(),
+            "double": x.rlike(NUMBER_PATTERN), "boolean": F.lower(x).isin("true", "false"),
+        }
+        return tests | ({"timestamp": x.try_cast("timestamp").isNotNull()} if parse_dates else {})
+
+    checks = [(c, kind, test) for c in cells.columns for kind, test in fits(c).items()]
+    row = cells.agg(
+        *[F.bool_and(F.when(col(c).isNotNull(), test)).alias(f"t{i}") for i, (c, _, test) in enumerate(checks)]
+    ).first()  # one row
+    found = dict.fromkeys(cells.columns, "string")
+    for i, (c, kind, _) in reversed(list(enumerate(checks))):
+        if row[f"t{i}"]:
+            found[c] = kind
+    return found
 
 
 def scan_ml_ready(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +77,7 @@ def scan_ml_ready(spark: SparkSession, path: str) -> DataFrame:
 
 def write_prepared(df: DataFrame, path: str, as_csv: bool = False) -> None:
     if as_csv:
-        df.write.mode("overwrite").option("header", True).csv(path)
+        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     else:
         df.write.mode("overwrite").parquet(path)
 

@@ -1,4 +1,4 @@
-"""A sample of the registered queries against their SQL; check.py runs them all."""
+"""The registered queries against their SQL: rows, names, order and kinds of types."""
 
 from pathlib import Path
 
@@ -9,19 +9,15 @@ import check
 from tabwright.plans.catalog import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
-SAMPLE = [
-    "profile_table", "column_statistics", "describe_numeric", "mode_value", "target_correlation", "ffill_bfill_datetime", "scan_csv",
-    "feature_align", "lookup_map", "suggest_encoding_roles", "f_regression_scores", "mutual_info_scores", "run_suite", "clean_pipeline",
-    "tfidf_50", "encode_pipeline", "target_mean_encode", "classification_metrics", "shap_values", "predict_with_proba", "scenario_compare",
-    "sweep_monotonicity", "slider_config", "stage_state", "run_results_rollup",
-]
+SLOW = {"compare_models", "leaderboard"}  # check.py runs them
+ALL = sorted(set(QUERIES) - SLOW)
 
 
 def test_names():
     assert set(SQL) <= set(QUERIES) and len(QUERIES) >= 140
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", ALL)
 def test_query_equals_sql(spark, name):
     if not Path(FOLDER).exists():
         pytest.skip("no test tables here")
@@ -29,7 +25,11 @@ def test_query_equals_sql(spark, name):
     for t in check.TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     df = QUERIES[name](spark, FOLDER)
+    if name not in SQL:
+        assert df.count() > 0
+        return
     cur = con.execute(SQL[name])
+    assert not check.kinds_differ(df, [(c[0], c[1]) for c in cur.description])
     names = [c[0] for c in cur.description]
     assert sorted(df.columns) == sorted(names)
     assert check.rows_of(df.columns, [tuple(r) for r in df.collect()]) == check.rows_of(names, cur.fetchall())
