@@ -18,6 +18,8 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from .words import CACHED_WORDS
+
 OUTSIDE = 0
 OFFSETS = (0, -1, -2, 1)
 TABLES = len(OFFSETS) + 1  # and one for the coarse category here
@@ -159,7 +161,7 @@ class Categories(dict):
         self.of = of
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > CACHED_WORDS:
             self.clear()
         found = self[token] = self.of(token)
         return found

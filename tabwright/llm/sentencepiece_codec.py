@@ -24,7 +24,7 @@ from .words import passed_on, slices
 
 MARKER = "▁"
 MARKED_WORD = re.compile(f"{MARKER}+[^{MARKER}]*")
-TABLE_WORDS = 400_000
+TABLE_WORDS = 150_000
 
 
 def words_are_independent(model: sentencepiece.SentencePieceProcessor) -> bool:

@@ -30,7 +30,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .words import ALPHANUMERIC, WordHashes, grams, hashed, passed_on, slices, words_of
+from .words import ALPHANUMERIC, CACHED_WORDS, WordHashes, grams, hashed, passed_on, slices, words_of
 
 SAMPLE_ROWS = 50_000
 LEXICON_ENTRIES = 20_000
@@ -104,7 +104,7 @@ class Classes(dict):
         self.closed = {w.encode(): c for c, words in CLOSED_CLASSES.items() for w in words}
 
     def __missing__(self, word: bytes) -> tuple[int, float]:
-        if len(self) > 500_000:
+        if len(self) > CACHED_WORDS:
             self.clear()
         weight = max((self.lexicon.get(f, 0.0) for f in forms(word)), default=0.0)
         kind = INSULT if weight > 0 else self.closed.get(word, OTHER)
@@ -171,16 +171,20 @@ def learn_lexicon(rows: DataFrame, positive: int, negative: int) -> dict[bytes,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def counted() -> pa.RecordBatch:
+            keys = list(seen[0].keys() | seen[1].keys())
+            columns = [pa.array(keys, pa.binary()), *[pa.array([c[k] for k in keys], pa.int64()) for c in (seen[1], seen[0])]]
+            for c in seen:
+                c.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["form", "toxic", "clean"])
+
         for b in slices(batches, "body"):
             for toxic, text in zip(b.column("toxic").to_pylist(), b.column("body").to_pylist()):
                 seen[toxic].update({f for w in set(words_of(text, ALPHANUMERIC)) for f in forms(w)})
-        keys = list(seen[0].keys() | seen[1].keys())
-        for a in range(0, len(keys), 50_000):
-            part = keys[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.binary()), pa.array([seen[1][k] for k in part], pa.int64()), pa.array([seen[0][k] for k in part], pa.int64())],
-                names=["form", "toxic", "clean"],
-            )
+            if len(seen[0]) + len(seen[1]) > CACHED_WORDS:  # the rest is summed behind the shuffle
+                yield counted()
+        yield counted()
 
     share = positive / (positive + negative)
     n, t, c = F.col("toxic") + F.col("clean"), F.col("toxic"), F.col("clean")

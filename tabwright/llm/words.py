@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, types as T
 
-SLICE_BYTES = 4 << 20
-CACHED_WORDS = 500_000
+SLICE_BYTES = 2 << 20
+CACHED_WORDS = 150_000
 
 # White space \x20 \x09-\x0D separates words; A-Z is lower-cased.
 SPACED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
