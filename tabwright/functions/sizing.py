@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions
 from .columns import col
 
 DRIVER_ROWS = 20_000
+DRIVER_CHARS = 8_000_000
 HOT_KEYS = 1_000
 SALTS = 1_024
 
@@ -78,14 +79,15 @@ def lookup(
     """
     spark = df.sparkSession
     values = [c for c in params.columns if c not in (key, weight)]
+    params = pinned(params.select(key, *values, *([weight] if weight else [])))  # read up to four times below
     rows = rows_if_bounded(params.select(key, *values), limit)
-    if rows is not None:
+    if rows is not None and sum(len(str(v)) for r in rows for v in r) <= DRIVER_CHARS:
         small = spark.createDataFrame(rows, params.select(key, *values).schema)
         return df.join(F.broadcast(small), key, "left")
-    params = pinned(params.select(key, *values, *([weight] if weight else [])))  # read three times below
     cold = params.select(key, *[F.col(v).alias(f"__cold_{v}") for v in values]).withColumn("__salt", F.lit(0))
     if weight is None:
-        joined = df.withColumn("__salt", F.lit(0)).join(cold, [key, "__salt"], "left")
+        apart = F.lit(1) + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+        joined = df.withColumn("__salt", F.when(col(key).isNull(), apart).otherwise(F.lit(0))).join(cold, [key, "__salt"], "left")
         return joined.select(*[col(c) for c in df.columns], *[F.col(f"__cold_{v}").alias(v) for v in values])
     total = params.agg(F.sum(weight)).first()[0] or 0
     heavy = params.where(F.col(weight) > F.lit(total / HOT_KEYS))
@@ -120,12 +122,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
-def slotted(df: DataFrame, order: Sequence[Column | str], slot: str = "__slot") -> DataFrame:
+def slotted(df: DataFrame, order: Sequence[Column | str], slot: str = "__slot", slots: int | None = None) -> DataFrame:
     """Split `df` into contiguous ranges of `order`; `slot` numbers the ranges.
 
-    The split depends on sampling, so it is pinned before anyone reads it.
+    As many ranges as the input has splits (those are sized by bytes), or as shuffles have partitions if
+    that is more.  The split depends on sampling, so it is pinned before anyone reads it.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = slots or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     return pinned(df.repartitionByRange(parts, *order).withColumn(slot, F.spark_partition_id()))
 
 

@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from math import log
 
-from pyspark.ml.feature import SQLTransformer, StopWordsRemover
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.feature import SQLTransformer, StringIndexerModel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
@@ -23,6 +24,7 @@ from .importance import label_codes
 from .roles import Target
 
 MAX_WIDE_LEVELS = 2_000
+MAX_CODED_LEVELS = 200_000
 PARAM_SCHEMA = "position int, column_name string, kind string, state string"
 
 
@@ -240,6 +242,9 @@ class Encoder:
             elif s.kind in ("ordinal", "labels"):
                 code = self._position(self._shown(q, types[c]), s.state["levels"])
                 out.append(f"{f'coalesce({code}, -1)' if s.kind == 'ordinal' else code} AS {q}")
+            elif s.kind == "code":
+                code = quoted(f"__code_{c}")
+                out.append(f"CASE WHEN {code} >= {len(s.state['levels'])} THEN -1 ELSE CAST({code} AS INT) END AS {q}")
             elif s.kind == "to_int":
                 out.append(f"CAST({q} AS INT) AS {q}")
             elif s.kind == "to_double":
@@ -315,9 +320,21 @@ class Encoder:
     def transform(self, df: DataFrame) -> DataFrame:
         return self.as_stage(df).transform(df)
 
-    def as_stage(self, df: DataFrame) -> SQLTransformer:
-        """A pipeline stage with the same effect, saved and loaded with the model."""
-        return SQLTransformer(statement=self.statement(df.columns, kinds(df)))
+    def as_stage(self, df: DataFrame) -> Transformer:
+        """A pipeline stage with the same effect, saved and loaded with the model.
+
+        Columns with very many values get their codes from a hash table ahead of the statement.
+        """
+        types = kinds(df)
+        last = SQLTransformer(statement=self.statement(df.columns, types))
+        coded = [s for s in self.steps if s.kind == "code" and s.column in df.columns]
+        if not coded:
+            return last
+        shown = ", ".join(f"{self._shown(quoted(s.column), types[s.column])} AS {quoted(f'__text_{s.column}')}" for s in coded)
+        tables = [
+            StringIndexerModel.from_labels(s.state["levels"], f"__text_{s.column}", f"__code_{s.column}", handleInvalid="keep") for s in coded
+        ]
+        return PipelineModel([SQLTransformer(statement=f"SELECT *, {shown} FROM __THIS__"), *tables, last])
 
     # Persisting: one small table.
 
@@ -338,7 +355,7 @@ class Encoder:
             if c == target:
                 continue
             step = next((s for s in self.steps if s.column == c), None)
-            if step is None or step.kind in ("scale", "ordinal", "to_int", "to_double", "text_boolean", "labels"):
+            if step is None or step.kind in ("scale", "ordinal", "code", "to_int", "to_double", "text_boolean", "labels"):
                 pairs.append((c, c))
             elif step.kind == "one_hot":
                 pairs += [(c, f"{c}_{v}") for v in step.state["levels"]]
@@ -352,17 +369,23 @@ class Encoder:
 
 def fit_encoder(
     df: DataFrame, roles: Mapping[str, str], target: Target | None = None, stop_words: Sequence[str] | None = None,
-    terms: int = fv.TFIDF_TERMS,
+    terms: int = fv.TFIDF_TERMS, wide_levels: int = MAX_WIDE_LEVELS,
 ) -> Encoder:
-    """Fit every column by its role; columns without a role are left as they are."""
+    """Fit every column by its role; columns without a role are left as they are.
+
+    A category with more than `wide_levels` values becomes one column of codes in place of 0/1 columns:
+    positions among the sorted values, -1 for NULL and unseen ones (up to MAX_CODED_LEVELS values, which
+    travel with the model).
+    """
     folded = kinds(df)
     features = {c: r for c, r in roles.items() if c in df.columns and (target is None or c != target.name)}
     of = lambda *wanted: [c for c in df.columns if features.get(c) in wanted]
     steps = {s.column: s for s in _fit_scales(df, of("numeric-continuous", "numeric-discrete"))}
     nominal, ordinal = of("categorical-nominal"), of("categorical-ordinal")
-    levels = levels_of(df, nominal + ordinal)
+    levels = levels_of(df, nominal + ordinal, MAX_CODED_LEVELS)
     for c in nominal + ordinal:
-        steps[c] = Step(c, "one_hot" if c in nominal else "ordinal", {"levels": levels[c]})
+        kind = "code" if len(levels[c]) > wide_levels else "one_hot" if c in nominal else "ordinal"
+        steps[c] = Step(c, kind, {"levels": levels[c]})
     for c in of("boolean"):
         steps[c] = text_boolean(df, c) if folded[c] == "str" else Step(c, "to_int")
     for c in of("datetime"):

@@ -54,3 +54,16 @@ def test_attribution_makes_two_parts_a_row(spark):
     base = model.transform(X.explain_sample(df, ["id"], 4)).agg(F.avg("prediction")).first()[0]
     assert all(abs(total[r["id"]] - (r["prediction"] - base)) < 1e-9 for r in model.transform(df).collect())
     assert phi.count() == 30 * 40
+
+
+def test_three_thousand_categories_become_codes(spark, tmp_path):
+    df = spark.range(6_000).selectExpr("id", "CASE WHEN id > 5 THEN concat('city', lpad(id % 3000, 4, '0')) END AS city", "id % 2 AS y")
+    encoder = E.fit_encoder(df, {"city": "categorical-nominal", "id": "identifier_ignore"})
+    stage = encoder.as_stage(df)
+    stage.write().overwrite().save(str(tmp_path / "stage"))
+    new = df.withColumn("city", F.when(F.col("id") == 7, "elsewhere").otherwise(F.col("city")))
+    got = type(stage).load(str(tmp_path / "stage")).transform(new)
+    assert got.columns == ["city", "y"] and got.count() == 6_000
+    kept = encoder.transform(df.withColumn("n", F.col("id"))).select("n", "city").collect()
+    assert {r["n"]: r["city"] for r in kept} == {i: i % 3000 if i > 5 else -1 for i in range(6_000)}
+    assert got.where("city = -1").count() == 7 and "city" in dict(encoder.column_mapping(df)).values()
