@@ -52,8 +52,13 @@ def build_suite(
     columns: Sequence[str],
     roles: Mapping[str, tuple[str, str]],
     target: Target | None = None,
+    bounds: Mapping[str, tuple[float, float]] | None = None,
 ) -> list[Expectation]:
-    """Specs for a table; `roles` maps a column to its (folded dtype, role)."""
+    """Specs for a table; `roles` maps a column to its (folded dtype, role).
+
+    `bounds` are the ranges of numeric columns, as `numeric_bounds` learns them from a reference table;
+    without them the range check of a column has no limits and cannot fail.
+    """
     suite = [
         Expectation(fv.EXP_COLUMNS_ORDERED, None, {"columns": list(columns)}),
         Expectation(fv.EXP_ROW_COUNT, None, {"min": 1, "max": None}),
@@ -70,7 +75,8 @@ def build_suite(
         elif role == "boolean":
             suite.append(Expectation(fv.EXP_UNIQUE_COUNT, c, {"min": 2, "max": 3}))
         elif role in ("numeric-continuous", "numeric-discrete") and dtype in ("int", "float"):
-            suite.append(Expectation(fv.EXP_BETWEEN, c, {"min": None, "max": None, "mostly": fv.BETWEEN_MOSTLY}))
+            low, high = (bounds or {}).get(c, (None, None))
+            suite.append(Expectation(fv.EXP_BETWEEN, c, {"min": low, "max": high, "mostly": fv.BETWEEN_MOSTLY}))
     if target is not None and target.name in columns:
         suite += target_expectations(target)
     return suite

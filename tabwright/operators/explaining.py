@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import col, kinds, sigmoid, softmax
-from .profiling import per_column
 
 BACKGROUND_ROWS = 10
 
@@ -173,7 +172,3 @@ def model_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame
         return None
     spark = SparkSession.getActiveSession()
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, score double")
-
-
-def column_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return per_column(df, list(columns), {"mean": lambda c: F.avg(col(c))})

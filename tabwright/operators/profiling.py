@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import col, count_where, kind_of, kinds, numeric_columns, text_columns
+from ..functions.columns import col, count_where, kinds, numeric_columns, text_columns
 from .frequencies import CELL, distinct_and_missing, is_value, value_frequencies, value_text
 from .quantiles import exact_quantiles
 
@@ -212,7 +212,3 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
         F.coalesce("n", F.lit(0)).alias("n"),
         *[F.lit(overlay[k]).alias(k) for k in ("mean", "std", "min", "max")],
     )
-
-
-def column_kind(df: DataFrame, column: str) -> str:
-    return kind_of(df.schema[column].dataType)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml import classification as C, regression as R
 from pyspark.sql import functions as F
 
-from tabwright.operators import encoding as E, explaining as X, importance as I, roles, training as T
+from tabwright.operators import encoding as E, expectations as Q, explaining as X, forms, importance as I, roles, training as T
 from tabwright.sources import tables
 
 
@@ -67,3 +67,20 @@ def test_three_thousand_categories_become_codes(spark, tmp_path):
     kept = encoder.transform(df.withColumn("n", F.col("id"))).select("n", "city").collect()
     assert {r["n"]: r["city"] for r in kept} == {i: i % 3000 if i > 5 else -1 for i in range(6_000)}
     assert got.where("city = -1").count() == 7 and "city" in dict(encoder.column_mapping(df)).values()
+
+
+def test_bounds_learned_from_a_reference_table(spark):
+    old, new = spark.range(100).selectExpr("CAST(id AS DOUBLE) AS x"), spark.range(100).selectExpr("CAST(id * 2 AS DOUBLE) AS x")
+    suite = Q.build_suite(["x"], {"x": ("float", "numeric-continuous")}, bounds=Q.numeric_bounds(old))
+    result = lambda df: {r["expectation"]: r["success"] for r in Q.run_suite(df, suite).collect()}[Q.fv.EXP_BETWEEN]
+    assert result(old) and not result(new)
+
+
+def test_model_card_and_tier_counts(spark):
+    df = spark.range(60).selectExpr("id", "CAST(id AS DOUBLE) AS x", "CAST(id * 2 AS DOUBLE) AS y")
+    board = T.compare_models(df, "y", "regression", ["id"], models={"linear": R.LinearRegression()})
+    card = T.model_card(board, T.finalize(R.LinearRegression(), df, "y", exclude=["id"]), "y", 60).first()
+    assert (card["model"], card["target"], card["n_rows"], card["n_features"]) == ("linear", "y", 60, 1)
+    tiers = I.tiers(spark.createDataFrame([("a", 1.0), ("b", 0.9), ("c", 0.0)], "column_name string, score double"))
+    counts = {(r["grouping"], r["key"]): r["n"] for r in forms.tier_counts(tiers.withColumn("category", F.lit("other"))).collect()}
+    assert counts[("category", "other")] == 3 and sum(n for (g, _), n in counts.items() if g == "tier") == 3
