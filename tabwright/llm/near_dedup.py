@@ -8,11 +8,15 @@
 3. A bucket of n nodes gives n - 1 candidate edges, all from one centre: the node whose buckets are the
    most crowded, which in a group of edited copies is the original.
 4. Candidates are confirmed on the full sets.
-5. Buckets whose nodes are not yet one component get further centres, 4, then 16, 64 and so on, those of
-   the smallest components first; only nodes of other components are compared with them.  It ends when
-   all pairs of open buckets have been compared or a round with several centres finds no link any more.
-   No bucket is capped: a node that stands apart in a bucket is compared with all nodes of that bucket.
-6. Components come from alternating stars.
+5. A bucket is open while two of its components have nodes that were no centre: only such pairs have not
+   been compared.  Open buckets get further centres, 4, then 16, 64 and so on, those of the smallest
+   components first; only nodes of other components are compared with them.
+6. When a round links few of its pairs, as among texts on one template, the nodes of all open buckets are
+   joined once by an exact prefix filter: with shingles in one order, the rare ones first, two sets that
+   reach the threshold have their first common shingle within the first few of both, and no further from
+   their starts than the threshold allows.  Pairs that meet so are confirmed; all others are excluded by
+   that bound or by their sizes.  No bucket is capped and no pair of an open bucket is left out.
+7. Components come from alternating stars.
 
 Sets too small to reach the threshold with any different set need no bands.  Texts without words have an
 empty set and are linked with nothing; fewer words than a shingle give one shingle, the whole sequence.
@@ -42,6 +46,9 @@ BANDS, ROWS = 32, 6
 PROBES = 256
 BROADCAST_NODES = 1_000_000
 GROWTH = 4
+#: A round is worth another one while at least one of so many compared pairs is a link.
+WORTH = 10
+SLOTS = 1 << 18
 
 
 class OnePermutation:
@@ -134,15 +141,76 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     return both.mapInArrow(run, "a long, b long")
 
 
-def first_of_each_bucket(seats: DataFrame, several: int, order: Column | None) -> DataFrame:
-    """bucket, centre, c_shingles, c_component: so many nodes of each bucket, those of the smallest components first."""
+def placed_in_bucket(seats: DataFrame, order: Column | None) -> DataFrame:
+    """With place: the rank of each node in its bucket, those of the smallest components first."""
     if order is None:
         sizes = seats.select("node", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
         seats, order = seats.join(sizes, "component"), F.asc("size")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(order, F.xxhash64("node", "bucket")))
-    return seats.withColumn("place", place).where(F.col("place") <= several).select(
-        "bucket", F.col("node").alias("centre"), F.col("shingles").alias("c_shingles"), F.col("component").alias("c_component")
+    return seats.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(order, F.xxhash64("node", "bucket"))))
+
+
+def crowding(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles of the sets fall into each slot of the hash range; it only orders shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, counts = WordHashes(), np.zeros(SLOTS, np.int64)
+        for b in slices(batches, "body"):
+            for s in shingle_sets(b.column("body").to_pylist(), cache, shingle):
+                np.add.at(counts, (s % np.uint64(SLOTS)).astype(np.int64), 1)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["slot", "n"])
+
+    table = texts.select("body").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[table["slot"].to_numpy()] = table["n"].to_numpy()
+    return counts
+
+
+def prefixes(texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """node, component, shingles, token, at, short: the first shingles of each set, the rare ones first.
+
+    Any set of the threshold has a common shingle among them, and among the `short` ones of the smaller set.
+    """
+    counts = crowding(texts, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for b in slices(batches, "body"):
+            sets = shingle_sets(b.column("body").to_pylist(), cache, shingle)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            reach = sizes - -(-percent * sizes // 100) + 1  # common >= percent of the larger set
+            close = sizes - -(-2 * percent * sizes // (100 + percent)) + 1  # and more than that of the smaller one
+            first = [s[np.lexsort((s, counts[(s % np.uint64(SLOTS)).astype(np.int64)]))[:n]] for s, n in zip(sets, reach.tolist())]
+            taken = np.array([len(s) for s in first], np.int64)
+            at = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
+            row = pa.array(np.repeat(np.arange(len(sets)), taken))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("node").take(row), b.column("component").take(row), pa.array(np.repeat(sizes, taken)), pa.array(np.concatenate(first).view(np.int64)),
+                 pa.array(at), pa.array(at < np.repeat(close, taken))],
+                names=["node", "component", "shingles", "token", "at", "short"],
+            )
+
+    return texts.select("node", "component", "body").mapInArrow(run, "node long, component long, shingles long, token long, at long, short boolean")
+
+
+def remaining_pairs(nodes: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """(b, a): all pairs of nodes of different components that may reach the threshold; nodes: node, component."""
+    rows = pinned(prefixes(texts.join(nodes, "node"), percent, shingle))
+    # Of each token the largest component meets only the others, never itself.
+    crowd = rows.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(
+        F.max_by("component", "n").alias("main"), F.count("*").alias("kinds")
+    ).where("kinds > 1")
+    rows = pinned(rows.join(crowd, "token").select(*rows.columns, (F.col("component") != F.col("main")).alias("apart")))
+    large = rows.select("token", *[F.col(c).alias(f"l_{c}") for c in ("node", "component", "shingles", "at", "apart")])
+    least = F.least(F.col("shingles") - F.col("at"), F.col("l_shingles") - F.col("l_at"))
+    fit = (
+        (F.col("component") != F.col("l_component")) & (F.struct("shingles", "node") < F.struct("l_shingles", "l_node"))
+        & (100 * F.col("shingles") >= percent * F.col("l_shingles")) & ((100 + percent) * least >= percent * (F.col("shingles") + F.col("l_shingles")))
+    )
+    met = rows.where("short AND apart").join(large, "token").where(fit).unionByName(
+        rows.where("short AND NOT apart").join(large.where("l_apart"), "token").where(fit)
     )
+    return met.select(F.greatest("node", "l_node").alias("b"), F.least("node", "l_node").alias("a")).distinct()
 
 
 def stored_texts(docs: DataFrame, wanted: DataFrame) -> tuple[str, DataFrame]:
@@ -179,7 +247,10 @@ def near_groups(
     tried = links = groups = None
     for turn in count():
         several = GROWTH**turn
-        centres = first_of_each_bucket(seats, several, F.desc("weight") if turn == 0 else None)
+        seats = pinned(placed_in_bucket(seats, F.desc("weight") if turn == 0 else None).drop("size"))
+        centres = seats.where(F.col("place") <= several).select(
+            "bucket", F.col("node").alias("centre"), F.col("shingles").alias("c_shingles"), F.col("component").alias("c_component")
+        )
         # No pair of sets whose sizes differ by more than the threshold can reach it.
         sizes_fit = 100 * F.least("shingles", "c_shingles") >= percent * F.greatest("shingles", "c_shingles")
         pairs = seats.join(centres, "bucket").where("component != c_component").where(sizes_fit).select(
@@ -192,10 +263,20 @@ def near_groups(
             links = found if links is None else links.unionByName(found)
             groups = components(links)
             seats = seats.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed_buckets = seats.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-            seats = pinned(seats.join(mixed_buckets.select("bucket"), "bucket"))
-        largest = seats.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if turn and (found.isEmpty() or several >= largest):  # or every open pair has been compared
+        # Pairs with a centre have been compared; a bucket stays open for the others.
+        open_buckets = seats.where(F.col("place") > several).groupBy("bucket").agg(
+            F.min("component").alias("low"), F.max("component").alias("high")
+        ).where("low != high").select("bucket")
+        seats = pinned(seats.drop("place").join(open_buckets, "bucket"))
+        if seats.isEmpty():
+            break
+        if turn and WORTH * found.count() <= pairs.count():
+            unmet = seats.select("node", "component").distinct()
+            pairs = remaining_pairs(pinned(unmet), texts, percent, shingle).join(tried, ["a", "b"], "left_anti")
+            found = pinned(confirmed(pinned(pairs), texts, percent, shingle))
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                groups = components(links)
             break
 
     remove_path(docs.sparkSession, texts_path)

@@ -57,6 +57,21 @@ def test_groups_of_edited_copies(spark, percent):
     assert sum(r.kept for r in got) == groups and all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_pairs_among_texts_on_one_template(spark):
+    """Buckets of hundreds of texts that are no copies of each other, and two pairs that are."""
+    pick = random.Random(5)
+    own = lambda n: [f"o{pick.randrange(10**9)}" for _ in range(n)]
+    template = [f"t{i}" for i in range(454)]
+    tails = [own(50) for _ in range(300)]
+    for i in (50, 150):
+        tails[i + 1] = tails[i][:20] + own(30)
+    rows = [(i, " ".join(template + tail)) for i, tail in enumerate(tails)]
+    want, groups = brute(rows, 85)
+    assert groups == 298
+    got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 85, bands=4).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want)
+
+
 def test_odd_rows(odd, none):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     want, _ = brute(rows, 80)
