@@ -74,7 +74,7 @@ def levels_of(df: DataFrame, columns: Sequence[str], limit: int = MAX_WIDE_LEVEL
     freq = value_frequencies(narrow).where(is_value()).select("column_name", value_text(narrow).alias("value"), *("l", "d"))
     rows = rows_if_bounded(freq, limit * len(columns))
     if rows is None:
-        raise LevelsExceeded(f"more than {limit} values per column in {list(columns)}; use the text or label form")
+        raise LevelsExceeded(f"more than {limit} values per column in {list(columns)}; use one_hot_rows or the text or label form")
     found: dict[str, list[tuple]] = {c: [] for c in columns}
     for r in rows:
         found[r["column_name"]].append((r["l"] if r["l"] is not None else r["d"] if r["d"] is not None else r["value"], r["value"]))
@@ -85,11 +85,24 @@ def levels_of(df: DataFrame, columns: Sequence[str], limit: int = MAX_WIDE_LEVEL
 
 
 def one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One 0/1 column `{column}_{value}` per value; NULL gives all zeros."""
+    """One 0/1 column `{column}_{value}` per value; NULL gives all zeros.  `one_hot_rows` takes any number of values."""
     levels = levels_of(df, columns)
     return Encoder([Step(c, "one_hot", {"levels": levels[c]}) for c in columns]).transform(df)
 
 
+def one_hot_rows(df: DataFrame, keys: Sequence[str], column: str, number: str | None = None) -> DataFrame:
+    """One-hot in long form, for any number of values: (keys, position, value, hot), only the ones.
+
+    `position` counts the sorted distinct values and `value` is their text; a NULL has no row.  With
+    `number`, `hot` is that column in place of 1: the interaction of both.
+    """
+    codes = label_codes(df, column).select(F.col("value").alias(column), F.col("code").alias("position"), "n")
+    narrow = df.where(col(column).isNotNull()).select(*dict.fromkeys([*keys, column, *([number] if number else [])]))
+    hot = col(number) if number else F.lit(1)
+    value = F.expr(Encoder._shown(quoted(column), kinds(df)[column]))
+    return lookup(narrow, codes, column, weight="n").select(*[col(k) for k in keys], "position", value.alias("value"), hot.alias("hot"))
+
+
 def ordinal_codes(df: DataFrame, column: str, name: str) -> DataFrame:
     """Position among the sorted distinct values, NULL -> -1; any number of values."""
     codes = label_codes(df, column).select(F.col("value").alias(column), F.col("code").alias(name), "n")
@@ -164,7 +177,7 @@ def target_mean_encode(df: DataFrame, category: str, target: str, name: str) ->
 
 
 def interaction_features(df: DataFrame, number: str, category: str, prefix: str | None = None) -> DataFrame:
-    """`{number}_x_{value}` columns: the number where the category has that value, else 0."""
+    """`{number}_x_{value}` columns: the number where the category has that value, else 0 (long: `one_hot_rows`)."""
     levels = levels_of(df, [category])[category]
     new = {
         f"{prefix or number}_x_{v.replace(' ', '_')}": col(number) * F.coalesce((col(category) == v).cast("int"), F.lit(0))

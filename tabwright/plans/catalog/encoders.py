@@ -65,6 +65,18 @@ def one_hot(spark, d):
     return E.one_hot(h, ["l_returnflag", "l_number"])
 
 
+@query("one_hot_rows", """SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS INTEGER) AS position,
+    CAST(o_custkey AS VARCHAR) AS value, CAST(1 AS INTEGER) AS hot FROM orders""")
+def one_hot_rows(spark, d):
+    return E.one_hot_rows(table(spark, d, "orders"), ["o_orderkey"], "o_custkey")
+
+
+@query("interaction_rows", """SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS INTEGER) AS position,
+    CAST(o_custkey AS VARCHAR) AS value, o_totalprice AS hot FROM orders""")
+def interaction_rows(spark, d):
+    return E.one_hot_rows(table(spark, d, "orders"), ["o_orderkey"], "o_custkey", "o_totalprice")
+
+
 @query("ordinal_codes", f"""WITH {HOLED_SQL}, k AS (SELECT l_returnflag, CAST(row_number() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS code FROM
     (SELECT DISTINCT l_returnflag FROM h WHERE l_returnflag IS NOT NULL)) SELECT l_orderkey, l_linenumber, h.l_returnflag, coalesce(code, -1) AS code
     FROM h LEFT JOIN k ON h.l_returnflag = k.l_returnflag""")

@@ -87,3 +87,13 @@ def test_many_ordinal_levels(spark):
     enc = E.fit_encoder(df, {"k": "categorical-ordinal"})
     order = {v: i for i, v in enumerate(sorted(set(values) - {None}))}
     assert [r["k"] for r in enc.transform(df).collect()] == [order.get(v, -1) for v in values]
+
+
+def test_long_one_hot_takes_any_number_of_values(spark):
+    df = spark.range(6_000).selectExpr("id", "CASE WHEN id > 5 THEN id % 2500 END AS k", "id * 0.5D AS x")
+    with pytest.raises(E.LevelsExceeded):
+        E.one_hot(df, ["k"])
+    want = {i: (i % 2500, str(i % 2500)) for i in range(6, 6_000)}
+    rows = E.one_hot_rows(df, ["id"], "k").collect()
+    assert len(rows) == len(want) and {r["id"]: (r["position"], r["value"]) for r in rows} == want and {r["hot"] for r in rows} == {1}
+    assert {r["id"]: r["hot"] for r in E.one_hot_rows(df, ["id"], "k", "x").collect()} == {i: i / 2 for i in want}
