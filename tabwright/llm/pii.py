@@ -33,6 +33,7 @@ ADDRESS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
+DIGIT_OR_AT = re.compile("[0-9@]")
 TOKEN = re.compile(r"[\w@.%+-]+|[^\w\s]")
 NOT_KEY = re.compile(r"[^0-9a-z@]+")
 SAMPLE_ROWS, EXAMPLES, ROUNDS = 40_000, 200_000, 20
@@ -206,7 +207,10 @@ def settled(scores: np.ndarray, nodes: np.ndarray, given: np.ndarray, links: lis
 
 
 def added(spans: list[tuple[int, int, int]], text: str, places: list[tuple[int, int]], nodes: np.ndarray, labels: np.ndarray) -> list[tuple[int, int, int]]:
-    """The spans with those of labelled tokens that touch none of them; neighbours of one label are one span."""
+    """The spans with those of labelled tokens that touch none of them; neighbours of one label are one span.
+
+    An added span holds a digit, or for an e-mail address a digit or an @.
+    """
     runs: list[list[int]] = []
     for n, label in zip(nodes.tolist(), labels.tolist()):
         if label and runs and runs[-1][0] == label and runs[-1][2] == n - 1:
@@ -222,7 +226,8 @@ def added(spans: list[tuple[int, int, int]], text: str, places: list[tuple[int,
         while end > start and text[end - 1] in ".-%":
             end -= 1
         i = int(np.searchsorted(starts, end)) if taken else 0  # spans that start before the end
-        if end > start and DIGIT.search(text, start, end) and not (i and ends[i - 1] > start):
+        holds = DIGIT_OR_AT if KINDS[label - 1] == "email" else DIGIT
+        if end > start and holds.search(text, start, end) and not (i and ends[i - 1] > start):
             new.append((label - 1, start, end))
     return sorted(spans + new)
 

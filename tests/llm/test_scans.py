@@ -127,6 +127,15 @@ def test_links_carry_labels(spark, documents, odd, none):
     assert pii.scan(odd, model).count() == odd.count() and pii.scan(none, None).count() == 0 and pii.learn(none) is None
 
 
+def test_added_addresses_need_no_digit():
+    text = "write jane@my_host.com or call home now"
+    places = [m.span() for m in pii.TOKEN.finditer(text)]
+    spans = lambda label, node: pii.added([], text, places, np.array([node]), np.array([label]))
+    assert pii.pattern_spans(text) == []
+    assert spans(1 + pii.KINDS.index("email"), 1) == [(0, 6, 22)]
+    assert spans(1 + pii.KINDS.index("email"), 4) == spans(1 + pii.KINDS.index("phone"), 4) == []
+
+
 def test_clauses_not_words():
     lexicon = {b"idiot": 3.0}
     score = lambda text: dict(zip(X.PATTERNS, X.matches(text, X.Classes(lexicon), X.Grammar())))
