@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabwright.functions.sizing import pinned
+from .scratch import Scratch
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """node, component: the smallest node reachable; a row for every node that a link names.
 
     Each step turns stars towards smaller nodes; about log(n) steps.  A star's centre is joined, never
-    collected, so a hub costs a skewed join that the optimiser splits.
+    collected, so a hub costs a skewed join that the optimiser splits.  The result reads the scratch table
+    "edges", which the next call with the same scratch replaces.
     """
-    edges = pinned(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    scratch = scratch or Scratch(links.sparkSession)
+    edges = scratch.keep("edges", links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,7 +26,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         )
-        edges = pinned(small.distinct())
+        edges = scratch.keep("edges", small.distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -6,12 +6,13 @@
 3. Globally: the at most `salts` winners of a text are combined.
 
 All three group by digest and whole text, so texts that share a digest stay apart.  Documents then find
-their group by digest alone, and by digest and text for the digests that several texts share.
+their group by digest alone; those of the digests that several texts share are told apart by the text.
 
 Texts are equal when identical after lower-casing A-Z; a null text is empty.  Of equal texts the row with
 the largest doc_id stays (null is smaller than any; of rows with the same doc_id and text exactly one
-stays).  Only doc_id and text are read, so other columns cannot clash.  `docs` must give the same rows in
-the same order when it is read again, as files do.
+stays).  Very long texts are compared whole; an empty table gives no rows.  Only doc_id and text are
+read, so other columns cannot clash.  Rows are known by doc_id and digest, and rows that agree in both are
+numbered in a stored table, so no result depends on how two scans of the input are split.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwright.functions.sizing import lookup, pinned
 
+from .scratch import whole_row
+
 SALTS = 16
+SMALLEST = -(2**63)
 
 
 def normalised(text: Column) -> Column:
@@ -33,50 +37,57 @@ def sha256(body: Column) -> Column:
     return F.unhex(F.sha2(body, 256))
 
 
+def ranked(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(SMALLEST))
+
+
+def winners(members: DataFrame, *keys: str) -> DataFrame:
+    """keys, keep: (rank, id) of the row that stays in each group."""
+    return members.groupBy(*keys).agg(F.max(F.struct("rank", "id")).alias("keep"))
+
+
 def exact_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest=sha256, salts: int = SALTS
 ) -> DataFrame:
-    """doc_id, row, digest, keep_id, group_size, kept: a row for every row of `docs`.
-
-    `row` numbers the rows of `docs` as monotonically_increasing_id does.
-    """
+    """doc_id, rank, digest, keep_id, group_size, kept: a row for every row of `docs`; rank is doc_id, the least long for null."""
     rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), normalised(F.col(text)).alias("body")
+        F.col(doc_id).alias("doc_id"), ranked(doc_id).alias("rank"), normalised(F.col(text)).alias("body")
     ).withColumn("digest", digest(F.col("body")))
-    task = F.shiftright("row", 33)
-    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
 
     def combined(df: DataFrame, *keys: str) -> DataFrame:
-        return df.groupBy(*keys).agg(
-            F.max("rank").alias("rank"), F.max_by("row", "rank").alias("row"), F.sum("n").alias("n")
-        )
+        return df.groupBy(*keys).agg(F.sum("n").alias("n"))
 
-    each = rows.select(
-        "digest", "body", F.pmod(F.hash(task), F.lit(salts)).alias("salt"), rank.alias("rank"), "row", F.lit(1).cast("long").alias("n")
-    )
+    # The salt is the task's; which one it is decides only where texts meet.
+    each = rows.select("digest", "body", F.pmod(F.hash(F.spark_partition_id()), F.lit(salts)).alias("salt"), F.lit(1).cast("long").alias("n"))
     groups = combined(combined(each, "digest", "salt", "body"), "digest", "body")
-    by_digest = pinned(groups.groupBy("digest").agg(
-        F.count("*").alias("texts"), F.max("rank").alias("top"), F.max("row").alias("keep_row"), F.sum("n").alias("n"), F.sum("n").alias("weight"),
-    ))
-    members = rows.select("doc_id", "row", "digest")
-    found = [lookup(members, by_digest.where("texts = 1").select("digest", "top", "keep_row", "n", "weight"), "digest", weight="weight").where("top IS NOT NULL")]
+    by_digest = pinned(groups.groupBy("digest").agg(F.count("*").alias("texts"), F.sum("n").alias("n")))
+    members = pinned(rows.select("doc_id", "rank", "digest", F.monotonically_increasing_id().alias("id")))
     shared = by_digest.where("texts > 1").select("digest")
-    if not shared.isEmpty():
-        several = groups.join(shared, "digest", "left_semi").select("digest", "body", F.col("rank").alias("top"), F.col("row").alias("keep_row"), "n")
-        found.append(rows.join(shared, "digest", "left_semi").join(several, ["digest", "body"]).drop("body"))
-    out = found[0] if len(found) == 1 else found[0].select("doc_id", "row", "digest", "top", "keep_row", "n").unionByName(
-        found[1].select("doc_id", "row", "digest", "top", "keep_row", "n")
-    )
-    return out.select(
-        "doc_id", "row", "digest",
-        F.when(F.col("top") > F.lit(-(2**63)), F.col("top")).alias("keep_id"),
-        F.col("n").alias("group_size"),
-        (F.col("row") == F.col("keep_row")).alias("kept"),
-    )
+
+    def placed(found: DataFrame) -> DataFrame:
+        return found.select(
+            "doc_id", "rank", "digest", F.when(F.col("keep.rank") > SMALLEST, F.col("keep.rank")).alias("keep_id"),
+            F.col("n").alias("group_size"), (F.col("id") == F.col("keep.id")).alias("kept"),
+        )
+
+    single = by_digest.where("texts = 1").join(winners(members, "digest"), "digest").select("digest", "keep", "n", F.col("n").alias("weight"))
+    found = placed(lookup(members, single, "digest", weight="weight").where("keep IS NOT NULL"))
+    if shared.isEmpty():
+        return found
+    late = pinned(rows.join(shared, "digest", "left_semi").withColumn("id", F.monotonically_increasing_id()))
+    each_text = winners(late, "digest", "body").join(late.groupBy("digest", "body").agg(F.count("*").alias("n")), ["digest", "body"])
+    return found.unionByName(placed(late.join(each_text, ["digest", "body"])))
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    whole = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    dropped = exact_groups(docs, doc_id, text).where("NOT kept").select("row")
-    return whole.join(dropped, "row", "left_anti").select("doc.*")
+    known = ["rank", "digest"]
+    groups = exact_groups(docs, doc_id, text).select(*known, "keep_id", "kept")
+    # A row that stays may have twins with the same doc_id and text: of those any one stays.
+    stays = F.col("rank") == F.coalesce("keep_id", F.lit(SMALLEST))
+    whole = docs.select(ranked(doc_id).alias("rank"), sha256(normalised(F.col(text))).alias("digest"), whole_row(docs).alias("doc"))
+    rest = whole.join(groups.where(~stays).select(*known).distinct(), known, "left_anti")
+    twins = pinned(groups.where(stays & ~F.col("kept")).select(*known).distinct())
+    if not twins.isEmpty():
+        rest = rest.join(twins, known, "left_anti").unionByName(rest.join(twins, known, "left_semi").dropDuplicates(known))
+    return rest.select("doc.*")

@@ -99,3 +99,49 @@ def test_components_of_a_path_and_a_hub(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
+
+
+def left_files(spark):
+    from pathlib import Path
+
+    from tabwright.functions.sizing import shared_dir
+
+    return {p.name for p in Path(shared_dir(spark)).iterdir() if not p.name.startswith(("rdd-",)) and "-" in p.name}
+
+
+def test_rounds_leave_only_the_result(spark):
+    pick = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    original = [pick.choice(words) for _ in range(100)]
+    rows = [(i, edited(original, pick, 0.03)) for i in range(300)]
+    before = left_files(spark)
+    got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
+    assert [n.rsplit("-", 1)[0] for n in left_files(spark) - before] == ["result"]
+    want, _ = brute(rows, 85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("kind", ["exact", "near"])
+def test_rows_do_not_depend_on_the_split(spark, tmp_path, kind):
+    """The input is split otherwise when the result is read than when the groups were found."""
+    from tabwright.llm import exact_dedup
+
+    rows = [(i if i % 7 else None, f"text number {i % 50} that has more than five words in it", f"x{i}", "y") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, more string, `odd``name` string").repartition(40).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    drop = exact_dedup.drop_copies if kind == "exact" else N.drop_near_copies
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        out = drop(docs)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = out.collect()
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    by_text = {}
+    for i, t, *_ in rows:
+        by_text.setdefault(t, []).append(i)
+    best = max if kind == "exact" else min
+    want = {t: best(i for i in ids if i is not None) for t, ids in by_text.items()}
+    assert len(got) == 50 and {r.text: r.doc_id for r in got} == want and out.columns == docs.columns
