@@ -140,6 +140,8 @@ def shapley_by_permutation(
 def class_outputs(model: PipelineModel, classes: int) -> Column | list[Column]:
     """What is explained of a classifier: the positive class of two, else every class."""
     last = model.stages[-1]
+    while isinstance(last, PipelineModel):
+        last = last.stages[-1]
     if hasattr(last, "getProbabilityCol"):
         p = vector_to_array(F.col(last.getProbabilityCol()))
         return p[1] if classes == 2 else [p[k] for k in range(classes)]

@@ -73,13 +73,37 @@ def auc(df: DataFrame, label: str, score: str, positive: object = 1) -> DataFram
     return placed.agg(F.try_divide(wins, F.sum("p") * F.sum("q").cast("double")).alias("auc"))
 
 
-def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """(n, r2, rmse, mae, mape); zero labels do not enter MAPE."""
+def _regression(label: str, prediction: str) -> list:
     y, e = col(label).cast("double"), col(label).cast("double") - col(prediction).cast("double")
-    return df.agg(
+    return [
         F.count(F.lit(1)).alias("n"),
         (1.0 - F.avg(e * e) / F.nullif(F.var_pop(y), F.lit(0.0))).alias("r2"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
         F.avg(F.abs(e / F.nullif(y, F.lit(0.0)))).alias("mape"),
-    )
+    ]
+
+
+def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """(n, r2, rmse, mae, mape); zero labels do not enter MAPE."""
+    return df.agg(*_regression(label, prediction))
+
+
+def regression_scores(df: DataFrame, groups: list[str], label: str, prediction: str) -> DataFrame:
+    """The same for each group."""
+    return df.groupBy(*groups).agg(*_regression(label, prediction))
+
+
+def auc_by(df: DataFrame, groups: list[str], label: str, score: str) -> DataFrame:
+    """(groups, auc) for every group at once; `label` is 0 or 1.  Groups share the score ranges."""
+    y = col(label).cast("bigint")
+    scores = df.groupBy(*groups, col(score).alias("s")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q"))
+    ranged = slotted(scores, [*groups, "s"])
+    totals = ranged.groupBy(*groups, "__slot").agg(F.sum("q").alias("q_slot"))
+    earlier = Window.partitionBy(*groups).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*groups, "__slot", F.coalesce(F.sum("q_slot").over(earlier), F.lit(0)).alias("q_before"))
+    below = Window.partitionBy(*groups, "__slot").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(starts), [*groups, "__slot"])  # groups x ranges rows
+    lower = placed.withColumn("lower", F.col("q_before") + F.coalesce(F.sum("q").over(below), F.lit(0)))
+    wins = F.sum(F.col("p") * (F.col("lower") + F.col("q") / 2.0))
+    return lower.groupBy(*groups).agg(F.try_divide(wins, F.sum("p") * F.sum("q").cast("double")).alias("auc"))

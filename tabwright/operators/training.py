@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed_values as fv
 from ..functions.columns import col, kinds
 from ..functions.sizing import rows_if_bounded
-from .metrics import confusion_matrix, regression_metrics, weighted_metrics
+from . import closed_form as closed
+from .metrics import auc_by, confusion_matrix, regression_metrics, regression_scores, weighted_metrics
 
 CLASSIFICATION_METRICS = ("accuracy", "auc", "f1", "precision", "recall")
 REGRESSION_METRICS = ("r2", "rmse", "mae", "mape")
@@ -67,8 +68,10 @@ def fold_count(rows: int, test_mode: bool = False) -> int:
     return 3 if rows < 50 else 5
 
 
-def _fold(keys: Sequence[str], folds: int) -> Column:
-    return F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(folds)).cast("int")
+def fold_of(keys: Sequence[str], folds: int) -> Column:
+    """The fold of a row, by a hash of its keys that any SQL engine can repeat."""
+    head = F.substring(F.md5(F.concat_ws("-", F.lit("fold"), *[col(k).cast("string") for k in keys])), 1, 4)
+    return sum(((head >= f"{-(-65536 * i // folds):04x}").cast("int") for i in range(1, folds)), F.lit(0))
 
 
 def candidates(task: str, classes: int = 2, features: int = 1) -> dict[str, Estimator]:
@@ -89,6 +92,8 @@ def candidates(task: str, classes: int = 2, features: int = 1) -> dict[str, Esti
         "logistic": C.LogisticRegression(maxIter=50),
         "ridge_logistic": C.LogisticRegression(maxIter=50, regParam=0.1),
         "naive_bayes": C.NaiveBayes(modelType="gaussian"),
+        "linear_discriminant": closed.Discriminant(quadratic=False),
+        "quadratic_discriminant": closed.Discriminant(quadratic=True),
         "decision_tree": C.DecisionTreeClassifier(seed=123),
         "random_forest": C.RandomForestClassifier(seed=123),
         "perceptron": C.MultilayerPerceptronClassifier(layers=[features, 8, classes], seed=123, maxIter=50),
@@ -128,8 +133,9 @@ def _scores(predicted: DataFrame, target: str, task: str, classes: int) -> dict[
 def _auc(predicted: DataFrame, target: str, classes: int) -> float | None:
     """Area under the curve; for several classes each against the rest, weighted by its rows."""
     if classes == 2:
-        found = "rawPrediction" in predicted.columns
-        return BinaryClassificationEvaluator(labelCol=target, numBins=0).evaluate(predicted) if found else None
+        # Raw scores of some models are one number for each class, which does not rank rows by itself.
+        found = next((c for c in ("probability", "rawPrediction") if c in predicted.columns), None)
+        return BinaryClassificationEvaluator(labelCol=target, rawPredictionCol=found, numBins=0).evaluate(predicted) if found else None
     if "probability" not in predicted.columns:
         return None
     support = {r[0]: r[1] for r in predicted.groupBy(col(target)).count().collect()}  # one row per class
@@ -154,12 +160,12 @@ def compare_models(
 ) -> DataFrame:
     """(model, rank, folds_done, error, fold metrics averaged) for every candidate.
 
-    Folds are a hash of `keys`.  The assembled table is cached once and every
-    fit reads it; fits run side by side as `pyspark.ml.tuning` does.  Class
-    labels may be any numbers; models see their positions.  `training_rows`
-    bounds the rows that are compared on, by a hash of `keys` (None: all).
-    A model that fails in any fold has no metrics, only its error; when all
-    fail the comparison does.
+    Folds are a hash of `keys`.  Models with a closed form (the linear family, naive Bayes, discriminants)
+    are solved for all folds from one scan and scored in a second one; for the others the assembled table
+    is cached once and fits run side by side as `pyspark.ml.tuning` does.  Class labels may be any
+    numbers; models see their positions.  `training_rows` bounds the rows that are compared on, by a hash
+    of `keys` (None: all).  A model that fails in any fold has no metrics, only its error; when all fail
+    the comparison does.
     """
     data = filter_null_target(df, target)
     features = feature_columns(data, target, keys)
@@ -178,13 +184,63 @@ def compare_models(
         data = data.withColumn(target, F.array_position(F.array(*[F.lit(v) for v in levels]), col(target).cast("double")).cast("int") - 1)
     models = models or candidates(task, classes, len(features))
     models = {m: e for m, e in models.items() if m not in exclude}
+    solved = (lambda e: closed.linear_penalty(e) is not None) if task == "regression" else (lambda e: closed.class_kind(e) is not None)
+    useful = min(df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_PER_TASK + 1)
+    if data.rdd.getNumPartitions() < useful:
+        data = data.repartition(useful, *[col(k) for k in keys])
+    data = data.withColumn("__fold", fold_of(keys, folds))
+    results = _solved_folds(data, target, task, features, {m: e for m, e in models.items() if solved(e)}, folds, classes)
+    results += _fitted_folds(data, target, task, features, {m: e for m, e in models.items() if not solved(e)}, folds, classes, parallelism)
+    names = CLASSIFICATION_METRICS if task == "classification" else REGRESSION_METRICS
+    rows_out = []
+    for m in models:
+        own = [s for name, s in results if name == m]
+        got = [s for s in own if isinstance(s, dict)]
+        mean = lambda key: (lambda v: sum(v) / len(v) if v and len(got) == folds else None)([g[key] for g in got if g[key] is not None])
+        rows_out.append((m, len(got), next((s for s in own if isinstance(s, str)), None), *[mean(k) for k in names]))
+    if rows_out and not any(r[1] == folds for r in rows_out):
+        raise RuntimeError("no model could be compared: " + "; ".join(f"{r[0]}: {r[2]}" for r in rows_out))
+    schema = "model string, folds_done int, error string, " + ", ".join(f"{k} double" for k in names)
+    return leaderboard(df.sparkSession.createDataFrame(rows_out, schema), task)
+
+
+def _solved_folds(data: DataFrame, target: str, task: str, features: list[str], models: dict[str, Estimator], folds: int, classes: int) -> list:
+    """(model, metrics of a fold or error) of models with a closed form."""
+    if not models:
+        return []
+    x = F.array(*[col(c).cast("double") for c in features])
+    if task == "regression":
+        rows = data.select(F.col("__fold").alias("fold"), col(target).cast("double").alias("y"), x.alias("x"))
+        scored, errors = closed.regression_folds(rows, features, models, folds)
+        found = [] if scored is None else [(r["model"], r.asDict()) for r in regression_scores(scored, ["model", "fold"], "label", "prediction").collect()]
+        return found + list(errors.items())
+    rows = data.select(F.col("__fold").alias("fold"), col(target).cast("int").alias("label"), x.alias("x"))
+    scored, errors = closed.class_folds(rows, features, models, folds, classes)
+    if scored is None:
+        return list(errors.items())
+    cells = scored.groupBy("model", "fold", "label", "prediction").agg(F.count("*").alias("n")).collect()  # models x folds x classes squared
+    each = F.inline(F.transform("probabilities", lambda p, k: F.struct(k.alias("class"), p.alias("p"), (F.col("label") == k).cast("int").alias("own"))))
+    wanted = F.col("class") == 1 if classes == 2 else F.lit(True)
+    areas = auc_by(scored.select("model", "fold", "label", each).where(wanted), ["model", "fold", "class"], "own", "p").collect()
+    found = []
+    for m, k in sorted({(r["model"], r["fold"]) for r in cells}):
+        own = [(r["label"], r["prediction"], r["n"]) for r in cells if (r["model"], r["fold"]) == (m, k)]
+        support = {c: sum(n for label, _, n in own if label == c) for c in range(classes)}
+        area = {r["class"]: r["auc"] for r in areas if (r["model"], r["fold"]) == (m, k) and r["auc"] is not None}
+        weight = {c: 1 if classes == 2 else support[c] for c in area}
+        mean = sum(area[c] * weight[c] for c in area) / sum(weight.values()) if area else None
+        found.append((m, weighted_metrics(own) | {"auc": mean}))
+    return found + list(errors.items())
+
+
+def _fitted_folds(
+    data: DataFrame, target: str, task: str, features: list[str], models: dict[str, Estimator], folds: int, classes: int, parallelism: int
+) -> list:
+    """(model, metrics of a fold or error) of models that are fitted fold by fold."""
+    if not models:
+        return []
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    shaped = assembler.transform(data.withColumn("__fold", _fold(keys, folds)))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    useful = min(cores, rows // ROWS_PER_TASK + 1)
-    if shaped.rdd.getNumPartitions() < useful:  # fits are iterative: use every core each time
-        shaped = shaped.repartition(useful, *[col(k) for k in keys])
-    table = shaped.select(target, "__fold", "features").cache()
+    table = assembler.transform(data).select(target, "__fold", "features").cache()
 
     def one(job: tuple[str, int]):
         name, k = job
@@ -196,20 +252,9 @@ def compare_models(
 
     try:
         with ThreadPoolExecutor(parallelism) as pool:
-            results = list(pool.map(one, [(m, k) for m in models for k in range(folds)]))
+            return list(pool.map(one, [(m, k) for m in models for k in range(folds)]))
     finally:
         table.unpersist()
-    names = CLASSIFICATION_METRICS if task == "classification" else REGRESSION_METRICS
-    rows_out = []
-    for m in models:
-        own = [s for name, s in results if name == m]
-        got = [s for s in own if isinstance(s, dict)]
-        mean = lambda key: (lambda v: sum(v) / len(v) if v and len(got) == folds else None)([g[key] for g in got if g[key] is not None])
-        rows_out.append((m, len(got), next((s for s in own if isinstance(s, str)), None), *[mean(k) for k in names]))
-    if rows_out and not any(r[1] == folds for r in rows_out):
-        raise RuntimeError("no model could be compared: " + "; ".join(f"{r[0]}: {r[2]}" for r in rows_out))
-    schema = "model string, folds_done int, error string, " + ", ".join(f"{k} double" for k in names)
-    return leaderboard(df.sparkSession.createDataFrame(rows_out, schema), task)
 
 
 def class_values(df: DataFrame, target: str, limit: int = fv.MOST_CLASSES) -> list[float]:
@@ -221,9 +266,10 @@ def class_values(df: DataFrame, target: str, limit: int = fv.MOST_CLASSES) -> li
 
 
 def leaderboard(table: DataFrame, task: str, by: str | None = None) -> DataFrame:
-    """Add `rank` (best first, ties by name); the table has one row per model."""
+    """Add `rank` (best first, ties to nine digits by name); the table has one row per model."""
     by = by or ("accuracy" if task == "classification" else "r2")
-    best = F.desc_nulls_last(by) if by not in ("rmse", "mae", "mape") else F.asc_nulls_last(by)
+    metric = F.round(F.col(by), 9)
+    best = metric.desc_nulls_last() if by not in ("rmse", "mae", "mape") else metric.asc_nulls_last()
     return table.withColumn("rank", F.row_number().over(Window.orderBy(best, "model")))
 
 
@@ -263,7 +309,7 @@ def samples_per_feature(df: DataFrame, target: str) -> DataFrame:
 
 def model_card(table: DataFrame, model: PipelineModel, target: str, rows: int) -> DataFrame:
     """One row: the winner, its metrics, the training shape and the target."""
-    width = len(model.stages[-2].getInputCols())
+    width = len(next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols())
     return top_models(table, 1).select(
         "*", F.lit(target).alias("target"), F.lit(rows).alias("n_rows"), F.lit(width).alias("n_features")
     )

@@ -11,7 +11,7 @@ from ...functions.sizing import spread
 from ...operators import explaining as X, metrics as M, training as T
 from .base import LINEITEM, query, r, rounded, table
 from .models import (
-    BAYES_SQL, CHARGE, LINEAR_FEATURES, LINEAR_SQL, bayes_inputs, bayes_model, linear_inputs, linear_model,
+    BAYES_EXPRS, BAYES_FEATURES, BAYES_SQL, CHARGE, LINEAR_FEATURES, LINEAR_SQL, bayes_inputs, bayes_model, linear_inputs, linear_model,
 )
 
 
@@ -41,12 +41,12 @@ def quality_rows(spark, d):
     return docs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
 
 
-QUALITY_MODELS = ("logistic", "naive_bayes", "decision_tree")
+FOLDS = 5
 
 
-def quality_board(spark, d):
-    models = {k: v for k, v in T.candidates("classification", 2, 5).items() if k in QUALITY_MODELS}
-    return T.compare_models(quality_rows(spark, d), "quality", "classification", ["doc_id"], models=models)
+def fold_sql(*keys: str) -> str:
+    head = "substr(md5('fold-' || " + " || '-' || ".join(f"CAST({k} AS VARCHAR)" for k in keys) + "), 1, 4)"
+    return " + ".join(f"CAST({head} >= '{-(-65536 * i // FOLDS):04x}' AS INT)" for i in range(1, FOLDS))
 
 
 def charge_rows(spark, d):
@@ -54,32 +54,145 @@ def charge_rows(spark, d):
     return li.select("l_orderkey", "l_linenumber", "l_quantity", *LINEAR_FEATURES, F.expr(CHARGE).alias("charge"))
 
 
+LINEAR_FAMILY = {"linear": (0, 0), "glm": (0, 0), "ridge": (0.1, 0), "lasso": (0.1, 1), "elastic_net": (0.1, 0.5)}
+
+
+def board_sql() -> str:
+    """Least squares with penalties over three features for every fold, by Cramer's rule; metrics averaged over the folds.
+
+    With a penalty on absolute values the signs are those without one (they are, as the penalty is small).
+    """
+    x = ["l_quantity", *LINEAR_FEATURES]
+    names = [*x, "charge"]
+    moments = [f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(names)]
+    moments += [f"corr({names[i]}, {names[j]}) AS c{i}{j}" for i in range(4) for j in range(i + 1, 4)]
+
+    def det(rows):
+        (a, b, c), (d, e, f), (g, h, i) = rows
+        return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+    def solved(diagonal, right):
+        a = [[diagonal if i == j else f"c{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+        return [f"{det([[right[i] if j == k else a[i][j] for j in range(3)] for i in range(3)])} / {det(a)}" for k in range(3)]
+
+    plain = ", ".join(f"sign({b}) AS g{i}" for i, b in enumerate(solved("1.0", ["c03", "c13", "c23"])))
+    betas = ", ".join(f"{b} AS b{i}" for i, b in enumerate(solved("(1 + l2)", [f"(c{i}3 - l1 * g{i})" for i in range(3)])))
+    models = ", ".join(f"('{m}', CAST({p} AS DOUBLE), CAST({e} AS DOUBLE))" for m, (p, e) in LINEAR_FAMILY.items())
+    return f"""li AS (SELECT *, {CHARGE} AS charge, {fold_sql('l_orderkey', 'l_linenumber')} AS fold FROM lineitem),
+    part AS (SELECT k, {', '.join(moments)} FROM li, unnest(range({FOLDS})) AS u(k) WHERE fold <> k GROUP BY k),
+    signed AS (SELECT *, {plain} FROM part),
+    model AS (SELECT * FROM (VALUES {models}) AS v(model, penalty, share)),
+    strength AS (SELECT *, penalty * share / s3 AS l1, penalty * (1 - share) / s3 AS l2 FROM signed, model),
+    beta AS (SELECT *, {betas} FROM strength),
+    scored AS (SELECT model, k, charge, m3 + {' + '.join(f'b{i} * s3 / s{i} * ({c} - m{i})' for i, c in enumerate(x))} AS p FROM li JOIN beta ON fold = k),
+    fold_metrics AS (SELECT model, k, 1 - avg((charge - p) ^ 2) / var_pop(charge) AS r2, sqrt(avg((charge - p) ^ 2)) AS rmse,
+        avg(abs(charge - p)) AS mae, avg(abs((charge - p) / nullif(charge, 0))) AS mape FROM scored GROUP BY model, k),
+    board AS (SELECT model, CAST(count(*) AS INTEGER) AS folds_done, CAST(NULL AS VARCHAR) AS error, avg(r2) AS r2, avg(rmse) AS rmse, avg(mae) AS mae, avg(mape) AS mape FROM fold_metrics GROUP BY model)"""
+
+
+BOARD_COLUMNS = f"model, folds_done, error, {r('r2')} AS r2, {r('rmse', 4)} AS rmse, {r('mae', 4)} AS mae, {r('mape')} AS mape"
+BY_R2 = "CAST(row_number() OVER (ORDER BY round(r2, 9) DESC, model) AS INTEGER) AS rank"
+
+
 def charge_board(spark, d):
-    models = {k: v for k, v in T.candidates("regression").items() if k in ("linear", "ridge", "elastic_net", "glm")}
+    models = {k: v for k, v in T.candidates("regression").items() if k in LINEAR_FAMILY}
     return T.compare_models(charge_rows(spark, d), "charge", "regression", ["l_orderkey", "l_linenumber"], models=models)
 
 
-@query("compare_models")
+@query("compare_models", f"WITH {board_sql()} SELECT * FROM (SELECT {BOARD_COLUMNS}, {BY_R2} FROM board) WHERE rank <= 3")
 def compare_models(spark, d):
-    """All regression candidates; the three best."""
-    board = T.compare_models(charge_rows(spark, d), "charge", "regression", ["l_orderkey", "l_linenumber"])
-    return rounded(board.orderBy("rank").limit(3))
+    """The linear family; the three best."""
+    return rounded(charge_board(spark, d).orderBy("rank").limit(3), rmse=4, mae=4)
+
+
+@query("compare_all_models")
+def compare_all_models(spark, d):
+    """Every regression candidate: the linear family from one scan, tree models fitted fold by fold."""
+    return rounded(T.compare_models(charge_rows(spark, d), "charge", "regression", ["l_orderkey", "l_linenumber"]))
+
+
+def class_board_sql() -> str:
+    """Naive Bayes and both discriminants over two features and three classes, for every fold."""
+    cells = [f"{f}({c}) AS {a}" for f, c, a in (
+        ("avg", "l_quantity", "m1"), ("avg", "l_price_k", "m2"), ("var_pop", "l_quantity", "v1"), ("var_pop", "l_price_k", "v2"))]
+    quadratic = "(({x1}) * ({x1}) * {b} - 2 * ({x1}) * ({x2}) * {c} + ({x2}) * ({x2}) * {a}) / ({a} * {b} - {c} * {c})".format
+    near = {"x1": "l_quantity - m1", "x2": "l_price_k - m2"}
+    own = quadratic(a="(v1 * n / (n - 1))", b="(v2 * n / (n - 1))", c="(v12 * n / (n - 1))", **near)
+    pooled = quadratic(a="p1", b="p2", c="p12", **near)
+    return f"""li AS MATERIALIZED (SELECT {', '.join(BAYES_EXPRS)}, {fold_sql('l_orderkey', 'l_linenumber')} AS fold, row_number() OVER () AS id FROM lineitem),
+    kept AS (SELECT li.*, k FROM li, unnest(range({FOLDS})) AS u(k) WHERE fold <> k),
+    whole AS (SELECT k, count(*) AS total, 1e-9 * greatest(var_pop(l_quantity), var_pop(l_price_k)) AS e FROM kept GROUP BY k),
+    g AS (SELECT k, label, count(*) AS n, {', '.join(cells)}, covar_pop(l_quantity, l_price_k) AS v12 FROM kept GROUP BY k, label),
+    pool AS (SELECT k, sum(n * v1) / (sum(n) - count(*)) AS p1, sum(n * v2) / (sum(n) - count(*)) AS p2, sum(n * v12) / (sum(n) - count(*)) AS p12 FROM g GROUP BY k),
+    s AS (SELECT li.id, li.label AS y, k, g.label AS class, ln(n / total) AS prior,
+        -0.5 * (ln(v1 + e) + ln(v2 + e)) - (l_quantity - m1) ^ 2 / (2 * (v1 + e)) - (l_price_k - m2) ^ 2 / (2 * (v2 + e)) AS naive_bayes,
+        -0.5 * ({pooled}) AS linear_discriminant, -0.5 * ln((v1 * v2 - v12 * v12) * (n / (n - 1)) ^ 2) - 0.5 * ({own}) AS quadratic_discriminant
+        FROM li JOIN g ON li.fold = g.k JOIN whole USING (k) JOIN pool USING (k)),
+    t AS (UNPIVOT s ON naive_bayes, linear_discriminant, quadratic_discriminant INTO NAME model VALUE score),
+    top AS (SELECT *, prior + score - max(prior + score) OVER w AS gap FROM t WINDOW w AS (PARTITION BY model, id)),
+    p AS (SELECT *, exp(gap) / sum(exp(gap)) OVER w AS p, row_number() OVER (PARTITION BY model, id ORDER BY gap DESC, class) AS place FROM top WINDOW w AS (PARTITION BY model, id)),
+    cell AS (SELECT model, k, y, class, count(*) AS n FROM p WHERE place = 1 GROUP BY ALL),
+    support AS (SELECT model, k, y AS class, sum(n) AS support, sum(n) FILTER (y = class) AS hits FROM cell GROUP BY model, k, y),
+    guessed AS (SELECT model, k, class, sum(n) AS guessed FROM cell GROUP BY ALL),
+    ranked AS (SELECT model, k, class, y = class AS own, rank() OVER (PARTITION BY model, k, class ORDER BY p) + (count(*) OVER (PARTITION BY model, k, class, p) - 1) / 2.0 AS rk FROM p),
+    area AS (SELECT model, k, class, (sum(rk) FILTER (own) - count(*) FILTER (own) * (count(*) FILTER (own) + 1) / 2.0) / (CAST(count(*) FILTER (own) AS DOUBLE) * count(*) FILTER (NOT own)) AS auc
+        FROM ranked GROUP BY ALL),
+    each_class AS (SELECT *, coalesce(hits, 0) AS h FROM support LEFT JOIN guessed USING (model, k, class) JOIN area USING (model, k, class)),
+    fold_metrics AS (SELECT model, k, sum(h) / sum(support) AS accuracy, sum(auc * support) / sum(support) AS auc, sum(support * 2 * h / (support + coalesce(guessed, 0))) / sum(support) AS f1,
+        sum(support * coalesce(h / nullif(guessed, 0), 0)) / sum(support) AS precision, sum(h) / sum(support) AS recall FROM each_class GROUP BY model, k),
+    board AS (SELECT model, CAST(count(*) AS INTEGER) AS folds_done, CAST(NULL AS VARCHAR) AS error, avg(accuracy) AS accuracy, avg(auc) AS auc, avg(f1) AS f1, avg(precision) AS precision, avg(recall) AS recall
+        FROM fold_metrics GROUP BY model)"""
+
+
+CLASS_MODELS = ("naive_bayes", "linear_discriminant", "quadratic_discriminant")
+
+
+@query("leaderboard", f"""WITH {class_board_sql()} SELECT model, folds_done, error, {', '.join(f'{r(c)} AS {c}' for c in ('accuracy', 'auc', 'f1', 'precision', 'recall'))},
+    CAST(row_number() OVER (ORDER BY round(accuracy, 9) DESC, model) AS INTEGER) AS rank FROM board""")
+def leaderboard(spark, d):
+    """The classifiers with a closed form, on all rows of lineitem."""
+    models = {k: v for k, v in T.candidates("classification", 3, 2).items() if k in CLASS_MODELS}
+    return rounded(T.compare_models(bayes_inputs(spark, d), "label", "classification", ["l_orderkey", "l_linenumber"], models=models))
 
 
-@query("leaderboard")
-def leaderboard(spark, d):
-    return rounded(quality_board(spark, d))
+@query("leaderboard_all_models")
+def leaderboard_all_models(spark, d):
+    """Every two-class candidate on all labelled documents."""
+    return rounded(T.compare_models(quality_rows(spark, d), "quality", "classification", ["doc_id"]))
 
 
-@query("leaderboard_rank")
+@query("leaderboard_rank", f"WITH {board_sql()} SELECT model, CAST(row_number() OVER (ORDER BY round(rmse, 9), model) AS INTEGER) AS rank, {r('rmse', 4)} AS rmse FROM board")
 def leaderboard_rank(spark, d):
     board = charge_board(spark, d)
-    return rounded(T.leaderboard(board.drop("rank"), "regression", by="rmse").select("model", "rank", "rmse"))
+    return rounded(T.leaderboard(board.drop("rank"), "regression", by="rmse").select("model", "rank", "rmse"), rmse=4)
 
 
-@query("top_models_summary")
+@query("top_models_summary", f"WITH {board_sql()} SELECT {BOARD_COLUMNS}, {BY_R2} FROM board")
 def top_models_summary(spark, d):
-    return rounded(T.top_models(charge_board(spark, d), 5))
+    return rounded(T.top_models(charge_board(spark, d), 5), rmse=4, mae=4)
+
+
+DISCRIMINANT_SQL = f"""WITH li AS MATERIALIZED (SELECT {', '.join(BAYES_EXPRS)}, row_number() OVER () AS id FROM lineitem), total AS (SELECT count(*) AS total FROM li),
+    g AS (SELECT label, count(*) AS n, avg(l_quantity) AS m1, avg(l_price_k) AS m2, var_samp(l_quantity) AS a, var_samp(l_price_k) AS b, covar_samp(l_quantity, l_price_k) AS c FROM li GROUP BY label),
+    pool AS (SELECT sum((n - 1) * a) / (sum(n) - count(*)) AS pa, sum((n - 1) * b) / (sum(n) - count(*)) AS pb, sum((n - 1) * c) / (sum(n) - count(*)) AS pc FROM g),
+    s AS (SELECT id, l_orderkey, l_linenumber, g.label AS class, ln(n / total) - 0.5 * ((l_quantity - m1) ^ 2 * pb - 2 * (l_quantity - m1) * (l_price_k - m2) * pc + (l_price_k - m2) ^ 2 * pa) / (pa * pb - pc * pc) AS s1,
+        ln(n / total) - 0.5 * ln(a * b - c * c) - 0.5 * ((l_quantity - m1) ^ 2 * b - 2 * (l_quantity - m1) * (l_price_k - m2) * c + (l_price_k - m2) ^ 2 * a) / (a * b - c * c) AS s2 FROM li, g, total, pool),
+    q AS (SELECT *, exp(s1 - max(s1) OVER w) AS e1, exp(s2 - max(s2) OVER w) AS e2 FROM s WINDOW w AS (PARTITION BY id))"""
+
+
+@query("discriminant_predictions", f"""{DISCRIMINANT_SQL}, p AS (SELECT *, e1 / sum(e1) OVER w AS p1, e2 / sum(e2) OVER w AS p2 FROM q WINDOW w AS (PARTITION BY id))
+    SELECT l_orderkey, l_linenumber, {', '.join(f"{r(f'max(CASE WHEN class = {k} THEN p{j} END)', 5)} AS {n}_{k}" for j, n in ((1, 'linear'), (2, 'quadratic')) for k in range(3))} FROM p GROUP BY id, l_orderkey, l_linenumber""")
+def discriminant_predictions(spark, d):
+    """Class probabilities by the linear and the quadratic discriminant, fitted on all rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = spread(bayes_inputs(spark, d), "l_orderkey", "l_linenumber")
+    out = rows
+    for kind in ("linear", "quadratic"):
+        model = T.finalize(T.candidates("classification", 3, 2)[f"{kind}_discriminant"], rows.select(*BAYES_FEATURES, "label"), "label")
+        p = vector_to_array(F.col("probability"))
+        out = model.transform(out.select("*")).select(*out.columns, *[p[k].alias(f"{kind}_{k}") for k in range(3)])
+    return rounded(out.drop(*BAYES_FEATURES, "label"), 5)
 
 
 @query("fallback_model", f"""{LINEAR_SQL} SELECT 'fallback' AS model, {r('my - b1 * m1 - b2 * m2', 2)} AS intercept, {r('b1')} AS w_price, {r('b2', 2)} AS w_discount FROM w""")

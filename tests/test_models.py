@@ -123,3 +123,62 @@ def test_several_classes(spark, numbers):
     assert sums < 1e-9  # probabilities add up to one, so their changes add up to zero
     score = {r["feature"]: r["score"] for r in X.global_importance(phi).collect()}
     assert score["a"] > 10 * score["b"]
+
+
+def test_closed_forms_equal_the_fitted_models(numbers):
+    """The same folds, by matrices and by fits."""
+    models = {k: v for k, v in T.candidates("regression").items() if k in ("linear", "ridge", "lasso", "elastic_net", "glm")}
+    rows = numbers.select("id", "a", "b", "c", "y")
+    board = {r["model"]: r for r in T.compare_models(rows, "y", "regression", ["id"], models=models).collect()}
+    data = rows.withColumn("__fold", T.fold_of(["id"], 5))
+    for name, model in models.items():
+        tight = model.copy().setTol(1e-12).setMaxIter(1000)
+        got = T._fitted_folds(data, "y", "regression", ["a", "b", "c"], {name: tight}, 5, 0, 2)
+        for metric in T.REGRESSION_METRICS:
+            assert board[name][metric] == pytest.approx(sum(s[metric] for _, s in got) / 5, rel=1e-5), (name, metric)
+    labels = numbers.select("id", "a", "b", "c", "label")
+    models = {k: v for k, v in T.candidates("classification", 2, 3).items() if k in ("naive_bayes", "linear_discriminant", "quadratic_discriminant")}
+    board = {r["model"]: r for r in T.compare_models(labels, "label", "classification", ["id"], models=models).collect()}
+    data = labels.withColumn("__fold", T.fold_of(["id"], 5))
+    for name, model in models.items():
+        got = T._fitted_folds(data, "label", "classification", ["a", "b", "c"], {name: model}, 5, 2, 2)
+        for metric in T.CLASSIFICATION_METRICS:
+            assert board[name][metric] == pytest.approx(sum(s[metric] for _, s in got) / 5, abs=1e-9), (name, metric)
+
+
+def test_discriminants_in_numpy_and_reloaded(spark, numbers, tmp_path):
+    import numpy as np
+    from pyspark.ml import PipelineModel
+
+    features = ["a", "b", "c"]
+    rows = numbers.select(*features, "label")
+    x = np.array([r[:3] for r in rows.collect()])
+    y = np.array([r[3] for r in rows.collect()])
+    cov = [np.cov(x[y == k].T) for k in (0, 1)]
+    pooled = sum((np.sum(y == k) - 1) * cov[k] for k in (0, 1)) / (len(y) - 2)
+    for kind, use in (("linear", [pooled, pooled]), ("quadratic", cov)):
+        model = T.finalize(T.candidates("classification", 2, 3)[f"{kind}_discriminant"], rows, "label")
+        model.write().overwrite().save(str(tmp_path / kind))
+        back = PipelineModel.load(str(tmp_path / kind))
+        p = [r[0] for r in back.transform(rows).select(vector_to_array(F.col("probability"))[1]).collect()]
+        score = np.array([
+            np.log(np.mean(y == k)) - 0.5 * np.linalg.slogdet(use[k])[1] - 0.5 * np.einsum("ni,ij,nj->n", x - x[y == k].mean(0), np.linalg.inv(use[k]), x - x[y == k].mean(0))
+            for k in (0, 1)
+        ])
+        assert p == pytest.approx(1 / (1 + np.exp(score[0] - score[1])), abs=1e-9)
+
+
+def test_a_model_that_cannot_be_solved_is_reported(numbers):
+    twice = numbers.select("id", "a", (F.col("a") * 2).alias("a2"), "label")
+    models = {k: v for k, v in T.candidates("classification", 2, 2).items() if k in ("naive_bayes", "quadratic_discriminant")}
+    board = {r["model"]: r for r in T.compare_models(twice, "label", "classification", ["id"], models=models).collect()}
+    assert "depend" in board["quadratic_discriminant"]["error"] and board["naive_bayes"]["error"] is None and board["naive_bayes"]["folds_done"] == 5
+
+
+def test_areas_of_many_groups(spark):
+    rng = random.Random(3)
+    rows = [(g, round(rng.random(), 1 + g), int(rng.random() < 0.4)) for g in range(3) for _ in range(200)]
+    got = {r["g"]: r["auc"] for r in M.auc_by(spark.createDataFrame(rows, "g int, s double, y int"), ["g"], "y", "s").collect()}
+    for g in range(3):
+        pos, neg = [s for k, s, y in rows if k == g and y], [s for k, s, y in rows if k == g and not y]
+        assert got[g] == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)))
