@@ -25,7 +25,7 @@ from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseMatrix, Vectors
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol, HasRawPredictionCol, Param, Params, TypeConverters
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MOST_COLUMNS = 4_000
 SMOOTHING = 1e-9
@@ -233,18 +233,16 @@ class Discriminant(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Has
         quadratic = self.getOrDefault("quadratic")
         constant, linear, square = in_plain_units(class_terms("quadratic" if quadratic else "linear", sums), sums)
         if not quadratic:
-            return logistic_model(linear, constant, features, self)
+            return logistic_model(df.sparkSession, linear, constant, features, self)
         products = f"{features}_products"
-        model = logistic_model(expanded(linear, square), constant, products, self)
+        model = logistic_model(df.sparkSession, expanded(linear, square), constant, products, self)
         return PipelineModel([PolynomialExpansion(degree=2, inputCol=features, outputCol=products), model])
 
 
-def logistic_model(weights: np.ndarray, constant: np.ndarray, features: str, like: Estimator) -> C.LogisticRegressionModel:
+def logistic_model(spark: SparkSession, weights: np.ndarray, constant: np.ndarray, features: str, like: Estimator) -> C.LogisticRegressionModel:
     """A multinomial logistic model with given weights."""
     from pyspark.ml.common import _py2java
-    from pyspark.sql import SparkSession
 
-    spark = SparkSession.getActiveSession()
     sc = spark.sparkContext
     matrix = DenseMatrix(weights.shape[0], weights.shape[1], weights.ravel().tolist(), True)
     made = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(

@@ -13,18 +13,19 @@ from dataclasses import asdict, dataclass, field
 from math import log
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.feature import SQLTransformer, StringIndexerModel
+from pyspark.ml.feature import Interaction, SQLTransformer
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import TOKEN_PATTERN, col, count_where, kinds, quoted, tokens
 from ..functions.sizing import lookup, rows_if_bounded
+from .dictionary import DictionaryLookup, one_hot_vectors, write_levels
 from .frequencies import is_value, value_frequencies, value_text
 from .importance import label_codes
 from .roles import Target
 
+#: A category with more values has its 0/1 features in one sparse vector column instead of a column each.
 MAX_WIDE_LEVELS = 2_000
-MAX_CODED_LEVELS = 200_000
 PARAM_SCHEMA = "position int, column_name string, kind string, state string"
 
 
@@ -84,10 +85,36 @@ def levels_of(df: DataFrame, columns: Sequence[str], limit: int = MAX_WIDE_LEVEL
     return {c: [text for _, text in sorted(v)] for c, v in found.items()}
 
 
-def one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One 0/1 column `{column}_{value}` per value; NULL gives all zeros.  `one_hot_rows` takes any number of values."""
-    levels = levels_of(df, columns)
-    return Encoder([Step(c, "one_hot", {"levels": levels[c]}) for c in columns]).transform(df)
+def narrow_levels(df: DataFrame, columns: Sequence[str], limit: int = MAX_WIDE_LEVELS) -> dict[str, list[str]]:
+    """`levels_of` the columns that have at most `limit` values; the others are left out."""
+    if not columns:
+        return {}
+    freq = value_frequencies(df.select(*[col(c) for c in columns])).where(is_value())
+    counts = {r["column_name"]: r["n"] for r in freq.groupBy("column_name").agg(F.count("*").alias("n")).collect()}  # one row a column
+    few = [c for c in columns if counts.get(c, 0) <= limit]
+    return levels_of(df, few, limit)
+
+
+def hot_step(df: DataFrame, column: str, levels: Mapping[str, list[str]]) -> Step:
+    """0/1 columns for a column with known levels, else one vector with the same features."""
+    if column in levels:
+        return Step(column, "one_hot", {"levels": levels[column]})
+    return wide_step(df, column, "hot_vector")
+
+
+def wide_step(df: DataFrame, column: str, kind: str) -> Step:
+    path, size = write_levels(df, column, Encoder._shown(quoted(column), kinds(df)[column]))
+    return Step(column, kind, {"path": path, "size": size})
+
+
+def one_hot(df: DataFrame, columns: Sequence[str], wide_levels: int = MAX_WIDE_LEVELS) -> DataFrame:
+    """One 0/1 column `{column}_{value}` per value; NULL gives all zeros.
+
+    A column with more than `wide_levels` values holds the same numbers as one sparse vector, in the order
+    of its sorted values (`one_hot_rows` gives them in long form).
+    """
+    levels = narrow_levels(df, columns, wide_levels)
+    return Encoder([hot_step(df, c, levels) for c in columns]).transform(df)
 
 
 def one_hot_rows(df: DataFrame, keys: Sequence[str], column: str, number: str | None = None) -> DataFrame:
@@ -176,9 +203,16 @@ def target_mean_encode(df: DataFrame, category: str, target: str, name: str) ->
     return lookup(df, means, category, weight="n")
 
 
-def interaction_features(df: DataFrame, number: str, category: str, prefix: str | None = None) -> DataFrame:
-    """`{number}_x_{value}` columns: the number where the category has that value, else 0 (long: `one_hot_rows`)."""
-    levels = levels_of(df, [category])[category]
+def interaction_features(df: DataFrame, number: str, category: str, prefix: str | None = None, wide_levels: int = MAX_WIDE_LEVELS) -> DataFrame:
+    """`{number}_x_{value}` columns: the number where the category has that value, else 0 (long: `one_hot_rows`).
+
+    More than `wide_levels` values give one sparse vector `{number}_x_{category}` with the same numbers.
+    """
+    levels = narrow_levels(df, [category], wide_levels).get(category)
+    if levels is None:
+        step, name = wide_step(df, category, "hot_vector"), f"{prefix or number}_x_{category}"
+        hot = Encoder([Step("__category", step.kind, step.state)]).transform(df.withColumn("__category", col(category)).withColumn("__number", col(number).cast("double")))
+        return Interaction(inputCols=["__number", "__category"], outputCol=name).transform(hot).drop("__category", "__number")
     new = {
         f"{prefix or number}_x_{v.replace(' ', '_')}": col(number) * F.coalesce((col(category) == v).cast("int"), F.lit(0))
         for v in levels
@@ -257,7 +291,9 @@ class Encoder:
                 out.append(f"{f'coalesce({code}, -1)' if s.kind == 'ordinal' else code} AS {q}")
             elif s.kind == "code":
                 code = quoted(f"__code_{c}")
-                out.append(f"CASE WHEN {code} >= {len(s.state['levels'])} THEN -1 ELSE CAST({code} AS INT) END AS {q}")
+                out.append(f"CASE WHEN {code} >= {s.state['size']} THEN -1 ELSE CAST({code} AS INT) END AS {q}")
+            elif s.kind == "hot_vector":
+                out.append(f"{quoted(f'__hot_{c}')} AS {q}")
             elif s.kind == "to_int":
                 out.append(f"CAST({q} AS INT) AS {q}")
             elif s.kind == "to_double":
@@ -336,18 +372,23 @@ class Encoder:
     def as_stage(self, df: DataFrame) -> Transformer:
         """A pipeline stage with the same effect, saved and loaded with the model.
 
-        Columns with very many values get their codes from a hash table ahead of the statement.
+        Columns with very many values get their positions from stored tables ahead of the statement.
         """
         types = kinds(df)
         last = SQLTransformer(statement=self.statement(df.columns, types))
-        coded = [s for s in self.steps if s.kind == "code" and s.column in df.columns]
-        if not coded:
+        wide = [s for s in self.steps if s.kind in ("code", "hot_vector") and s.column in df.columns]
+        if not wide:
             return last
-        shown = ", ".join(f"{self._shown(quoted(s.column), types[s.column])} AS {quoted(f'__text_{s.column}')}" for s in coded)
-        tables = [
-            StringIndexerModel.from_labels(s.state["levels"], f"__text_{s.column}", f"__code_{s.column}", handleInvalid="keep") for s in coded
-        ]
-        return PipelineModel([SQLTransformer(statement=f"SELECT *, {shown} FROM __THIS__"), *tables, last])
+        code = lambda s: f"__code_{s.column}"
+        found = DictionaryLookup(
+            texts=[self._shown(quoted(s.column), types[s.column]) for s in wide], outputs=[code(s) for s in wide],
+            paths=[s.state["path"] for s in wide], sizes=[s.state["size"] for s in wide],
+        )
+        hot = [s for s in wide if s.kind == "hot_vector"]
+        if not hot:
+            return PipelineModel([found, last])
+        vectors = one_hot_vectors(df.sparkSession, [code(s) for s in hot], [f"__hot_{s.column}" for s in hot], [s.state["size"] for s in hot])
+        return PipelineModel([found, vectors, last])
 
     # Persisting: one small table.
 
@@ -368,7 +409,7 @@ class Encoder:
             if c == target:
                 continue
             step = next((s for s in self.steps if s.column == c), None)
-            if step is None or step.kind in ("scale", "ordinal", "code", "to_int", "to_double", "text_boolean", "labels"):
+            if step is None or step.kind in ("scale", "ordinal", "code", "hot_vector", "to_int", "to_double", "text_boolean", "labels"):
                 pairs.append((c, c))
             elif step.kind == "one_hot":
                 pairs += [(c, f"{c}_{v}") for v in step.state["levels"]]
@@ -386,19 +427,21 @@ def fit_encoder(
 ) -> Encoder:
     """Fit every column by its role; columns without a role are left as they are.
 
-    A category with more than `wide_levels` values becomes one column of codes in place of 0/1 columns:
-    positions among the sorted values, -1 for NULL and unseen ones (up to MAX_CODED_LEVELS values, which
-    travel with the model).
+    A category with more than `wide_levels` values has the same features, one 0/1 number for each value in
+    sorted order, as one sparse vector column: a table cannot have a column for each, a model takes both.
+    Levels of such columns are a stored table that no one collects, so their number has no limit; the same
+    holds for ordinal codes.
     """
     folded = kinds(df)
     features = {c: r for c, r in roles.items() if c in df.columns and (target is None or c != target.name)}
     of = lambda *wanted: [c for c in df.columns if features.get(c) in wanted]
     steps = {s.column: s for s in _fit_scales(df, of("numeric-continuous", "numeric-discrete"))}
     nominal, ordinal = of("categorical-nominal"), of("categorical-ordinal")
-    levels = levels_of(df, nominal + ordinal, MAX_CODED_LEVELS)
-    for c in nominal + ordinal:
-        kind = "code" if len(levels[c]) > wide_levels else "one_hot" if c in nominal else "ordinal"
-        steps[c] = Step(c, kind, {"levels": levels[c]})
+    levels = narrow_levels(df, nominal + ordinal, wide_levels)
+    for c in nominal:
+        steps[c] = hot_step(df, c, levels)
+    for c in ordinal:
+        steps[c] = Step(c, "ordinal", {"levels": levels[c]}) if c in levels else wide_step(df, c, "code")
     for c in of("boolean"):
         steps[c] = text_boolean(df, c) if folded[c] == "str" else Step(c, "to_int")
     for c in of("datetime"):

@@ -6,6 +6,7 @@ import random
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -159,6 +160,16 @@ def global_importance(phi: DataFrame, value: str = "phi") -> DataFrame:
     return phi.groupBy("feature").agg(F.avg(strength).alias("score"))
 
 
+def grouped_importance(model: PipelineModel, scored: DataFrame) -> DataFrame | None:
+    """`model_importance` by column of the assembled features: a vector column has the sum of its places."""
+    assembled = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    kept = dict(scored.dtypes)
+    row = scored.select(*[col(c) for c in assembled.getInputCols()]).first()
+    names = [c for c in assembled.getInputCols() for _ in range(row[c].size if kept[c] == "vector" else 1)]
+    each = model_importance(model, names)
+    return None if each is None else each.groupBy("feature").agg(F.sum("score").alias("score"))
+
+
 def model_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame | None:
     """(feature, score) from tree importances or |coefficients|, None if there are none."""
     from pyspark.sql import SparkSession

@@ -111,7 +111,13 @@ def fallback(task: str) -> Estimator:
 
 def feature_columns(df: DataFrame, target: str, exclude: Sequence[str] = ()) -> list[str]:
     folded = kinds(df)
-    return [c for c in df.columns if c != target and c not in exclude and folded[c] in ("int", "float", "bool")]
+    wide = vector_columns(df)
+    return [c for c in df.columns if c != target and c not in exclude and (folded[c] in ("int", "float", "bool") or c in wide)]
+
+
+def vector_columns(df: DataFrame) -> list[str]:
+    """The columns that hold many features each, as categories with very many values do."""
+    return [c for c, kind in df.dtypes if kind == "vector"]
 
 
 def as_pipeline(model: Estimator, features: Sequence[str], target: str, stages: Sequence[Transformer] = ()) -> Pipeline:
@@ -185,6 +191,8 @@ def compare_models(
     models = models or candidates(task, classes, len(features))
     models = {m: e for m, e in models.items() if m not in exclude}
     solved = (lambda e: closed.linear_penalty(e) is not None) if task == "regression" else (lambda e: closed.class_kind(e) is not None)
+    if set(vector_columns(data)) & set(features):  # too many features for a matrix of all pairs
+        solved = lambda e: False
     useful = min(df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_PER_TASK + 1)
     if data.rdd.getNumPartitions() < useful:
         data = data.repartition(useful, *[col(k) for k in keys])

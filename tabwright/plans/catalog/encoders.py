@@ -71,6 +71,32 @@ def one_hot_rows(spark, d):
     return E.one_hot_rows(table(spark, d, "orders"), ["o_orderkey"], "o_custkey")
 
 
+PLACES = "size int, indices array<int>, values array<double>"
+
+
+def places(vector: str):
+    """The places of a sparse vector that hold something."""
+    return F.from_json(F.to_json(F.struct(F.col(vector).alias("v"))), f"v struct<{PLACES}>")["v"]
+
+
+@query("encode_pipeline_wide", f"""WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd, count(DISTINCT o_custkey) AS k FROM orders)
+    SELECT o_orderkey, {r('(o_totalprice - m) / sd')} AS o_totalprice, CAST(k AS INTEGER) AS size, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS INTEGER) AS place,
+    CAST(dense_rank() OVER (ORDER BY o_orderdate) - 1 AS INTEGER) AS o_orderdate FROM orders, s""")
+def encode_pipeline_wide(spark, d):
+    """Every customer is a feature: a sparse 0/1 vector through the fitted encoder."""
+    o = spread(table(spark, d, "orders"), "o_orderkey").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderdate")
+    roles = {"o_totalprice": "numeric-continuous", "o_custkey": "categorical-nominal", "o_orderdate": "categorical-ordinal"}
+    out = E.fit_encoder(o, roles, wide_levels=0).transform(o).withColumn("at", places("o_custkey"))
+    return rounded(out.select("o_orderkey", "o_totalprice", F.col("at.size").alias("size"), F.get("at.indices", F.lit(0)).alias("place"), "o_orderdate"))
+
+
+@query("interaction_features_wide", """SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS INTEGER) AS place, o_totalprice AS value FROM orders""")
+def interaction_features_wide(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
+    out = E.interaction_features(o, "o_totalprice", "o_custkey", wide_levels=0).withColumn("at", places("o_totalprice_x_o_custkey"))
+    return out.select("o_orderkey", F.get("at.indices", F.lit(0)).alias("place"), F.get("at.values", F.lit(0)).alias("value"))
+
+
 @query("interaction_rows", """SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_custkey) - 1 AS INTEGER) AS position,
     CAST(o_custkey AS VARCHAR) AS value, o_totalprice AS hot FROM orders""")
 def interaction_rows(spark, d):

@@ -78,6 +78,12 @@ def run_table(
     model = training.finalize(estimator, clean, goal.name, exclude=keys, stages=[stage])
     names = model.stages[-2].getInputCols()
     last = model.stages[-1]
+    if set(training.vector_columns(ready)) & set(names):
+        # Categories with very many values: the model's own weights, added up for each column.
+        importance = explaining.grouped_importance(model, ready)
+        if importance is not None:
+            return Outcome(goal, chosen, checks, verdict, encoder, board, name, model, importance.withColumn("most_rows", F.lit(0)))
+        names = [n for n in names if n not in training.vector_columns(ready)]
     if goal.task == "regression" and hasattr(last, "coefficients"):
         explained = training.filter_null_target(ready, goal.name)
         rows = explained.count()

@@ -84,16 +84,55 @@ def test_encoder_comparison_equals_row_correlations(small):
 def test_many_ordinal_levels(spark):
     values = [f"v{i * 7 % 100}" for i in range(100)] + [None]
     df = spark.createDataFrame([(v,) for v in values], "k string")
-    enc = E.fit_encoder(df, {"k": "categorical-ordinal"})
     order = {v: i for i, v in enumerate(sorted(set(values) - {None}))}
-    assert [r["k"] for r in enc.transform(df).collect()] == [order.get(v, -1) for v in values]
+    for wide_levels in (0, 2_000):
+        enc = E.fit_encoder(df, {"k": "categorical-ordinal"}, wide_levels=wide_levels)
+        assert Counter(r["k"] for r in enc.transform(df).collect()) == Counter(order.get(v, -1) for v in values)
 
 
 def test_long_one_hot_takes_any_number_of_values(spark):
     df = spark.range(6_000).selectExpr("id", "CASE WHEN id > 5 THEN id % 2500 END AS k", "id * 0.5D AS x")
-    with pytest.raises(E.LevelsExceeded):
-        E.one_hot(df, ["k"])
+    assert dict(E.one_hot(df, ["k"]).dtypes)["k"] == "vector"
     want = {i: (i % 2500, str(i % 2500)) for i in range(6, 6_000)}
     rows = E.one_hot_rows(df, ["id"], "k").collect()
     assert len(rows) == len(want) and {r["id"]: (r["position"], r["value"]) for r in rows} == want and {r["hot"] for r in rows} == {1}
     assert {r["id"]: r["hot"] for r in E.one_hot_rows(df, ["id"], "k", "x").collect()} == {i: i / 2 for i in want}
+
+
+@pytest.mark.parametrize("size", [1_999, 2_001, 300_000])
+def test_the_same_features_at_any_number_of_values(spark, size):
+    """One 0/1 feature for each value in sorted order, whether as columns or as a vector."""
+    from pyspark.ml.feature import VectorAssembler
+
+    df = spark.range(size + 50).selectExpr("id", "lpad(CAST(id % {n} AS STRING), 6, '0') AS k".format(n=size), "CAST(id AS DOUBLE) AS x")
+    enc = E.fit_encoder(df, {"k": "categorical-nominal"})
+    kind = {s.column: s.kind for s in enc.steps}["k"]
+    assert kind == ("one_hot" if size < 2_000 else "hot_vector")
+    new = spark.createDataFrame([(7, "000007", 1.0), (8, None, 1.0), (9, "unseen", 1.0)], df.schema)
+    features = VectorAssembler(inputCols=[c for c in enc.transform(new).columns if c not in ("id", "x")], outputCol="f")
+    got = {r["id"]: r["f"] for r in features.transform(enc.transform(new)).collect()}
+    assert all(v.size == size for v in got.values())
+    assert {i: [j for j in range(size) if v[j]] if size < 5_000 else list(v.indices) for i, v in got.items()} == {7: [7], 8: [], 9: []}
+    if size > 5_000:
+        assert enc.transform(df).where("k IS NULL").count() == 0
+
+
+def test_wide_columns_in_a_saved_pipeline(spark, tmp_path):
+    """Fit, save, load and score with a category of 2,500 values; the flow compares and explains with it."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml import regression as R
+
+    from tabwright.operators import explaining, training
+
+    df = spark.range(6_000).selectExpr("id", "CAST(id % 2500 AS STRING) AS k", "CAST(id % 2500 AS DOUBLE) + id % 2 AS y")
+    enc = E.fit_encoder(df, {"k": "categorical-nominal"})
+    model = training.finalize(R.LinearRegression(regParam=0.001), df, "y", ["id"], stages=[enc.as_stage(df)])
+    model.write().overwrite().save(str(tmp_path / "m"))
+    back = PipelineModel.load(str(tmp_path / "m"))
+    a, b = ({r["id"]: r["prediction"] for r in m.transform(df).collect()} for m in (model, back))
+    assert a == b and max(abs(a[i] - (i % 2500)) for i in a) < 30
+    board = training.compare_models(enc.transform(df), "y", "regression", ["id"], models={"linear": R.LinearRegression(regParam=0.001)})
+    assert board.first()["r2"] > 0.7  # a value whose rows are all held out is unknown
+    assert [r["feature"] for r in explaining.grouped_importance(model, enc.transform(df)).collect()] == ["k"]
+    params = E.Encoder.from_params(enc.to_params(spark))
+    assert params.transform(df).exceptAll(enc.transform(df)).count() == 0
