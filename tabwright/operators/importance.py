@@ -8,6 +8,7 @@ no code is ever joined back to the rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -241,10 +242,17 @@ def top_features(scores: DataFrame, n: int = 5) -> DataFrame:
 
 
 def key_features(df: DataFrame, target: Target, n: int = 5) -> list[str]:
+    """The n best features by the scorer of the task; by |r| when that fails, the first n columns when all fails."""
     features = [c for c in df.columns if c != target.name]
     if not features:
         return []
-    return [r["column_name"] for r in top_features(feature_scores(df, target), min(n, len(features))).collect()]
+    n = min(n, len(features))
+    for scores in (lambda: feature_scores(df, target), lambda: correlation_fallback(df, target.name)):
+        try:
+            return [r["column_name"] for r in top_features(scores(), n).collect()]
+        except Exception as problem:  # any failure of a scorer leaves the next way
+            warnings.warn(f"features are chosen another way: {type(problem).__name__}: {str(problem)[:200]}", stacklevel=2)
+    return features[:n]
 
 
 def importance_rank(scores: DataFrame) -> DataFrame:

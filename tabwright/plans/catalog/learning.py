@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ...functions.sizing import spread
 from ...operators import explaining as X, metrics as M, training as T
+from ...operators.tree_attribution import tree_attribution
 from .base import LINEITEM, query, r, rounded, table
 from .models import (
     BAYES_EXPRS, BAYES_FEATURES, BAYES_SQL, CHARGE, LINEAR_FEATURES, LINEAR_SQL, bayes_inputs, bayes_model, linear_inputs, linear_model,
@@ -290,17 +291,42 @@ def shap_values(spark, d):
     return rounded(X.linear_attribution(linear_inputs(spark, d), ["l_orderkey", "l_linenumber"], weights), 2)
 
 
-@query("shap_values_tree")
+FLAGS = "l_orderkey, l_linenumber, CAST(l_quantity > 25 AS INT) AS big, CAST(l_discount > 0.05 AS INT) AS cheap, CAST(l_tax > 0.04 AS INT) AS taxed"
+WORTH = "100.0 * big + 20.0 * cheap + 5.0 * taxed + 7.0 * big * cheap * taxed"
+
+
+def subsets_sql() -> str:
+    """Shapley values of a tree that asks big, then cheap, then taxed: the sum over all subsets of known features.
+
+    The mean of a leaf is known; a feature outside the subset goes each way by the node's share of rows.
+    """
+    names = ("big", "cheap", "taxed")
+    shares = ("l.n_a / l.n", "l.n_ab / l.n_a", "l.n_abc / l.n_ab")
+    ways = " * ".join(f"CASE WHEN s & {1 << i} > 0 THEN CAST(x.{c} = l.{c} AS DOUBLE) ELSE {share} END" for i, (c, share) in enumerate(zip(names, shares)))
+    parts = ", ".join(
+        f"sum(v * CASE WHEN s & {1 << i} > 0 THEN 1 ELSE -1 END * w[1 + bit_count(s) - CAST(s & {1 << i} > 0 AS INT)]) AS phi_{c}" for i, c in enumerate(names))
+    return f"""li AS (SELECT {FLAGS} FROM lineitem),
+    cell AS (SELECT big, cheap, taxed, count(*) AS n_abc, avg({WORTH}) AS value FROM li GROUP BY ALL),
+    l AS (SELECT *, sum(n_abc) OVER () AS n, sum(n_abc) OVER (PARTITION BY big) AS n_a, sum(n_abc) OVER (PARTITION BY big, cheap) AS n_ab FROM cell),
+    v AS (SELECT x.big, x.cheap, x.taxed, s, sum(l.value * {ways}) AS v FROM cell x, l, unnest(range(8)) AS u(s) GROUP BY ALL),
+    phi AS (SELECT big, cheap, taxed, {parts} FROM v, (SELECT [1.0 / 3, 1.0 / 6, 1.0 / 3] AS w) GROUP BY ALL)"""
+
+
+@query("shap_values_tree", f"WITH {subsets_sql()} " + " UNION ALL ".join(
+    f"SELECT l_orderkey, l_linenumber, '{c}' AS feature, {r(f'phi_{c}')} AS phi FROM li JOIN phi USING (big, cheap, taxed)" for c in ("big", "cheap", "taxed")))
 def shap_values_tree(spark, d):
-    """Attribution of a tree model on the explain sample; each row's phi add up to output minus mean background output."""
-    rows = quality_rows(spark, d)
-    features = T.feature_columns(rows, "quality", ["doc_id"])
-    model = T.finalize(C.DecisionTreeClassifier(seed=123), rows, "quality", ["doc_id"])
-    from pyspark.ml.functions import vector_to_array
+    """Attribution of a fitted shallow tree for every row of lineitem."""
+    rows = spread(table(spark, d, "lineitem"), "l_orderkey").selectExpr(*FLAGS.split(", ")).withColumn("worth", F.expr(WORTH))
+    model = T.finalize(R.DecisionTreeRegressor(maxDepth=3, seed=123), rows, "worth", ["l_orderkey", "l_linenumber"])
+    return rounded(tree_attribution(model, rows, ["l_orderkey", "l_linenumber"]))
 
-    return rounded(X.shapley_by_permutation(
-        model, X.explain_sample(rows, ["doc_id"]), ["doc_id"], features, vector_to_array(F.col("probability"))[1], permutations=2
-    ))
+
+@query("shap_values_forest")
+def shap_values_forest(spark, d):
+    """Attribution of a forest's class probability for all labelled documents."""
+    rows = quality_rows(spark, d)
+    model = T.finalize(C.RandomForestClassifier(seed=123), rows, "quality", ["doc_id"])
+    return rounded(tree_attribution(model, rows, ["doc_id"], classes=2))
 
 
 @query("shap_global_importance", f"{PHI_SQL} SELECT feature, {r('avg(abs(phi))', 4)} AS score FROM phi GROUP BY 1")

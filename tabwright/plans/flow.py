@@ -12,6 +12,7 @@ from ..functions import fixed_values as fv
 from ..functions.columns import kinds
 from ..functions.sizing import new_path, pinned
 from ..operators import cleaning, encoding, expectations, explaining, roles as R, training
+from ..operators.tree_attribution import is_tree, tree_attribution
 from ..sources import tables
 
 
@@ -48,7 +49,7 @@ def run_table(
     `keys` identify a row: they split folds, order fills and pick samples, and
     are never features.  `training_rows` bounds what models are compared on; the
     winner is fitted on all rows.  Linear winners are explained in closed form
-    over all rows, others by `permutations` over `explained_rows` rows against
+    and tree models by their paths, both over all rows, others by `permutations` over `explained_rows` rows against
     `background_rows`; the importance table says how many rows it rests on.
     """
     goal = R.suggest_target(df, target)
@@ -88,6 +89,10 @@ def run_table(
         explained = training.filter_null_target(ready, goal.name)
         rows = explained.count()
         phi = explaining.linear_attribution(explained, keys, dict(zip(names, map(float, last.coefficients))))
+    elif is_tree(model):
+        explained = training.filter_null_target(ready, goal.name)
+        rows = explained.count()
+        phi = tree_attribution(model, explained, keys, classes if goal.task == "classification" else 0)
     else:
         sample, rows = explaining.explain_sample(ready, keys, explained_rows), explained_rows
         inner = PipelineModel(stages=model.stages[1:])
