@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv
+from ..functions.digests import distinct, distinct_rows, repeats
 from ..functions.columns import col, count_where, kinds, numeric_columns
 from ..functions.sizing import slotted
 from .frequencies import modes, value_frequencies
@@ -150,8 +151,8 @@ def fill_from_neighbours(df: DataFrame, column: str, order: Sequence[str]) -> Da
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
-    """Distinct rows, NULLs equal; copies collapse before the shuffle."""
-    return df.dropDuplicates()
+    """Distinct rows, NULLs equal; only rows whose digest repeats are shuffled."""
+    return distinct(df)
 
 
 def clean(
@@ -165,12 +166,9 @@ def cleaning_audit(df: DataFrame, roles: Mapping[str, str], target: Target | Non
     """(step, column_name, method, fill_value, n_affected) of the same clean-up."""
     fills = fit_fills(df, roles, target)
     filled = apply_fills(df, fills, order)
-    groups = filled.groupBy(*[col(c) for c in filled.columns]).agg(F.count("*").alias("__n"))
-    removed = groups.agg((F.coalesce(F.sum("__n"), F.lit(0)) - F.count("*")).alias("n_affected"))
+    known = repeats(filled)
+    removed = known.rows - distinct_rows(filled, known)
     steps = [("impute", f.column, f.method, str(f.value), f.missing) for f in fills]
     schema = "step string, column_name string, method string, fill_value string, n_affected bigint"
-    last = removed.select(
-        F.lit("deduplicate").alias("step"), F.lit("").alias("column_name"), F.lit("distinct").alias("method"),
-        F.lit("").alias("fill_value"), "n_affected",
-    )
-    return df.sparkSession.createDataFrame(steps, schema).unionByName(last)
+    steps.append(("deduplicate", "", "distinct", "", removed))
+    return df.sparkSession.createDataFrame(steps, schema)

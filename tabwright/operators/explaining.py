@@ -1,11 +1,15 @@
-"""Attribution: closed form for linear models, permutation Shapley for the rest."""
+"""Attribution: closed form for linear models, permutations or a kernel regression for any other."""
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import PipelineModel
+import numpy as np
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,6 +18,8 @@ from ..functions import fixed_values as fv
 from ..functions.columns import col, kinds, sigmoid, softmax
 
 BACKGROUND_ROWS = 10
+#: Coalitions of a kernel design; up to 11 features have no more.
+MOST_COALITIONS = 2_046
 
 
 def explain_input_checks(df: DataFrame, target: str, task: str) -> DataFrame:
@@ -138,6 +144,100 @@ def shapley_by_permutation(
     )
 
 
+def coalitions(features: int, most: int = MOST_COALITIONS, seed: int = 42) -> list[tuple[tuple[bool, ...], float]]:
+    """(known features, weight) of a kernel design, without the empty and the full coalition.
+
+    All coalitions when there are at most `most`; else whole sizes from both ends, where the kernel has its
+    weight, as long as they fit, and pairs of a drawn coalition and its complement, which share the weight
+    of the sizes between.
+    """
+    def kernel(size: int) -> float:
+        return (features - 1) / (math.comb(features, size) * size * (features - size))
+
+    def of_size(size: int):
+        for chosen in itertools.combinations(range(features), size):
+            yield tuple(j in chosen for j in range(features))
+
+    out: list[tuple[tuple[bool, ...], float]] = []
+    sizes = list(range(1, features))
+    while sizes:
+        ends = {sizes[0], sizes[-1]}
+        if len(out) + sum(math.comb(features, size) for size in ends) > most:
+            break
+        out += [(mask, kernel(size)) for size in sorted(ends) for mask in of_size(size)]
+        sizes = [size for size in sizes if size not in ends]
+    if sizes:
+        rng = random.Random(seed)
+        mass = [kernel(size) * math.comb(features, size) for size in sizes]
+        drawn: Counter = Counter()
+        for _ in range(max(1, (most - len(out)) // 2)):
+            size = rng.choices(sizes, mass)[0]
+            chosen = set(rng.sample(range(features), size))
+            mask = tuple(j in chosen for j in range(features))
+            drawn[mask] += 1
+            drawn[tuple(not known for known in mask)] += 1
+        out += [(mask, sum(mass) * n / drawn.total()) for mask, n in drawn.items()]
+    return out
+
+
+def kernel_solution(design: Sequence[tuple[tuple[bool, ...], float]]) -> np.ndarray:
+    """Row j: what each coalition's value, then the empty and the full one's, count for feature j.
+
+    Least squares of the values on the known features, weighted, with the sum of all attributions held to
+    full less empty.  The normal equations hold the design only, so one solution serves every row.
+    """
+    z = np.array([mask for mask, _ in design], float)
+    w = np.array([weight for _, weight in design])
+    m = z.shape[1]
+    normal = np.zeros((m + 1, m + 1))
+    normal[:m, :m] = z.T @ (w[:, None] * z)
+    normal[:m, m] = normal[m, :m] = 1
+    right = np.zeros((m + 1, len(w) + 2))
+    right[:m, :-2] = z.T * w
+    right[:m, -2] = -(z.T @ w)  # values are taken less the empty coalition's
+    right[m, -2:] = -1, 1
+    return np.linalg.solve(normal, right)[:m]
+
+
+def kernel_attribution(
+    model: Transformer, df: DataFrame, keys: Sequence[str], features: Sequence[str], output: Column | None = None,
+    background: Sequence[Sequence[float]] | None = None, background_rows: int = BACKGROUND_ROWS, most: int = MOST_COALITIONS, seed: int = 42,
+) -> DataFrame:
+    """(keys, feature, phi) for any model by kernel-weighted least squares: exact when all coalitions fit into `most`.
+
+    A coalition's value is the model's mean output with the known features from the row and the others
+    from each background row.  Rows are exploded by literal arrays, scored by one `transform` and summed
+    with the solution's weights: one partial row a key, whatever the number of coalitions.  Rows that share
+    all keys are explained together.
+    """
+    if background is None:
+        sample = explain_sample(df, keys, background_rows, seed).select(*[col(c).cast("double").alias(c) for c in features])
+        background = [list(r) for r in sample.collect()]
+    m = len(features)
+    design = coalitions(m, most, seed) if m > 1 else []
+    masks = [*[mask for mask, _ in design], (False,) * m, (True,) * m]
+    solution = kernel_solution(design) if m > 1 else np.array([[-1.0, 1.0]])
+    known = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.lit(v) for v in mask]).alias("known")) for i, mask in enumerate(masks)])
+    grown = (
+        df.select(*[col(k) for k in keys], *[col(c).cast("double").alias(c) for c in features])
+        .withColumn("__b", F.explode(F.array(*[F.array(*[F.lit(float(v)) for v in b]) for b in background])))
+        .withColumn("__s", F.explode(known))
+    )
+    mixed = grown.select(
+        *[col(k) for k in keys], F.col("__s.i").alias("__i"),
+        *[F.when(F.col("__s.known")[j], col(c)).otherwise(F.col("__b")[j]).alias(c) for j, c in enumerate(features)],
+    )
+    value = F.col("prediction").cast("double") if output is None else output
+    scored = model.transform(mixed).select(*[col(k) for k in keys], "__i", value.alias("__v"))
+    counts = [F.array(*[F.lit(float(v)) for v in line]) for line in solution]
+    full = F.count_if(F.col("__i") == len(masks) - 1)  # background rows x rows of the key
+    sums = scored.groupBy(*[col(k) for k in keys]).agg(
+        full.alias("__n"), *[F.sum(F.get(c, F.col("__i")) * F.col("__v")).alias(f"__p{j}") for j, c in enumerate(counts)]
+    )
+    parts = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(f"__p{j}") / F.col("__n")).alias("phi")) for j, c in enumerate(features)])
+    return sums.select(*[col(k) for k in keys], F.inline(parts))
+
+
 def class_outputs(model: PipelineModel, classes: int) -> Column | list[Column]:
     """What is explained of a classifier: the positive class of two, else every class."""
     last = model.stages[-1]

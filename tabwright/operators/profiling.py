@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.digests import distinct_rows, repeats, with_repeats
 from ..functions.columns import col, count_where, kinds, numeric_columns, text_columns
 from .frequencies import CELL, distinct_and_missing, is_value, value_frequencies, value_text
 from .quantiles import exact_quantiles
@@ -129,19 +130,16 @@ def cardinality_categorical(df: DataFrame, approximate: bool = False) -> DataFra
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(n_rows, distinct_rows, duplicate_rows); NULLs count as equal."""
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("__n"))
-    return groups.agg(
-        F.sum("__n").alias("n_rows"),
-        F.count("*").alias("distinct_rows"),
-        (F.sum("__n") - F.count("*")).alias("duplicate_rows"),
-    )
+    known = repeats(df)
+    unique = distinct_rows(df, known)
+    return df.sparkSession.createDataFrame([(known.rows, unique, known.rows - unique)], "n_rows bigint, distinct_rows bigint, duplicate_rows bigint")
 
 
 def duplicate_examples(df: DataFrame, n: int = 5) -> DataFrame:
     """The n most repeated rows with their number of copies."""
     cols = [col(c) for c in df.columns]
     return (
-        df.groupBy(*cols).agg(F.count("*").alias("copies")).where("copies > 1").orderBy(F.desc("copies"), *cols).limit(n)
+        with_repeats(df, repeats(df)).groupBy(*cols).agg(F.count("*").alias("copies")).where("copies > 1").orderBy(F.desc("copies"), *cols).limit(n)
     )
 
 

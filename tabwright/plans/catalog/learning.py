@@ -321,6 +321,35 @@ def shap_values_tree(spark, d):
     return rounded(tree_attribution(model, rows, ["l_orderkey", "l_linenumber"]))
 
 
+KERNEL_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
+KERNEL_BACKGROUND = (25.1234567, 30_011.3777, 0.0512345, 0.0412347, 3.1415926)
+KERNEL_RULE = "{0} * {1} / 1000 * (1 - {2}) + 40 * {3} * {4} * {4} + CASE WHEN {0} > 20 THEN {1} / 500 ELSE 0 END"
+
+
+def all_subsets_sql() -> str:
+    """Shapley values of five features by all 32 subsets of every row."""
+    mixed = [f"CASE WHEN s & {1 << i} > 0 THEN CAST({c} AS DOUBLE) ELSE {b} END" for i, (c, b) in enumerate(zip(KERNEL_FEATURES, KERNEL_BACKGROUND))]
+    phi = ", ".join(
+        f"sum(v * CASE WHEN s & {1 << i} > 0 THEN 1 ELSE -1 END * w[1 + bit_count(s) - CAST(s & {1 << i} > 0 AS INT)]) AS phi_{c}" for i, c in enumerate(KERNEL_FEATURES))
+    return f"""li AS (SELECT DISTINCT l_orderkey, {', '.join(dict.fromkeys(KERNEL_FEATURES))} FROM lineitem),
+    v AS (SELECT li.*, s, {KERNEL_RULE.format(*mixed)} AS v FROM li, unnest(range(32)) AS u(s)),
+    phi AS (SELECT l_orderkey, {', '.join(KERNEL_FEATURES)}, {phi} FROM v, (SELECT [1.0 / 5, 1.0 / 20, 1.0 / 30, 1.0 / 20, 1.0 / 5] AS w) GROUP BY ALL)"""
+
+
+@query("shap_values_kernel", f"WITH {all_subsets_sql()} " + " UNION ALL ".join(
+    f"SELECT l_orderkey, {', '.join(KERNEL_FEATURES)}, '{c}' AS feature, {r(f'phi_{c}')} AS phi FROM phi" for c in KERNEL_FEATURES))
+def shap_values_kernel(spark, d):
+    """Kernel regression over all coalitions of five features, for a rule that no linear or tree model equals."""
+    from pyspark.ml.feature import SQLTransformer
+
+    rows = spread(table(spark, d, "lineitem"), "l_orderkey").select("l_orderkey", *KERNEL_FEATURES).distinct()
+    rows = rows.select("l_orderkey", *[F.col(c).alias(f"k_{c}") for c in KERNEL_FEATURES], *KERNEL_FEATURES)
+    rule = SQLTransformer(statement=f"SELECT *, {KERNEL_RULE.format(*KERNEL_FEATURES)} AS prediction FROM __THIS__")
+    keys = ["l_orderkey", *[f"k_{c}" for c in KERNEL_FEATURES]]
+    phi = X.kernel_attribution(rule, rows, keys, KERNEL_FEATURES, background=[KERNEL_BACKGROUND])
+    return rounded(phi.toDF("l_orderkey", *KERNEL_FEATURES, "feature", "phi"))
+
+
 @query("shap_values_forest")
 def shap_values_forest(spark, d):
     """Attribution of a forest's class probability for all labelled documents."""

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tabwright.operators import cleaning
+from tabwright.operators import cleaning, cleaning as C
 from tabwright.operators.frequencies import modes, value_frequencies
 from tabwright.operators.roles import Target
 
@@ -53,3 +53,29 @@ def test_target_role():
     assert cleaning.target_role(Target("t", "classification", "binary_01")) == "numeric-continuous"
     assert cleaning.target_role(Target("t", "classification", "multiclass_int_labels")) == "categorical-ordinal"
     assert cleaning.target_role(Target("t", "classification", "unknown_type")) == "categorical-nominal"
+
+
+def test_digests_tell_rows_apart(spark, monkeypatch):
+    """NULLs by place, NaN, signed zeros; rows that share a digest are compared whole; many repeats go another way."""
+    from tabwright.functions import digests as D
+    from tabwright.operators import profiling as P
+
+    nan = float("nan")
+    rows = [("a", None, 0.0), (None, "a", 0.0), ("a", None, -0.0), ("b", "b", nan), ("b", "b", -nan), ("", None, 1.0), (None, "", 1.0), ("b", "b", None), ("b", "b", None)]
+    df = spark.createDataFrame(rows, "x string, y string, z double")
+    want = df.distinct().count()
+    assert C.drop_duplicates(df).count() == want == 6
+    assert tuple(P.duplicate_rows(df).first()) == (9, 6, 3)
+    assert C.drop_duplicates(df.limit(0)).count() == 0 and tuple(P.duplicate_rows(df.limit(0)).first()) == (0, 0, 0)
+    single = df.distinct()
+    assert C.drop_duplicates(single).exceptAll(single).count() == 0
+    many = spark.range(600).selectExpr("id % 200 AS k", "CAST(id % 7 AS STRING) AS s")
+    distinct = many.distinct().count()
+    with monkeypatch.context() as m:
+        m.setattr(D, "DRIVER_ROWS", 10)
+        assert C.drop_duplicates(many).count() == distinct and P.duplicate_rows(many).first()["distinct_rows"] == distinct
+    from pyspark.sql import functions as F
+
+    with monkeypatch.context() as m:
+        m.setattr(D, "row_digest", lambda d, columns=None: [F.lit(1).cast("long").alias("__h1"), F.pmod(F.hash(*d.columns), F.lit(3)).cast("long").alias("__h2")])
+        assert C.drop_duplicates(many).count() == distinct and P.duplicate_rows(many).first()["distinct_rows"] == distinct

@@ -182,3 +182,37 @@ def test_areas_of_many_groups(spark):
     for g in range(3):
         pos, neg = [s for k, s, y in rows if k == g and y], [s for k, s, y in rows if k == g and not y]
         assert got[g] == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)))
+
+
+def test_kernel_attribution(numbers):
+    """All coalitions give exact values; a drawn design of many features adds up and is exact for a linear model."""
+    import itertools
+    import math
+
+    features = ["a", "b", "c"]
+    tree = T.finalize(R.DecisionTreeRegressor(maxDepth=4), numbers.select(*features, "y"), "y")
+    sample = X.explain_sample(numbers, ["id"], 8)
+    back = X.explain_sample(numbers, ["id"], 3).select(*features).collect()
+    got = {(r["id"], r["feature"]): r["phi"] for r in X.kernel_attribution(tree, sample, ["id"], features, background=back).collect()}
+    rows = [r for r in sample.collect()]
+    grid = [(r["id"], s, *[r[c] if s >> j & 1 else b[j] for j, c in enumerate(features)]) for r in rows for s in range(8) for b in back]
+    scored = tree.transform(numbers.sparkSession.createDataFrame(grid, "id int, s int, a double, b double, c double"))
+    value = {(r["id"], r["s"]): r["v"] for r in scored.groupBy("id", "s").agg(F.avg("prediction").alias("v")).collect()}
+    for r in rows:
+        for j, c in enumerate(features):
+            want = 0.0
+            for size in range(3):
+                for chosen in itertools.combinations([k for k in range(3) if k != j], size):
+                    s = sum(1 << k for k in chosen)
+                    want += math.factorial(size) * math.factorial(2 - size) / 6 * (value[r["id"], s | 1 << j] - value[r["id"], s])
+            assert got[r["id"], c] == pytest.approx(want, abs=1e-9)
+
+    names = [f"x{j}" for j in range(14)]
+    wide = numbers.select("id", *[(F.col("a") * (j + 1) + F.sin(F.col("id") * (j + 1))).alias(x) for j, x in enumerate(names)], "y").limit(40)
+    linear = T.finalize(R.LinearRegression(regParam=0.1), wide.drop("id"), "y")
+    weights = dict(zip(names, map(float, linear.stages[-1].coefficients)))
+    base = wide.select(*names).first()
+    phi = X.kernel_attribution(linear, wide.limit(5), ["id"], names, background=[base], most=200).collect()
+    rows = {r["id"]: r for r in wide.collect()}
+    assert {(r["id"], r["feature"]): r["phi"] for r in phi} == pytest.approx({(r["id"], r["feature"]): weights[r["feature"]] * (rows[r["id"]][r["feature"]] - base[r["feature"]]) for r in phi}, abs=1e-7)
+    assert len(X.coalitions(14, 200)) <= 200 and len(X.coalitions(5)) == 30

@@ -62,3 +62,21 @@ def test_categories():
     assert feature_category("customer_age") == "demographic"
     assert feature_category("unit_price") == "financial"
     assert feature_category("x1") == "general"
+
+
+def test_key_features_when_scorers_fail(small, monkeypatch):
+    """|r| when the scorer of the task fails, the first columns when that fails too."""
+    from tabwright.operators import importance as I
+
+    def fail(*_):
+        raise ValueError("no scores")
+
+    goal = R.Target("purchased", "classification", "binary_01")
+    rows = small.select("row_no", "customer_age", "income", "gender", "purchased")
+    monkeypatch.setattr(I, "feature_scores", fail)
+    with pytest.warns(UserWarning):
+        got = I.key_features(rows, goal, 3)
+    assert got == [r["column_name"] for r in I.top_features(I.correlation_fallback(rows, "purchased"), 3).collect()]
+    monkeypatch.setattr(I, "correlation_fallback", fail)
+    with pytest.warns(UserWarning):
+        assert I.key_features(rows, goal, 3) == ["row_no", "customer_age", "income"]
