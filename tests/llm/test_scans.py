@@ -94,6 +94,55 @@ def test_messages_are_exact_on_a_tree():
         assert got.tolist() == weight.argmax(axis=1).tolist()
 
 
+def far_repeats(n, gap, skip):
+    """n equal tokens far apart, linked one to the next, the first one known to be a phone number."""
+    w = weights(np.random.default_rng(0), pii.LABELS)
+    w.moves[:] = 0
+    w.skip = skip
+    scores = np.zeros((2 * n, pii.LABELS))
+    scores[:, 0] = gap
+    nodes = np.arange(0, 2 * n, 2)
+    given = np.full(n, -1)
+    given[0] = 4
+    return scores, nodes, given, list(zip(nodes.tolist(), nodes[1:].tolist())), w
+
+
+@pytest.mark.parametrize("gap, skip", [(7.8, 8.0), (6.0, 6.0)])
+def test_far_repeats_are_reached(monkeypatch, gap, skip):
+    """As many labels as after twenty thousand rounds, which is more than twenty rounds can reach."""
+    case = far_repeats(100, gap, skip)
+    got = pii.settled(*case)
+    monkeypatch.setattr(pii, "ROUNDS", 20_000)
+    assert got.tolist() == pii.settled(*case).tolist()
+    monkeypatch.setattr(pii, "ROUNDS", 20)
+    monkeypatch.setattr(pii, "ROUNDS_A_NODE", 0)
+    assert (pii.settled(*case) > 0).sum() < (got > 0).sum()
+
+
+def test_adjacent_repeats_and_a_small_loop():
+    """Neighbours that are linked share both potentials; on a loop the labels are those of all labellings."""
+    pick = np.random.default_rng(6)
+    agree = total_nodes = 0
+    for _ in range(30):
+        w = weights(pick, pii.LABELS)
+        w.skip = 1.5
+        scores = 2 * pick.normal(size=(7, pii.LABELS))
+        nodes, links = np.array([0, 1, 3, 5]), [(0, 1), (1, 3), (3, 5), (0, 5)]
+        given = np.array([-1, 3, -1, -1])
+        got = pii.settled(scores, nodes, given, links, w)
+        weight = np.zeros((4, pii.LABELS))
+        for y in itertools.product(range(pii.LABELS), repeat=4):
+            if y[1] == 3:
+                full = [0, y[0], y[1], 0, y[2], 0, y[3], 0]
+                score = sum(w.moves[a, b] for a, b in zip(full, full[1:])) + sum(scores[n, v] for n, v in zip(nodes, y))
+                score += sum(w.skip for a, b in ((0, 1), (1, 2), (2, 3), (0, 3)) if y[a] == y[b] > 0)
+                for i, v in enumerate(y):
+                    weight[i, v] += np.exp(score)
+        agree += (got == weight.argmax(axis=1)).sum()
+        total_nodes += 4
+    assert agree >= 0.97 * total_nodes
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
