@@ -9,7 +9,7 @@ no code is ever joined back to the rows.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -185,8 +185,8 @@ def mutual_info_scores(df: DataFrame, target: Target, bins: int = MI_BINS) -> Da
 
     Plug-in estimate less its bias (values - 1)(classes - 1) / 2N: numeric
     features in quantile bins, text by value.  A column of unique values, whose
-    plug-in estimate is the entropy of the class, so scores about 0.  The
-    nearest-neighbour estimate ranks strong features the same but differs in value.
+    plug-in estimate is the entropy of the class, so scores about 0.  The estimate
+    without bins is `neighbours.neighbour_mutual_info`, at the cost of two sorts.
     """
     clean = stable_clean(df, target.name)
     folded = kinds(clean)
@@ -229,10 +229,12 @@ def correlation_fallback(df: DataFrame, target: str) -> DataFrame:
     return per_column(clean, features, {"score": score})
 
 
-def feature_scores(df: DataFrame, target: Target) -> DataFrame:
-    """(column_name, score) by the scorer that fits the task."""
+def feature_scores(
+    df: DataFrame, target: Target, information: Callable[[DataFrame, Target], DataFrame] = mutual_info_scores
+) -> DataFrame:
+    """(column_name, score) by the scorer that fits the task; `information` scores features of a class."""
     if target.task == "classification":
-        return mutual_info_scores(df, target).withColumnRenamed("mi", "score")
+        return information(df, target).withColumnRenamed("mi", "score")
     return f_regression_scores(df, target.name).withColumnRenamed("f_score", "score")
 
 
@@ -241,13 +243,15 @@ def top_features(scores: DataFrame, n: int = 5) -> DataFrame:
     return scores.orderBy(F.desc("score"), "column_name").limit(n)
 
 
-def key_features(df: DataFrame, target: Target, n: int = 5) -> list[str]:
+def key_features(
+    df: DataFrame, target: Target, n: int = 5, information: Callable[[DataFrame, Target], DataFrame] = mutual_info_scores
+) -> list[str]:
     """The n best features by the scorer of the task; by |r| when that fails, the first n columns when all fails."""
     features = [c for c in df.columns if c != target.name]
     if not features:
         return []
     n = min(n, len(features))
-    for scores in (lambda: feature_scores(df, target), lambda: correlation_fallback(df, target.name)):
+    for scores in (lambda: feature_scores(df, target, information), lambda: correlation_fallback(df, target.name)):
         try:
             return [r["column_name"] for r in top_features(scores(), n).collect()]
         except Exception as problem:  # any failure of a scorer leaves the next way

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import fixed_values as fv
-from ...operators import importance as I, roles as R
+from ...operators import importance as I, neighbours as N, roles as R
 from .base import CUSTOMER, HOLED_SQL, LINEITEM, ORDERS, holed, query, r, rounded, table, union
 from .profiles import statistics_sql
 
@@ -223,6 +223,30 @@ def mutual_info_scores(spark, d):
     return rounded(I.mutual_info_scores(li, R.Target("l_returnflag", "classification", "multiclass_text_labels")))
 
 
+NEAR_FEATURES = {"c_acctbal": "float", "c_nationkey": "int", "c_name": "str"}
+NEAR_PARTS = union([
+    f"SELECT '{c}' AS column_name, c_mktsegment AS y, CAST({c if k != 'str' else f'dense_rank() OVER (ORDER BY {c}) - 1'} AS DOUBLE) AS x FROM customer"
+    for c, k in NEAR_FEATURES.items()])
+
+
+@query("mutual_info_neighbours", f"""WITH pts AS (SELECT *, count(*) OVER (PARTITION BY column_name, y) AS ny FROM ({NEAR_PARTS})),
+    kept AS (SELECT * FROM pts WHERE ny > 1), one AS (SELECT DISTINCT * FROM kept),
+    far AS (SELECT a.column_name, a.y, a.x, a.ny, list(abs(b.x - a.x)) AS ds
+        FROM one a JOIN kept b ON a.column_name = b.column_name AND a.y = b.y GROUP BY ALL),
+    rad AS (SELECT column_name, y, x, ny, list_sort(ds)[least(3, ny - 1) + 1] AS r FROM far),
+    lim AS (SELECT *, least(x, x - r + 1e-12::DOUBLE * (abs(x) + r)) AS low, greatest(x, x + r - 1e-12::DOUBLE * (abs(x) + r)) AS high FROM rad),
+    cnt AS (SELECT l.column_name, l.y, l.x, l.ny, count(*) AS m, count(*) FILTER (k.y = l.y) AS c, count(*) FILTER (k.y = l.y AND k.x = l.x) AS n
+        FROM lim l JOIN kept k ON k.column_name = l.column_name AND k.x BETWEEN l.low AND l.high GROUP BY ALL),
+    psi AS (SELECT i, coalesce(sum(1.0::DOUBLE / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 0.5772156649015329 AS v
+        FROM range(1, (SELECT count(*) + 2 FROM customer)) t(i)),
+    fin AS (SELECT column_name, sum(n) AS total, sum(n * (pc.v - py.v - pm.v)) / sum(n) AS gain
+        FROM cnt JOIN psi pc ON pc.i = c JOIN psi py ON py.i = ny JOIN psi pm ON pm.i = m GROUP BY 1)
+    SELECT column_name, {r('greatest(v + gain, 0)')} AS mi FROM fin JOIN psi ON i = total""")
+def mutual_info_neighbours(spark, d):
+    customer = table(spark, d, "customer").select(*NEAR_FEATURES, "c_mktsegment")
+    return rounded(N.neighbour_mutual_info(customer, R.Target("c_mktsegment", "classification", "multiclass_text_labels")))
+
+
 @query("key_features", f"""WITH {CODED_SQL}, {mi_sql(MI_FEATURES, 'l_returnflag', MI_SOURCE)}
     SELECT 'regression' AS task, column_name, {r('score')} AS score FROM (SELECT column_name, {F_SCORE} AS score FROM rr ORDER BY score DESC, column_name LIMIT 3)
     UNION ALL SELECT 'classification', column_name, {r('mi')} FROM (SELECT * FROM mi ORDER BY mi DESC, column_name LIMIT 3)""")
