@@ -27,6 +27,17 @@ def scan_csv(spark, d):
     return out.withColumns({"o_orderkey": F.col("o_orderkey").cast("bigint"), "o_custkey": F.col("o_custkey").cast("bigint"), "gaps": F.col("gaps").cast("bigint")})
 
 
+@query("scan_csv_line_breaks", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'He said "' || o_orderpriority || '",' || chr(10) || 'then
+"left"' WHEN o_orderkey % 7 = 0 THEN 'a 5" disk' ELSE o_orderstatus END AS note, o_totalprice FROM orders""".replace("then\n", "then' || chr(10) || '"))
+def scan_csv_line_breaks(spark, d):
+    path = new_path(spark, "csv")
+    note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('He said "'), "o_orderpriority", F.lit('",\nthen\n"left"'))).when(
+        F.col("o_orderkey") % 7 == 0, F.lit('a 5" disk')
+    ).otherwise(F.col("o_orderstatus"))
+    tables.write_prepared(table(spark, d, "orders").select("o_orderkey", note.alias("note"), "o_totalprice"), path, as_csv=True)
+    return tables.scan_csv(spark, path).withColumn("o_orderkey", F.col("o_orderkey").cast("bigint"))
+
+
 @query("scan_ml_ready", """SELECT o_orderkey, o_totalprice, CAST(o_orderstatus = 'F' AS INTEGER) AS is_final FROM orders""")
 def scan_ml_ready(spark, d):
     path = new_path(spark, "ready")

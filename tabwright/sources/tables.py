@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions import fixed_values as fv
 from ..functions.columns import NUMBER_PATTERN, col, kinds, nan_to_null, preview_text
+from .csv_records import holds_breaks, read_broken, text_lines
 
 EVENT_SCHEMA = (
     "timestamp timestamp_ntz, severity string, stage string, run_id string, event string, event_data map<string, string>"
@@ -30,13 +31,19 @@ def scan_csv(
 ) -> DataFrame:
     """A headered CSV with inferred types; malformed or empty input is refused.
 
-    A quote inside quotes is doubled, cells in `missing` are NULL before types are looked for, and cells may
-    hold line breaks with `multi_line` (a file is then one task, so ask for it only where needed).
-    Inference is one more pass over the data; pass `schema` to avoid it.  Dates stay text unless
-    `parse_dates`.  A row that does not fit the header fails the job that reads it.
+    A quote inside quotes is doubled and cells in `missing` are NULL before types are looked for.  Quoted cells
+    may hold line breaks: a first pass looks for them, and files that have some are put together from their
+    splits (`csv_records`), in many tasks and so in no fixed row order; `multi_line` reads each file in one task
+    and in order instead.  Lines end in LF or CR LF.  Inference is one more pass over the
+    data; pass `schema` to avoid it.  Dates stay text unless `parse_dates`.  A row that does not fit the header
+    fails the job that reads it.
     """
-    reader = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"').option("multiLine", multi_line)
-    text = reader.option("inferSchema", False).csv(path)
+    lines = text_lines(spark, path)
+    options = {"mode": "FAILFAST", "escape": '"'}
+    if not multi_line and holds_breaks(lines):
+        text = read_broken(lines, options)
+    else:
+        text = spark.read.options(header=True, inferSchema=False, multiLine=multi_line, **options).csv(path)
     cells = text.select(*[F.when(~col(c).isin(*missing), col(c)).alias(c) for c in text.columns])
     require_rows(cells, path)
     if schema is None:
