@@ -143,6 +143,21 @@ def duplicate_examples(df: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
+def edge_rows(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
+    """The first and the last n rows in `order`, with `part` (head or tail) and `position` counted from that end.
+
+    Two bounded top-n aggregates; a table of fewer than 2n rows shows some rows in both.  Rows with equal keys
+    follow the other columns, NULLs come first.
+    """
+    cells = [col(c) for c in dict.fromkeys([*order, *df.columns])]
+    parts = []
+    for part, keys in (("head", [c.asc_nulls_first() for c in cells]), ("tail", [c.desc_nulls_last() for c in cells])):
+        top = df.orderBy(*keys).limit(n)
+        position = F.row_number().over(Window.orderBy(*keys))  # over n rows
+        parts.append(top.select(F.lit(part).alias("part"), position.alias("position"), *[col(c) for c in df.columns]))
+    return parts[0].unionByName(parts[1])
+
+
 def missing_patterns(df: DataFrame) -> DataFrame:
     """(pattern, n): which columns are missing together; '1' marks a missing cell."""
     bits = F.concat(*[F.when(col(c).isNull(), "1").otherwise("0") for c in df.columns])

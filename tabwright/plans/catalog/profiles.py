@@ -80,6 +80,16 @@ def profile_samples_dups(spark, d):
     )
 
 
+EDGE = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
+
+
+@query("profile_edge_rows", union([
+    f"SELECT '{part}' AS part, row_number() OVER (ORDER BY {', '.join(f'{c} {way}' for c in EDGE)}) AS position, {', '.join(EDGE)} FROM h QUALIFY position <= 5"
+    for part, way in (("head", "ASC NULLS FIRST"), ("tail", "DESC NULLS LAST"))], f"WITH {HOLED_SQL}"))
+def profile_edge_rows(spark, d):
+    return P.edge_rows(holed(spark, d).select(*EDGE), ["l_orderkey", "l_linenumber"], 5)
+
+
 @query("value_counts", f"""SELECT o_orderpriority AS value, count(*) AS n, {r('count(*) * 100.0 / (SELECT count(*) FROM orders)')} AS pct
     FROM orders GROUP BY 1""")
 def value_counts(spark, d):

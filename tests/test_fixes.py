@@ -85,3 +85,12 @@ def test_model_card_and_tier_counts(spark):
     tiers = I.tiers(spark.createDataFrame([("a", 1.0), ("b", 0.9), ("c", 0.0)], "column_name string, score double"))
     counts = {(r["grouping"], r["key"]): r["n"] for r in forms.tier_counts(tiers.withColumn("category", F.lit("other"))).collect()}
     assert counts[("category", "other")] == 3 and sum(n for (g, _), n in counts.items() if g == "tier") == 3
+
+
+def test_edge_rows_of_few_rows_ties_and_holes(spark):
+    from tabwright.operators.profiling import edge_rows
+
+    df = spark.createDataFrame([(2, "b"), (None, "z"), (2, "a")], "k int, v string")
+    got = [tuple(r) for r in edge_rows(df, ["k"], 2).orderBy("part", "position").collect()]
+    assert got == [("head", 1, None, "z"), ("head", 2, 2, "a"), ("tail", 1, 2, "b"), ("tail", 2, 2, "a")]
+    assert edge_rows(df.limit(0), ["k"]).collect() == []
