@@ -21,6 +21,7 @@ from ..functions.columns import TOKEN_PATTERN, col, count_where, kinds, quoted,
 from ..functions.sizing import lookup, rows_if_bounded
 from .dictionary import DictionaryLookup, one_hot_vectors, write_levels
 from .frequencies import is_value, value_frequencies, value_text
+from .heavy import heavy_values
 from .importance import label_codes
 from .roles import Target
 
@@ -161,17 +162,18 @@ def english_stop_words() -> list[str]:
 def fit_tfidf(df: DataFrame, column: str, terms: int = fv.TFIDF_TERMS, stop_words: Sequence[str] | None = None) -> Step:
     """The most frequent terms (ties by term) and their smooth idf.
 
-    The text is cut once: every token is emitted for its corpus count and every
-    distinct token of a row for its row count.  Both add up map-side, so the
-    shuffle carries terms, not tokens.
+    Every token is emitted for its corpus count and every distinct token of a row
+    for its row count.  Only terms that can be among the most frequent are counted
+    one by one (`heavy_values`), so the shuffle does not grow with the vocabulary.
     """
     stop = list(stop_words) if stop_words is not None else english_stop_words()
     cut = df.select(tokens(col(column)).alias("t"))
     words = cut.select(F.posexplode(F.array("t", F.array_distinct("t"))).alias("distinct", "t")).select(
         "distinct", F.explode("t").alias("term")
     )
-    counts = words.where(~F.col("term").isin(stop)).groupBy("term").agg(
-        count_where(F.col("distinct") == 0).alias("n"), count_where(F.col("distinct") == 1).alias("d")
+    counts = heavy_values(
+        words.where(~F.col("term").isin(stop)), ["term"], terms, weight=1 - F.col("distinct").cast("bigint"),
+        also={"d": count_where(F.col("distinct") == 1)},
     )
     top = sorted(counts.orderBy(F.desc("n"), "term").limit(terms).collect(), key=lambda r: r["term"])
     n = df.count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions.sizing import spread
-from ...operators import cleaning, correlation as C, frequencies as Q, importance as I, profiling as P
+from ...operators import cleaning, correlation as C, frequencies as Q, heavy, importance as I, profiling as P
 from .base import (
     HOLED, HOLED_SQL, LINEITEM, PART, holed, query, r, rounded, shown, table, union,
 )
@@ -134,6 +134,26 @@ def mode_value(spark, d):
     return top.select("column_name", Q.value_text(h).alias("value"), "n")
 
 
+HEAVY = {"l_partkey": "int", "l_quantity": "float", "l_shipdate": "datetime", "l_returnflag": "str"}
+
+
+@query("top_values", union([
+    f"SELECT '{c}' AS column_name, {shown(c, k)} AS value, count(*) AS n FROM lineitem GROUP BY {c} QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 5"
+    for c, k in HEAVY.items()]))
+def top_values(spark, d):
+    rows = table(spark, d, "lineitem").select(*HEAVY)
+    best = heavy.heavy_values(Q.cells(rows).where(Q.is_value()), Q.CELL, 5, ["column_name"])
+    return best.select("column_name", Q.value_text(rows).alias("value"), "n")
+
+
+@query("mode_value_heavy", union([
+    f"SELECT '{c}' AS column_name, value, n FROM (SELECT {shown(c, k)} AS value, count(*) AS n FROM h WHERE {c} IS NOT NULL "
+    f"GROUP BY {c} ORDER BY n DESC, {c} LIMIT 1)" for c, k in HOLED.items()], f"WITH {HOLED_SQL}"))
+def mode_value_heavy(spark, d):
+    h = holed(spark, d)
+    return heavy.column_modes(h).select("column_name", Q.value_text(h).alias("value"), "n")
+
+
 OPTION_COLUMNS = ["p_brand", "p_type", "p_size"]
 
 
