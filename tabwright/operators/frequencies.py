@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.columns import col, count_where, kind_of
 
 CELL = ("l", "d", "s")
+SHORT_TEXT = 40
 
 
-def _cell(field: T.StructField) -> tuple[Column, Column, Column]:
+def cell(field: T.StructField) -> tuple[Column, Column, Column]:
+    """The value of a column in one of `CELL`, the others NULL."""
     c, kind = col(field.name), kind_of(field.dataType)
     none_l, none_d, none_s = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
     if kind in ("int", "bool"):
@@ -37,13 +39,19 @@ def cells(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[st
     names = list(columns if columns is not None else fields)
     parts: list[Column] = []
     for name in names:
-        parts += [F.lit(name), *_cell(fields[name])]
+        parts += [F.lit(name), *cell(fields[name])]
     return df.select(
         *[col(k) for k in keep],
         F.stack(F.lit(len(names)), *parts).alias("column_name", *CELL),
     )
 
 
+def short_cells(found: DataFrame, chars: int = SHORT_TEXT) -> DataFrame:
+    """Cells with texts longer than `chars` replaced by their SHA-256: as many distinct ones, but of bounded size."""
+    shown = F.when(F.length("s") > chars, F.concat(F.lit("#"), F.sha2(F.col("s"), 256))).otherwise(F.concat(F.lit("="), F.col("s")))
+    return found.withColumn("s", shown)
+
+
 def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, l, d, s, n): how often each value, NULL included, occurs."""
     return cells(df, columns).groupBy("column_name", *CELL).agg(F.count("*").alias("n"))

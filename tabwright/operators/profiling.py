@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.digests import distinct_rows, repeats, with_repeats
 from ..functions.columns import col, count_where, kinds, numeric_columns, text_columns
-from .frequencies import CELL, distinct_and_missing, is_value, value_frequencies, value_text
+from .frequencies import CELL, cell, cells, distinct_and_missing, short_cells, value_frequencies, value_text
 from .quantiles import exact_quantiles
 
 
@@ -67,24 +67,40 @@ def null_profile(df: DataFrame) -> DataFrame:
     return per_column(df, df.columns, {"missing": missing}).where(F.col("missing") > 0)
 
 
+def smallest_values(df: DataFrame, n: int) -> DataFrame:
+    """(column_name, rn, l, d, s): the n smallest values of each column, numbered from 1.
+
+    One aggregate for each of them: the least value above the last one.  Only n rows of values reach the driver.
+    """
+    fields = df.schema.fields
+    plain = df.select(*[c.alias(f"{k}{i}") for i, f in enumerate(fields) for k, c in zip(CELL, cell(f))])
+    found, last = [], {}
+    for rn in range(1, n + 1):
+        wanted = [x for x in plain.columns if rn == 1 or last[x] is not None]
+        if not wanted:
+            break
+        above = {x: F.col(x) if rn == 1 else F.when(F.col(x) > F.lit(last[x]), F.col(x)) for x in wanted}
+        row = plain.agg(*[F.min(c).alias(x) for x, c in above.items()]).first()
+        last = {x: row[x] if x in wanted else None for x in plain.columns}
+        values = [[last[f"{k}{i}"] for k in CELL] for i in range(len(fields))]
+        found += [(f.name, rn, *v) for f, v in zip(fields, values) if v != [None] * len(CELL)]
+    return df.sparkSession.createDataFrame(found, "column_name string, rn int, l bigint, d double, s string")
+
+
 def column_statistics(df: DataFrame, samples: int = 3) -> DataFrame:
     """(column_name, dtype, n_unique, n_missing, missing_pct, samples).
 
     Samples are the smallest values, so the answer does not depend on row
-    order.  Counts and samples read the same shuffled frequency table; each
-    task passes on at most `samples` values per column.
+    order.  Values are counted by `short_cells`, so long texts are not
+    shuffled, and samples come from `smallest_values`, which shuffles nothing.
     """
     folded = kinds(df)
-    freq = value_frequencies(df)
-    shape = distinct_and_missing(freq)
-    # NULL sorts last instead of being filtered out: both readers then share one shuffle.
-    smallest = Window.partitionBy("column_name").orderBy((~is_value()).cast("int"), *CELL, "n")
-    first = freq.withColumn("rn", F.row_number().over(smallest)).where(F.col("rn") <= samples)
-    texts = F.array_sort(F.collect_list(F.when(is_value(), F.struct("rn", value_text(df).alias("t")))))
+    shape = distinct_and_missing(short_cells(cells(df)).groupBy("column_name", *CELL).agg(F.count("*").alias("n")))
+    first = smallest_values(df, samples)
+    texts = F.array_sort(F.collect_list(F.struct("rn", value_text(df).alias("t"))))
     few = first.groupBy(F.col("column_name").alias("c")).agg(F.array_join(F.transform(texts, lambda x: x["t"]), "|").alias("samples"))
     types = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.lit(folded[c]))])
-    # A null-safe key keeps Spark from filtering one reader, which would split the shuffle in two.
-    return shape.join(F.broadcast(few), F.col("column_name").eqNullSafe(F.col("c")), "left").select(  # one row per column
+    return shape.join(F.broadcast(few), F.col("column_name") == F.col("c"), "left").select(  # one row per column
         "column_name",
         types[F.col("column_name")].alias("dtype"),
         "n_unique",

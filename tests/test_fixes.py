@@ -94,3 +94,23 @@ def test_edge_rows_of_few_rows_ties_and_holes(spark):
     got = [tuple(r) for r in edge_rows(df, ["k"], 2).orderBy("part", "position").collect()]
     assert got == [("head", 1, None, "z"), ("head", 2, 2, "a"), ("tail", 1, 2, "b"), ("tail", 2, 2, "a")]
     assert edge_rows(df.limit(0), ["k"]).collect() == []
+
+
+def test_column_statistics_of_long_texts_ties_and_holes(spark):
+    from tabwright.operators.profiling import column_statistics
+
+    long = ["x" * 5_000 + str(i % 4) for i in range(20)]
+    rows = [(i % 2 or None, float("nan") if i < 3 else -0.0 if i % 2 else 0.0, long[i], None, i % 3 == 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "a int, b double, c string, d string, e boolean")
+    got = {r["column_name"]: r for r in column_statistics(df).collect()}
+    assert {c: (r["n_unique"], r["n_missing"]) for c, r in got.items()} == {"a": (1, 10), "b": (2, 0), "c": (4, 0), "d": (0, 20), "e": (2, 0)}
+    assert got["a"]["samples"] == "1" and got["d"]["samples"] == "" and got["e"]["samples"] == "false|true"
+    assert got["c"]["samples"] == "|".join("x" * 5_000 + str(i) for i in range(3))
+    assert column_statistics(df.limit(0)).where("n_unique > 0 or samples <> ''").isEmpty()
+    # What looks like a stored digest is not taken for one.
+    from pyspark.sql import functions as F
+    from tabwright.operators.frequencies import cells, short_cells
+
+    pair = spark.createDataFrame([("y" * 99,)], "s string")
+    both = pair.unionAll(pair.select(F.concat(F.lit("#"), F.sha2("s", 256)))).unionAll(pair.select(F.sha2("s", 256)))
+    assert short_cells(cells(both)).select("s").distinct().count() == 3
