@@ -31,16 +31,17 @@ def spread(spans):
     return {i for s in spans for i in range(s.first, s.end)}
 
 
-@pytest.mark.parametrize("block_words", [60, D.BLOCK_WORDS])
-def test_all_windows_by_chance(spark, block_words):
-    pick = random.Random(block_words)
+@pytest.mark.parametrize("small_rows, hot_share", [(0, 8), (0, D.HOT_SHARE), (D.SMALL_ROWS, D.HOT_SHARE)])
+def test_all_windows_by_chance(spark, monkeypatch, small_rows, hot_share):
+    monkeypatch.setattr(D, "HOT_SHARE", hot_share)
+    pick = random.Random(small_rows + hot_share)
     text = lambda n, v: " ".join(pick.choice("abcdefgh"[:v]) + pick.choice(["", ",", ".\n"]) for _ in range(n))
     items = [(k, text(n, v)) for k, (n, v) in enumerate([(3, 4), (9, 2), (10, 2), (11, 3), (25, 2), (60, 3), (1, 8), (4, 3), (30, 1)])]
     items += [(None, text(12, 2)), (20, None), (21, "..."), (22, items[4][1])]
     docs = [(i, text(pick.randint(0, 60), pick.choice([2, 3]))) for i in range(60)]
     docs += [(100 + i, text(7, 8) + " " + items[i][1] + " " + text(7, 8)) for i in range(6)] + [(200, None), (201, "")]
     found = D.find_passages(
-        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), small_rows=small_rows
     ).collect()
     for r in found:
         n, hits, names = brute(dict(docs)[r.doc_id], items, 10)
@@ -65,3 +66,16 @@ def test_every_shared_window_shares_a_fingerprint():
         a, b = (np.concatenate([pick.integers(0, 2**63, k).astype(np.uint64), shared, pick.integers(0, 2**63, 5).astype(np.uint64)]) for k in pick.integers(0, 9, 2))
         kept = [{int(D.grams(x, 5)[i]) for i in D.winnowed(x, np.full(len(x), len(x)), 10, 5)} for x in (a, b)]
         assert kept[0] & kept[1]
+
+
+def test_bits_hold_every_print(spark):
+    import numpy as np
+
+    pick = np.random.default_rng(3)
+    prints = pick.integers(-(2**63), 2**63 - 1, 3_000)
+    bits = D.bit_table(spark.createDataFrame([(int(x),) for x in prints], "print long"), 3_000)
+    size = 8 * len(bits)
+    place = prints.view(np.uint64) >> np.uint64(64 - size.bit_length() + 1)
+    wanted = np.zeros(size, bool)
+    wanted[place.astype(np.int64)] = True
+    assert (np.unpackbits(bits, bitorder="little").astype(bool) == wanted).all()
