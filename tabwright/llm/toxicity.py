@@ -1,15 +1,19 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read the word classes of a clause: insults, threats (which need a target),
-targets before or behind, negation with a short scope, reported speech up to the end of the clause.  They
-are composed into one machine whose output is not a word hit but a matched pattern: a plain, targeted,
-negated or reported insult or threat.  Only clauses that hold an insult or a threat are run.
+Five transducers read the word classes of a clause, each with states of its own: reported speech (up to
+the end of the clause), negation (a short scope that a conjunction ends), target, insult (runs of insult
+words are one phrase with one negation; also phrases of several words such as "piece of ...") and threat
+(base forms of violent verbs, inflected ones within the scope of an intention).  Each reads the marks of
+those before it, so their composition is one machine over product states; it is built whole, ahead of the
+texts.  Arcs put out the kind of a hit, the state in which the clause ends says which pattern that is:
+a plain, targeted, negated or reported insult, a threat or a withdrawn one.  A threat without a target is
+no pattern.  Only clauses that hold a possible hit are run.
 
 The insults are learned: words and word beginnings that mark toxic rows of a sample of labelled rows (at
 most `sample_rows`, the first by a hash of their id, one of each family of copies), by a likelihood-ratio
-test.  Their log odds are
-the arc weights; a logistic regression on the same sample weighs the patterns.  Ids, language and source
-are never inputs.
+test.  Every form that passes it is kept; as each needs several toxic rows of the sample, the sample bounds
+the lexicon.  Log odds are the arc weights; a logistic regression on the same sample weighs the patterns.
+The sample is written once, so learning reads the documents once.  Ids, language and source are never inputs.
 
 Null and empty texts match nothing and get the score of a text without matches; rows are scored one by
 one, so ties and repeated rows do not matter.  Labels with a null id, null or both values for one id are
@@ -30,70 +34,132 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .scratch import Scratch
 from .words import ALPHANUMERIC, CACHED_WORDS, WordHashes, grams, hashed, passed_on, slices, words_of
 
 SAMPLE_ROWS = 50_000
-LEXICON_ENTRIES = 20_000
 EVIDENCE = 12.0
 LEAST_ODDS, MOST_ODDS = 3.0, 5.0
 BEGINNINGS = (4, 5, 6)
 NEGATION_SCOPE = 3
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-# The closed word classes.
+INTENT_SCOPE = 4
+PHRASE_WEIGHT = 3.0
+
+OTHER, INSULT, VIOLENCE, INFLECTED, INTENT, TARGET, NEGATION, REPORT, BREAK, HEAD, LINK, TAIL = range(12)
+SYMBOLS = 12
+HITS = {INSULT, VIOLENCE, INFLECTED, TAIL}
+# The closed word classes of four languages.
 CLOSED_CLASSES = {
-    THREAT: ("kill", "hurt", "destroy", "beat", "burn", "shoot", "stab", "murder", "punch", "hang"),
-    TARGET: ("you", "your", "yours", "yourself", "u", "he", "him", "she", "her", "they", "them", "these", "those"),
-    NEGATION: ("not", "no", "never", "nobody", "isn", "aren", "wasn", "don", "doesn", "didn", "nicht", "kein", "ne", "pas", "jamais", "nunca"),
-    REPORT: ("said", "says", "told", "wrote", "writes", "quoted", "quote", "claims", "claimed", "called", "reported", "allegedly"),
+    VIOLENCE: (
+        "kill", "hurt", "destroy", "beat", "burn", "shoot", "stab", "murder", "punch", "hang", "strangle",
+        "umbringen", "töten", "schlagen", "erschießen", "erstechen", "verprügeln",
+        "tuer", "tuerai", "frapper", "frapperai", "poignarder", "étrangler", "matar", "matarte", "mataré", "golpear", "golpearé", "apuñalar",
+    ),
+    INFLECTED: (
+        "kills", "killed", "killing", "hurts", "hurting", "destroys", "destroyed", "destroying", "beats", "beating", "beaten",
+        "burns", "burned", "burning", "shoots", "shot", "shooting", "stabs", "stabbed", "stabbing", "murders", "murdered", "murdering",
+        "punches", "punched", "punching", "hangs", "hanged", "hanging", "strangled", "strangling",
+        "umbringe", "umgebracht", "töte", "getötet", "schlage", "geschlagen", "tue", "tué", "frappe", "frappé", "mato", "matado", "golpeo", "golpeado",
+    ),
+    INTENT: ("will", "ll", "shall", "gonna", "going", "want", "werde", "werden", "vais", "allons", "veux", "voy", "vamos", "quiero"),
+    TARGET: (
+        "you", "your", "yours", "yourself", "u", "he", "him", "she", "her", "they", "them", "these", "those",
+        "du", "dich", "dir", "euch", "ihn", "ihnen", "tu", "te", "toi", "vous", "ti", "usted", "ustedes",
+    ),
+    NEGATION: ("not", "no", "never", "nobody", "isn", "aren", "wasn", "don", "doesn", "didn", "nicht", "kein", "nie", "ne", "pas", "jamais", "nunca"),
+    REPORT: (
+        "said", "says", "told", "wrote", "writes", "quoted", "quote", "claims", "claimed", "called", "reported", "allegedly",
+        "sagte", "schrieb", "behauptet", "angeblich", "écrit", "affirme", "prétend", "dijo", "escribió", "afirma",
+    ),
+    BREAK: ("and", "but", "or", "und", "aber", "oder", "et", "mais", "ou", "y", "pero"),
+    HEAD: ("piece", "sack", "son"),
+    LINK: ("of", "a"),
+    TAIL: ("shit", "crap", "bitch", "scum", "filth"),
 }
 CLAUSE_ENDS = re.compile(r"[.!?;:\n]+")
 PATTERNS = ("insult", "targeted_insult", "negated_insult", "reported_insult", "threat", "withdrawn_threat")
+QUOTED, DENIED, INSULTS, THREATENS = 1, 2, 4, 8
+
 
+def report(state: int, word: int, marks: int) -> tuple[int, int]:
+    """State 1: speech is being reported."""
+    return (1, marks) if word == REPORT else (state, marks | QUOTED * state)
 
-def negation(state: int, word: int) -> tuple[int, bool]:
-    """State: words that a negation still covers; marks insults and threats among them."""
-    return (NEGATION_SCOPE, False) if word == NEGATION else (max(state - 1, 0), state > 0)
 
+def negation(state: int, word: int, marks: int) -> tuple[int, int]:
+    """State: words that a negation still covers."""
+    if word in (NEGATION, BREAK):
+        return (NEGATION_SCOPE if word == NEGATION else 0), marks
+    return max(state - 1, 0), marks | (DENIED if state else 0)
 
-def report(state: int, word: int) -> tuple[int, bool]:
-    """State 1: speech is being reported."""
-    return (1, False) if word == REPORT else (state, state == 1)
+
+def target(state: int, word: int, marks: int) -> tuple[int, int]:
+    """State 1: the clause names a target, before or behind its hits."""
+    return (1 if word == TARGET else state), marks
+
+
+def insult(state: int, word: int, marks: int) -> tuple[int, int]:
+    """States 1, 2: inside a phrase of insults, a denied one; 3, 4: head of a phrase of several words, and its link."""
+    if word == INSULT or (word == TAIL and state == 4):
+        marks |= INSULTS | (DENIED if state == 2 else 0)
+        return (2 if marks & DENIED else 1), marks
+    if word == HEAD:
+        return 3, marks
+    return (4 if word == LINK and state >= 3 else 0), marks
 
 
-def target(state: int, word: int) -> tuple[int, bool]:
-    """State 1: a target was named."""
-    return (1, True) if word == TARGET else (state, state == 1)
+def threat(state: int, word: int, marks: int) -> tuple[int, int]:
+    """State: words that an intention still covers."""
+    if word == INTENT:
+        return INTENT_SCOPE, marks
+    return max(state - 1, 0), marks | (THREATENS if word == VIOLENCE or (word == INFLECTED and state) else 0)
+
+
+TRANSDUCERS = (report, negation, target, insult, threat)
+TARGET_AT = TRANSDUCERS.index(target)
+
+
+def pattern(marks: int, aimed: int) -> int:
+    """What a hit is in a clause that ends with or without a target; -1: nothing."""
+    if marks & INSULTS:
+        return 3 if marks & QUOTED else 2 if marks & DENIED else 1 if aimed else 0
+    return -1 if not aimed else 5 if marks & (QUOTED | DENIED) else 4
 
 
 class Grammar:
-    """The composition of the transducers; its transitions are built as they are first taken."""
+    """The composition: `arcs[state][word class]` is (next state, marks of a hit or 0), `final[state]` the pattern of marks."""
 
     def __init__(self):
-        self.arcs: dict[tuple, tuple] = {}
-
-    def arc(self, state: tuple[int, int, int], word: int) -> tuple:
-        key = (state, word)
-        if key not in self.arcs:
-            after, marks = zip(*(t(s, word) for t, s in zip((negation, report, target), state)))
-            self.arcs[key] = after, marks
-        return self.arcs[key]
+        todo = [(0,) * len(TRANSDUCERS)]
+        number = {todo[0]: 0}
+        self.arcs: list[list[tuple[int, int]]] = []
+        self.final: list[list[int]] = []
+        for state in todo:  # grows while states are found
+            row = []
+            for word in range(SYMBOLS):
+                after, marks = [], 0
+                for transducer, own in zip(TRANSDUCERS, state):
+                    own, marks = transducer(own, word, marks)
+                    after.append(own)
+                if (key := tuple(after)) not in number:
+                    number[key] = len(todo)
+                    todo.append(key)
+                row.append((number[key], marks if marks & (INSULTS | THREATENS) else 0))
+            self.arcs.append(row)
+            self.final.append([pattern(marks, state[TARGET_AT]) for marks in range(16)])
 
     def clause(self, words: Sequence[tuple[int, float]], totals: list[float]) -> None:
         """Add the weights of the patterns of one clause (word class, weight)."""
-        state, open_hits = (0, 0, 0), []
+        state, hits, arcs = 0, [], self.arcs
         for word, weight in words:
-            state, (denied, quoted, aimed) = self.arc(state, word)
-            if word in (INSULT, THREAT):
-                open_hits.append([word, weight, denied, quoted, aimed])
-            elif word == TARGET:
-                for hit in open_hits:
-                    hit[4] = True
-        for word, weight, denied, quoted, aimed in open_hits:
-            if word == INSULT:
-                totals[3 if quoted else 2 if denied else 1 if aimed else 0] += weight
-            elif aimed:  # a threat needs a target
-                totals[5 if quoted or denied else 4] += weight
+            state, marks = arcs[state][word]
+            if marks:
+                hits.append((marks, weight))
+        final = self.final[state]
+        for marks, weight in hits:
+            if (at := final[marks]) >= 0:
+                totals[at] += weight
 
 
 class Classes(dict):
@@ -108,7 +174,7 @@ class Classes(dict):
             self.clear()
         weight = max((self.lexicon.get(f, 0.0) for f in forms(word)), default=0.0)
         kind = INSULT if weight > 0 else self.closed.get(word, OTHER)
-        found = self[word] = (kind, weight if weight > 0 else float(kind == THREAT))
+        found = self[word] = (kind, weight if weight > 0 else PHRASE_WEIGHT if kind == TAIL else 1.0)
         return found
 
 
@@ -124,11 +190,11 @@ def matches(text: str | None, classes: Classes, grammar: Grammar) -> list[float]
     """The weight of each pattern in a whole text."""
     totals = [0.0] * len(PATTERNS)
     look = classes.__getitem__
-    if not any(c in (INSULT, THREAT) for c, _ in map(look, words_of(text, ALPHANUMERIC))):
+    if not any(c in HITS for c, _ in map(look, words_of(text, ALPHANUMERIC))):
         return totals
     for clause in CLAUSE_ENDS.split(text):
         words = list(map(look, words_of(clause, ALPHANUMERIC)))
-        if any(c in (INSULT, THREAT) for c, _ in words):
+        if any(c in HITS for c, _ in words):
             grammar.clause(words, totals)
     return totals
 
@@ -192,7 +258,7 @@ def learn_lexicon(rows: DataFrame, positive: int, negative: int) -> dict[bytes,
     odds = F.log((t + 0.5) / (positive + 1)) - F.log((c + 0.5) / (negative + 1))
     forms_seen = rows.mapInArrow(count, "form binary, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     kept = forms_seen.where((t > share * n) & (odds >= LEAST_ODDS) & (evidence >= EVIDENCE)).select("form", F.least(odds, F.lit(MOST_ODDS)).alias("odds"))
-    return {bytes(r["form"]): r["odds"] for r in kept.orderBy(F.desc("odds"), "form").limit(LEXICON_ENTRIES).collect()}
+    return {bytes(r["form"]): r["odds"] for r in kept.collect()}  # bounded by the sample
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -202,16 +268,26 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     ).where("toxic = high")
     sample = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("id", F.col("toxic").cast("int").alias("toxic"))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"))
-    labelled = texts.join(F.broadcast(sample), "id").select("id", "toxic", "body")  # at most sample_rows ids
-    one_of_each = families(labelled).groupBy("family", "toxic").agg(F.min("id").alias("id")).select("id").distinct()
+    scratch = Scratch(docs.sparkSession)
+    labelled = scratch.keep("labelled", texts.join(F.broadcast(sample), "id").select("id", "toxic", "body"))  # at most sample_rows ids
+    one_of_each = scratch.keep("families", families(labelled).groupBy("family", "toxic").agg(F.min("id").alias("id")).select("id").distinct())
     rows = labelled.join(F.broadcast(one_of_each), "id").select("toxic", "body")
+    try:
+        return fitted(rows, scratch)
+    finally:
+        scratch.clear()
+
+
+def fitted(rows: DataFrame, scratch: Scratch) -> Model:
+    """The model of the sample; rows: toxic, body."""
     counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     positive, negative = counts.get(1, 0), counts.get(0, 0)
     if not positive or not negative:
         share = positive / max(positive + negative, 1)
         return Model({}, [0.0] * len(PATTERNS), math.inf if share == 1 else -math.inf)
     lexicon = learn_lexicon(rows, positive, negative)
-    points = match_rows(rows, lexicon).select(F.col("toxic").cast("double").alias("label"), array_to_vector("patterns").alias("features"))
+    found = scratch.keep("points", match_rows(rows, lexicon))
+    points = found.select(F.col("toxic").cast("double").alias("label"), array_to_vector("patterns").alias("features"))
     fit = LogisticRegression(maxIter=50, regParam=1e-3, standardization=False).fit(points)
     return Model(lexicon, [float(x) for x in fit.coefficients], float(fit.intercept))
 

@@ -197,6 +197,33 @@ def test_clauses_not_words():
     assert score("I will kill you") == only(threat=1.0) and score("kill the process") == only()
     assert score("never hurt them") == only(withdrawn_threat=1.0)
     assert score(None) == score("") == score("a quiet day") == only()
+    assert score("I will go killing you") == score("ich werde dich umbringen") == only(threat=1.0)
+    assert score("He killed them") == only() and score("You will not survive and kill yourself") == only(threat=1.0)
+    assert score("you piece of shit") == only(targeted_insult=X.PHRASE_WEIGHT) and score("a piece of cake, you see no shit") == only()
+    assert score("not a filthy old idiot idiot") == only(insult=6.0) and score("not an idiot idiot idiot") == only(negated_insult=9.0)
+
+
+def test_composed_machine_by_chance():
+    """The grammar as rules over whole clauses, without states."""
+    pick, machine = random.Random(10), X.Grammar()
+    for _ in range(20_000):
+        clause = [pick.randrange(X.SYMBOLS) for _ in range(pick.randint(1, 9))]
+        aimed, want, phrase = X.TARGET in clause, [0.0] * len(X.PATTERNS), {}
+        for i, word in enumerate(clause):
+            quoted = X.REPORT in clause[:i]
+            near = range(max(i - X.NEGATION_SCOPE, 0), i)
+            denied = any(clause[j] == X.NEGATION and X.BREAK not in clause[j:i] for j in near)
+            links = len(clause[:i]) - len("".join("x" if w == X.LINK else "." for w in clause[:i]).rstrip("x"))
+            ends = word == X.TAIL and 0 < links < i and clause[i - links - 1] == X.HEAD
+            if word == X.INSULT or ends:
+                phrase[i] = denied or (not ends and phrase.get(i - 1, False))
+                want[3 if quoted else 2 if phrase[i] else 1 if aimed else 0] += i + 1
+            meant = X.INTENT in clause[max(i - X.INTENT_SCOPE, 0) : i]
+            if aimed and (word == X.VIOLENCE or (word == X.INFLECTED and meant)):
+                want[5 if quoted or denied else 4] += i + 1
+        got = [0.0] * len(X.PATTERNS)
+        machine.clause([(w, i + 1) for i, w in enumerate(clause)], got)
+        assert got == want, clause
 
 
 def test_toxicity_of_held_out_rows(spark, odd, none):
