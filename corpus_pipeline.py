@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and reads its docs from files, so `run` writes each result as Parquet
 under the shared folder before the next stage.  All but the last return the rows that stay with all their
-columns, whatever those are called.
+columns, whatever those are called.  Stages with Python workers pass few rows at once: a row holds the
+whole document next to its text.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabwright.functions.sizing import new_path, remove_path
 from tabwright.llm import decontamination, exact_dedup, near_dedup, sentencepiece_codec, toxicity
+from tabwright.llm.words import small_batches
 
 REJECT_AT = 0.5
 NEAR_PERCENT = 80
@@ -25,6 +27,7 @@ def whole(docs: DataFrame) -> DataFrame:
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the grammar scores as toxic; labels of held-out rows are not learned from."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out())
     model = toxicity.learn(docs, labels)
     return toxicity.score(whole(docs), model, ("doc",)).where(F.col("score") < REJECT_AT).select("doc.*")
@@ -37,17 +40,20 @@ def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest doc_id stays."""
+    small_batches(spark)
     return near_dedup.drop_near_copies(docs, NEAR_PERCENT)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of words of a benchmark item."""
+    small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.find_passages(whole(docs), items, ("doc",)).where("n_hit = 0").select("doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the text they decode to."""
+    small_batches(spark)
     coded = sentencepiece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 

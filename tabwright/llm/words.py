@@ -6,15 +6,17 @@ hash.  A batch of texts is one flat array with a start for each text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 SLICE_BYTES = 2 << 20
+BATCH_ROWS = 1_000
 CACHED_WORDS = 150_000
 
 # White space \x20 \x09-\x0D separates words; A-Z is lower-cased.
@@ -68,8 +70,29 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(total)
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let the session pass at most `rows` rows at once to Python; a limit that is lower already stays.
+
+    Batches are counted in rows, and rows of several whole texts fill buffers of the JVM and of the worker,
+    which both keep what they once had.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
+def give_back() -> None:
+    """Return to the system what earlier tasks of this worker have freed; workers are used again."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about `most` bytes of text (one row at least)."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
