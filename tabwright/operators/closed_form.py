@@ -12,7 +12,8 @@ digits.  What reaches the driver has folds x classes x (columns + 1) squared num
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 MOST_COLUMNS = 4_000
 SMOOTHING = 1e-9
 STEPS, TOLERANCE = 100_000, 1e-14
+SCORED_CELLS = 1_000_000
 
 
 @dataclass
@@ -73,7 +75,7 @@ def fold_sums(df: DataFrame, columns: Sequence[str], folds: int, classes: int =
             x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
             z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
             fold, label = (b.column(c).to_numpy(zero_copy_only=False) for c in ("fold", "label"))
-            for f, k in {*zip(fold.tolist(), label.tolist())}:
+            for f, k in np.unique(np.stack([fold, label]), axis=1).T.tolist():
                 own = z[(fold == f) & (label == k)]
                 total[f, k] = total.get((f, k), 0) + own.T @ own
         for (f, k), m in total.items():
@@ -293,8 +295,12 @@ def regression_folds(df: DataFrame, features: Sequence[str], models: dict[str, E
     return scored.select("model", "fold", F.col("y").alias("label"), (F.col("constant") + dot).alias("prediction")), errors
 
 
-def class_folds(df: DataFrame, features: Sequence[str], models: dict[str, Estimator], folds: int, classes: int) -> tuple[DataFrame | None, dict[str, str]]:
-    """(model, fold, label, prediction, probabilities of every held-out row by every model; model -> error); df: fold, label, x."""
+def class_folds(df: DataFrame, features: Sequence[str], models: dict[str, Estimator], folds: int, classes: int) -> tuple[Callable[..., DataFrame] | None, dict[str, str]]:
+    """(scorer, model -> error); df: fold, label, x.
+
+    The scorer gives model, fold, label, prediction, probabilities of every held-out row of a table like `df` by
+    every model; with `counted` only model, fold, label, prediction and how many rows they have.
+    """
     sums, rows, errors = fold_sums(df, features, folds, classes), [], {}
     for name, model in models.items():
         try:
@@ -306,18 +312,61 @@ def class_folds(df: DataFrame, features: Sequence[str], models: dict[str, Estima
     rows = [r for r in rows if r[0] not in errors]
     if not rows:
         return None, errors
-    weights = df.sparkSession.createDataFrame(rows, "model string, fold int, constant array<double>, weights array<array<double>>")
-    centre, unit = (F.array(*[F.lit(float(v)) for v in values]) for values in (sums.mean, sums.scale))
-    z = F.zip_with(F.zip_with("x", centre, lambda a, b: a - b), unit, lambda a, b: a / b)
-    products = F.flatten(F.transform("z", lambda v, j: F.concat(F.array(v), F.transform(F.slice(F.col("z"), F.lit(1), j + 1), lambda u: u * v))))
-    shaped = df.select("fold", "label", z.alias("z")).select("fold", "label", products.alias("z"))
-    dot = lambda w: F.aggregate(F.zip_with("z", w, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    scores = F.zip_with("constant", F.transform("weights", dot), lambda a, b: a + b)
-    scored = shaped.join(F.broadcast(weights), "fold").select("model", "fold", "label", scores.alias("scores"))  # models x folds rows
-    top = F.array_max("scores")
-    powers = F.transform("scores", lambda s: F.exp(s - top))
-    whole = F.aggregate(powers, F.lit(0.0), lambda a, b: a + b)
-    return scored.select(
-        "model", "fold", "label", (F.array_position("scores", top) - 1).cast("int").alias("prediction"),
-        F.transform(powers, lambda p: p / whole).alias("probabilities"),
-    ), errors
+    mean, scale, n = sums.mean, sums.scale, len(features)
+
+    def guesses(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, max(SCORED_CELLS // max(n, 1), 1)):
+                b = batch.slice(at, max(SCORED_CELLS // max(n, 1), 1))
+                fold = b.column("fold").to_numpy(zero_copy_only=False)
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
+                for name, k, constant, weights in rows:
+                    own = np.flatnonzero(fold == k)
+                    if len(own):
+                        guess, p = posterior(((x[own] - mean) / scale).T.copy(), constant, weights)
+                        yield name, k, b.column("label").take(pa.array(own)), guess.astype(np.int32), p
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, k, label, guess, p in guesses(batches):
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
+            same = [pa.array([name] * len(guess)), pa.array(np.full(len(guess), k, np.int32))]
+            yield pa.RecordBatch.from_arrays([*same, label, pa.array(guess), lists], names=["model", "fold", "label", "prediction", "probabilities"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for name, k, label, guess, p in guesses(batches):
+            codes, n = np.unique(label.to_numpy().astype(np.int64) * p.shape[1] + guess, return_counts=True)
+            for code, m in zip(codes.tolist(), n.tolist()):
+                total[name, k, *divmod(code, p.shape[1])] += m
+        lines = [pa.array([key[i] for key in total], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*lines, pa.array(list(total.values()), pa.int64())], names=["model", "fold", "label", "prediction", "n"])
+
+    def scorer(df: DataFrame, counted: bool = False) -> DataFrame:
+        held, cell = df.select("fold", "label", "x"), "model string, fold int, label int, prediction int"
+        if counted:
+            return held.mapInArrow(cells, f"{cell}, n long").groupBy("model", "fold", "label", "prediction").agg(F.sum("n").alias("n"))
+        return held.mapInArrow(scored, f"{cell}, probabilities array<double>")
+
+    return scorer, errors
+
+
+def posterior(z: np.ndarray, constant: list[float], weights: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """(most likely class, probabilities) of each row; z: a line for each column, weights as `expanded` has them.
+
+    Sums run column by column, so that equal rows have equal scores wherever they stand.
+    """
+    scores = np.repeat(np.array(constant)[:, None], z.shape[1], 1)
+    at = 0
+    for j in range(len(z)):
+        for term in (None, *range(j + 1)):
+            used = [(k, w[at]) for k, w in enumerate(weights) if w[at] != 0]
+            if used:
+                value = z[j] if term is None else z[j] * z[term]
+                for k, w in used:
+                    scores[k] += w * value
+            at += 1
+    powers = np.exp(scores - scores.max(0))
+    whole = powers[0].copy()
+    for line in powers[1:]:
+        whole += line
+    return scores.argmax(0), (powers / whole).T.copy()

@@ -18,7 +18,7 @@ from ..functions import fixed_values as fv
 from ..functions.columns import col, kinds
 from ..functions.sizing import rows_if_bounded
 from . import closed_form as closed
-from .metrics import auc_by, confusion_matrix, regression_metrics, regression_scores, weighted_metrics
+from .metrics import RANGE_SAMPLE, auc_by, confusion_matrix, regression_metrics, regression_scores, weighted_metrics
 
 CLASSIFICATION_METRICS = ("accuracy", "auc", "f1", "precision", "recall")
 REGRESSION_METRICS = ("r2", "rmse", "mae", "mape")
@@ -223,13 +223,18 @@ def _solved_folds(data: DataFrame, target: str, task: str, features: list[str],
         found = [] if scored is None else [(r["model"], r.asDict()) for r in regression_scores(scored, ["model", "fold"], "label", "prediction").collect()]
         return found + list(errors.items())
     rows = data.select(F.col("__fold").alias("fold"), col(target).cast("int").alias("label"), x.alias("x"))
-    scored, errors = closed.class_folds(rows, features, models, folds, classes)
-    if scored is None:
+    scorer, errors = closed.class_folds(rows, features, models, folds, classes)
+    if scorer is None:
         return list(errors.items())
-    cells = scored.groupBy("model", "fold", "label", "prediction").agg(F.count("*").alias("n")).collect()  # models x folds x classes squared
-    each = F.inline(F.transform("probabilities", lambda p, k: F.struct(k.alias("class"), p.alias("p"), (F.col("label") == k).cast("int").alias("own"))))
-    wanted = F.col("class") == 1 if classes == 2 else F.lit(True)
-    areas = auc_by(scored.select("model", "fold", "label", each).where(wanted), ["model", "fold", "class"], "own", "p").collect()
+    cells = scorer(rows, counted=True).collect()  # models x folds x classes squared
+
+    def each(scored: DataFrame) -> DataFrame:
+        one = scored.select("model", "fold", "label", F.posexplode("probabilities").alias("class", "p"))
+        return one.where(F.col("class") == 1 if classes == 2 else F.lit(True)).withColumn("own", (F.col("label") == F.col("class")).cast("int"))
+
+    scores = sum(r["n"] for r in cells) * (1 if classes == 2 else classes)
+    some = each(scorer(rows.sample(min(1.0, RANGE_SAMPLE / max(scores, 1)), 42)))
+    areas = auc_by(each(scorer(rows)), ["model", "fold", "class"], "own", "p", scores, some).collect()
     found = []
     for m, k in sorted({(r["model"], r["fold"]) for r in cells}):
         own = [(r["label"], r["prediction"], r["n"]) for r in cells if (r["model"], r["fold"]) == (m, k)]
