@@ -21,6 +21,7 @@ DRIVER_ROWS = 20_000
 DRIVER_CHARS = 8_000_000
 HOT_KEYS = 1_000
 SALTS = 1_024
+TASK_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +58,13 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` once as files under the shared folder; readers see the same rows and read only their columns."""
+    path = new_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def rows_if_bounded(df: DataFrame, limit: int = DRIVER_ROWS) -> list[Row] | None:
     """All rows when there are at most `limit`, else None."""
     rows = df.limit(limit + 1).collect()
@@ -122,6 +130,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
+def parted(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """`df` of `rows` rows hashed by `keys`, as many tasks as they need: a hash table by these keys, of a task, is bounded.
+
+    Behind it aggregates by `keys` and more need no shuffle.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    return df.repartition(parts, *[col(k) for k in keys])
+
+
 def slotted(df: DataFrame, order: Sequence[Column | str], slot: str = "__slot", slots: int | None = None) -> DataFrame:
     """Split `df` into contiguous ranges of `order`; `slot` numbers the ranges.
 

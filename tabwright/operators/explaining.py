@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import col, kinds, sigmoid, softmax
+from ..functions.sizing import parted
 
 BACKGROUND_ROWS = 10
 #: Coalitions of a kernel design; up to 11 features have no more.
@@ -202,14 +203,18 @@ def kernel_solution(design: Sequence[tuple[tuple[bool, ...], float]]) -> np.ndar
 def kernel_attribution(
     model: Transformer, df: DataFrame, keys: Sequence[str], features: Sequence[str], output: Column | None = None,
     background: Sequence[Sequence[float]] | None = None, background_rows: int = BACKGROUND_ROWS, most: int = MOST_COALITIONS, seed: int = 42,
+    is_parted: bool = False,
 ) -> DataFrame:
     """(keys, feature, phi) for any model by kernel-weighted least squares: exact when all coalitions fit into `most`.
 
     A coalition's value is the model's mean output with the known features from the row and the others
     from each background row.  Rows are exploded by literal arrays, scored by one `transform` and summed
     with the solution's weights: one partial row a key, whatever the number of coalitions.  Rows that share
-    all keys are explained together.
+    all keys are explained together.  Rows are hashed by key into tasks of bounded size before they are
+    exploded, unless `is_parted` says that they are (`parted`), so nothing exploded is shuffled.
     """
+    if not is_parted:
+        df = parted(df, keys, df.count())
     if background is None:
         sample = explain_sample(df, keys, background_rows, seed).select(*[col(c).cast("double").alias(c) for c in features])
         background = [list(r) for r in sample.collect()]

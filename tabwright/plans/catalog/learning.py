@@ -7,7 +7,7 @@ from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.sql import functions as F
 
-from ...functions.sizing import spread
+from ...functions.sizing import parted, spread
 from ...operators import explaining as X, metrics as M, training as T
 from ...operators.tree_attribution import tree_attribution
 from .base import LINEITEM, query, r, rounded, table
@@ -342,11 +342,12 @@ def shap_values_kernel(spark, d):
     """Kernel regression over all coalitions of five features, for a rule that no linear or tree model equals."""
     from pyspark.ml.feature import SQLTransformer
 
-    rows = spread(table(spark, d, "lineitem"), "l_orderkey").select("l_orderkey", *KERNEL_FEATURES).distinct()
-    rows = rows.select("l_orderkey", *[F.col(c).alias(f"k_{c}") for c in KERNEL_FEATURES], *KERNEL_FEATURES)
+    li = table(spark, d, "lineitem")
+    rows = li.select("l_orderkey", *[F.col(c).alias(f"k_{c}") for c in KERNEL_FEATURES], *KERNEL_FEATURES)
     rule = SQLTransformer(statement=f"SELECT *, {KERNEL_RULE.format(*KERNEL_FEATURES)} AS prediction FROM __THIS__")
     keys = ["l_orderkey", *[f"k_{c}" for c in KERNEL_FEATURES]]
-    phi = X.kernel_attribution(rule, rows, keys, KERNEL_FEATURES, background=[KERNEL_BACKGROUND])
+    rows = parted(rows, keys, li.count()).distinct()
+    phi = X.kernel_attribution(rule, rows, keys, KERNEL_FEATURES, background=[KERNEL_BACKGROUND], is_parted=True)
     return rounded(phi.toDF("l_orderkey", *KERNEL_FEATURES, "feature", "phi"))
 
 
