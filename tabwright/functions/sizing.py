@@ -58,13 +58,6 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write `df` once as files under the shared folder; readers see the same rows and read only their columns."""
-    path = new_path(df.sparkSession, "stored")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def rows_if_bounded(df: DataFrame, limit: int = DRIVER_ROWS) -> list[Row] | None:
     """All rows when there are at most `limit`, else None."""
     rows = df.limit(limit + 1).collect()
