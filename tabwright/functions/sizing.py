@@ -76,15 +76,14 @@ def lookup(
     Small tables (checked) are broadcast.  Larger ones are joined by shuffle;
     keys holding more than 1/HOT_KEYS of all rows by `weight` - at most
     HOT_KEYS of them - are answered by broadcast and spread over salts, so no
-    shuffle partition receives a heavy key.
+    shuffle partition receives a heavy key.  What is broadcast is read from the
+    stored table: rows handed over by the driver would start Python workers.
     """
-    spark = df.sparkSession
     values = [c for c in params.columns if c not in (key, weight)]
     params = pinned(params.select(key, *values, *([weight] if weight else [])))  # read up to four times below
     rows = rows_if_bounded(params.select(key, *values), limit)
     if rows is not None and sum(len(str(v)) for r in rows for v in r) <= DRIVER_CHARS:
-        small = spark.createDataFrame(rows, params.select(key, *values).schema)
-        return df.join(F.broadcast(small), key, "left")
+        return df.join(F.broadcast(params.select(key, *values)), key, "left")
     cold = params.select(key, *[F.col(v).alias(f"__cold_{v}") for v in values]).withColumn("__salt", F.lit(0))
     if weight is None:
         apart = F.lit(1) + F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
@@ -92,7 +91,7 @@ def lookup(
         return joined.select(*[col(c) for c in df.columns], *[F.col(f"__cold_{v}").alias(v) for v in values])
     total = params.agg(F.sum(weight)).first()[0] or 0
     heavy = params.where(F.col(weight) > F.lit(total / HOT_KEYS))
-    hot = spark.createDataFrame(heavy.collect(), params.schema).select(
+    hot = heavy.select(
         key, F.lit(True).alias("__hit"), *[F.col(v).alias(f"__hot_{v}") for v in values]
     )
     step = df.join(F.broadcast(hot), key, "left")

@@ -7,7 +7,7 @@ the distinct marked words that it met, segments each of them once with the libra
 back by position.  A vocabulary whose pieces do cross is encoded text by text with the library instead.
 
 Decoding is the library's own.  Null and empty texts give no ids and an empty text.  Texts are handled in
-slices of bytes, the table is emptied when it is full; other columns are not read.
+small slices of bytes (ids as Python numbers take tens of bytes each), the table is emptied when it is full; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from .words import passed_on, slices
 MARKER = "▁"
 MARKED_WORD = re.compile(f"{MARKER}+[^{MARKER}]*")
 TABLE_WORDS = 150_000
+PIECE_BYTES = 256 << 10
 
 
 def words_are_independent(model: sentencepiece.SentencePieceProcessor) -> bool:
@@ -85,7 +86,7 @@ def encode_decode(docs: DataFrame, model_path: str, keys: Sequence[str] = ("doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sentencepiece.SentencePieceProcessor(model_proto=proto)
         table = WordTable(model)
-        for b in slices(batches, "body__"):
+        for b in slices(batches, "body__", PIECE_BYTES):
             texts = b.column("body__").to_pylist()
             if by_word:
                 ids, starts = table.encode(texts)
