@@ -10,7 +10,7 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,6 +23,8 @@ from .metrics import RANGE_SAMPLE, auc_by, confusion_matrix, regression_metrics,
 CLASSIFICATION_METRICS = ("accuracy", "auc", "f1", "precision", "recall")
 REGRESSION_METRICS = ("r2", "rmse", "mae", "mape")
 ROWS_PER_TASK = 50_000
+CELL_ROWS = 1_000_000  # rows from which single and boosted regression trees are fitted on cells
+CELL_SHARE = 8  # cells are used when there is one for at least as many rows
 
 
 def training_input_checks(df: DataFrame, target: str, task: str) -> DataFrame:
@@ -249,27 +251,107 @@ def _solved_folds(data: DataFrame, target: str, task: str, features: list[str],
 def _fitted_folds(
     data: DataFrame, target: str, task: str, features: list[str], models: dict[str, Estimator], folds: int, classes: int, parallelism: int
 ) -> list:
-    """(model, metrics of a fold or error) of models that are fitted fold by fold."""
+    """(model, metrics of a fold or error) of models that are fitted fold by fold.
+
+    Of many rows, single and boosted regression trees are fitted on cells; the others see the rows, one fit at a
+    time then, as each one holds its own copy of them.
+    """
     if not models:
         return []
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    table = assembler.transform(data).select(target, "__fold", "features").cache()
+    on_cells = [m for m, e in models.items() if fits_on_cells(e)] if task == "regression" else []
+    if on_cells and not set(vector_columns(data)) & set(features):
+        table = data.select(target, "__fold", *features).cache()
+        rows = assembler.transform(table).select(target, "__fold", "features")
+    else:
+        table = rows = assembler.transform(data).select(target, "__fold", "features").cache()
+        on_cells = []
 
     def one(job: tuple[str, int]):
         name, k = job
         try:
-            fitted = models[name].copy().setLabelCol(target).fit(table.where(F.col("__fold") != k))
-            return name, _scores(fitted.transform(table.where(F.col("__fold") == k)), target, task, classes)
+            model = models[name].copy().setLabelCol(target)
+            if name in on_cells:
+                coded, cells, n = parts[k]
+                fitted = model.setWeightCol("__n").setMaxBins(max(model.getMaxBins(), int(n**0.5) + 2)).fit(cells)
+                return name, _scores(fitted.transform(coded.where(F.col("__fold") == k)), target, task, classes)
+            fitted = model.fit(rows.where(F.col("__fold") != k))
+            return name, _scores(fitted.transform(rows.where(F.col("__fold") == k)), target, task, classes)
         except Exception as problem:  # reported with the model
             return name, f"{type(problem).__name__}: {str(problem)[:300]}"
 
+    parts: dict[int, tuple[DataFrame, DataFrame, int]] = {}
     try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            return list(pool.map(one, [(m, k) for m in models for k in range(folds)]))
+        many = bool(on_cells) and table.count() >= CELL_ROWS
+        parts = fold_cells(table, target, features, folds, max(models[m].getMaxBins() for m in on_cells)) if many else {}
+        on_cells = on_cells if parts else []
+        jobs = [(m, k) for m in models for k in range(folds)]
+        found: dict[tuple[str, int], object] = {}
+        for those, at_once in (([j for j in jobs if j[0] in on_cells], parallelism), ([j for j in jobs if j[0] not in on_cells], 1 if many else parallelism)):
+            with ThreadPoolExecutor(at_once) as pool:
+                found |= dict(zip(those, pool.map(one, those)))
+        return [found[j] for j in jobs]
     finally:
+        for _, cells, _ in parts.values():
+            cells.unpersist()
         table.unpersist()
 
 
+def fits_on_cells(model: Estimator) -> bool:
+    """A regression tree, single or boosted, whose splits depend on counts and sums of the target alone, without draws."""
+    if not isinstance(model, (R.DecisionTreeRegressor, R.GBTRegressor)):
+        return False
+    get = lambda name: model.getOrDefault(name) if model.hasParam(name) and (model.isSet(name) or model.hasDefault(name)) else None
+    plain = {"minInstancesPerNode": 1, "minWeightFractionPerNode": 0.0, "minInfoGain": 0.0, "impurity": "variance", "subsamplingRate": 1.0}
+    if any(get(name) not in (value, None) for name, value in plain.items()):
+        return False
+    if isinstance(model, R.GBTRegressor) and (get("lossType") != "squared" or get("featureSubsetStrategy") != "all"):
+        return False
+    return get("weightCol") is None and get("validationIndicatorCol") is None and get("varianceCol") is None
+
+
+def fold_cells(table: DataFrame, target: str, features: Sequence[str], folds: int, bins: int) -> dict[int, tuple[DataFrame, DataFrame, int]]:
+    """fold -> (all rows with binned features, the cells of the rows outside the fold with __n and the mean target, their number).
+
+    A tree that splits by at most `bins` bins of a feature sees rows of equal bins as one, and the squares of the
+    target within a cell cancel out of every gain; so trees grown on weighted cell means are those grown on the rows.
+    A feature of at most `bins` values has a bin for each of them, another one bins of equal row count outside the
+    fold.  Empty when a feature has nulls, NaN or infinity, or when cells are hardly fewer than rows.
+    """
+    x = [col(c).cast("double") for c in features]
+    holes = table.agg(*[F.count_if(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) for v in x], *[F.approx_count_distinct(v) for v in x], F.count("*")).first()
+    n = len(features)
+    if any(holes[:n]):
+        return {}
+    values = [
+        sorted(r[0] for r in table.select(v).distinct().limit(bins + 1).collect()) if seen <= 2 * bins else None  # at most bins + 1 rows
+        for v, seen in zip(x, holes[n : 2 * n])
+    ]
+    wide = [i for i in range(n) if values[i] is None or len(values[i]) > bins]
+    shares = F.array(*[F.lit(j / bins) for j in range(1, bins)])
+    cuts = table.agg(*[
+        F.percentile_approx(F.when(F.col("__fold") != k, x[i]), shares, 10_000) for k in range(folds) for i in wide
+    ]).first() if wide else ()
+    names, parts = [f"__bin_{i}" for i in range(n)], {}
+    raw = table.select(target, "__fold", *[v.alias(f"__x_{i}") for i, v in enumerate(x)])
+    for k in range(folds):
+        inner = [v[1:] if v is not None else [] for v in values]
+        for j, i in enumerate(wide):
+            inner[i] = sorted(set(cuts[k * len(wide) + j]))
+        splits = [[float("-inf"), *(c or [0.0]), float("inf")] for c in inner]
+        coded = Bucketizer(inputCols=[f"__x_{i}" for i in range(n)], outputCols=names, splitsArray=splits).transform(raw)
+        coded = coded.select(target, "__fold", *[(F.col(b) + 0.0).alias(b) for b in names])  # numbers: marked as categories, trees would not split them by order
+        assembled = VectorAssembler(inputCols=names, outputCol="features").transform
+        cells = coded.where(F.col("__fold") != k).groupBy(*names).agg(F.count("*").cast("double").alias("__n"), F.avg(col(target).cast("double")).alias(target))
+        cells = assembled(cells).select(target, "__n", "features").coalesce(4).cache()
+        parts[k] = (assembled(coded).select(target, "__fold", "features"), cells, cells.count())
+        if parts[k][2] * CELL_SHARE > holes[2 * n]:
+            for _, kept, _ in parts.values():
+                kept.unpersist()
+            return {}
+    return parts
+
+
 def class_values(df: DataFrame, target: str, limit: int = fv.MOST_CLASSES) -> list[float]:
     """The sorted distinct labels of a numeric target; refuses more than `limit`."""
     rows = rows_if_bounded(df.select(col(target).cast("double").alias("v")).distinct(), limit)
