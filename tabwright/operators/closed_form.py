@@ -1,7 +1,8 @@
 """Models with a closed form, for all folds from one scan.
 
 `fold_sums` adds up, for each fold (and class), the number of rows, the sums and the products of all pairs
-of columns: one matrix a fold, made by matrix products inside the tasks and summed row by row in Spark.
+of columns: one matrix a fold, made by matrix products inside the tasks and summed row by row in Spark, or
+by one aggregate a pair when columns are few.
 The training part of a fold is the total less that fold.  From such a matrix follow least squares, ridge,
 lasso and elastic net (coordinate descent on the matrix), Gaussian naive Bayes and the linear and
 quadratic discriminants; rows are read once more to score every model on its held-out fold.
@@ -15,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCo
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MOST_COLUMNS = 4_000
+FEW_COLUMNS = 8  # up to so many, sums and predictions are expressions
 SMOOTHING = 1e-9
 STEPS, TOLERANCE = 100_000, 1e-14
 SCORED_CELLS = 1_000_000
@@ -66,6 +69,8 @@ def fold_sums(df: DataFrame, columns: Sequence[str], folds: int, classes: int =
         raise ValueError(f"more than {MOST_COLUMNS} columns")
     mean, scale = overall(df, columns)
     n = len(columns)
+    if n <= FEW_COLUMNS:
+        return Sums(columns, mean, scale, folds, classes, _few_sums(df, mean, scale))
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
@@ -104,6 +109,19 @@ def fold_sums(df: DataFrame, columns: Sequence[str], folds: int, classes: int =
     return Sums(columns, mean, scale, folds, classes, parts)
 
 
+def _few_sums(df: DataFrame, mean: np.ndarray, scale: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """The matrices of `fold_sums` of few columns: one aggregate for each pair, without Python."""
+    hole = F.lit(float("nan"))
+    z = [F.lit(1.0), *[(F.coalesce(F.col("x")[i].cast("double"), hole) - float(m)) / float(s) for i, (m, s) in enumerate(zip(mean, scale))]]
+    pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
+    parts: dict[tuple[int, int], np.ndarray] = {}
+    for r in df.groupBy("fold", "label").agg(*[F.sum(z[i] * z[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect():  # folds x classes rows
+        m = parts[r["fold"], r["label"]] = np.zeros((len(z), len(z)))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = r[f"s{i}_{j}"]
+    return parts
+
+
 # -- linear regression ---------------------------------------------------------
 
 
@@ -275,24 +293,38 @@ def class_kind(model: Estimator) -> str | None:
     return "naive_bayes" if isinstance(model, C.NaiveBayes) and model.getModelType() == "gaussian" else None
 
 
-def regression_folds(df: DataFrame, features: Sequence[str], models: dict[str, Estimator], folds: int) -> tuple[DataFrame | None, dict[str, str]]:
-    """(model, fold, label, prediction of every held-out row by every model; model -> error); df: fold, y, x."""
+def regression_folds(df: DataFrame, features: Sequence[str], models: dict[str, Estimator], folds: int) -> tuple[DataFrame | None, list[str], dict[str, str]]:
+    """(fold, label, predictions of every held-out row; the models of the predictions; model -> error); df: fold, y, x."""
     shaped = df.select("fold", F.lit(0).alias("label"), F.concat("x", F.array("y")).alias("x"))
-    sums, rows, errors = fold_sums(shaped, [*features, "y"], folds), [], {}
+    sums, errors = fold_sums(shaped, [*features, "y"], folds), {}
+    lines: dict[str, list[tuple[float, np.ndarray]]] = {}
     for name, model in models.items():
         try:
-            for k in range(folds):
-                constant, weights = linear_weights(sums.part(k), sums, *linear_penalty(model))
-                rows.append((name, k, constant, weights.tolist()))
+            lines[name] = [linear_weights(sums.part(k), sums, *linear_penalty(model)) for k in range(folds)]
         except (ValueError, np.linalg.LinAlgError) as problem:
             errors[name] = f"{type(problem).__name__}: {problem}"
-    rows = [r for r in rows if r[0] not in errors]
-    if not rows:
-        return None, errors
-    weights = df.sparkSession.createDataFrame(rows, "model string, fold int, constant double, weights array<double>")
-    scored = df.join(F.broadcast(weights), "fold")  # models x folds rows
-    dot = F.aggregate(F.zip_with("x", "weights", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return scored.select("model", "fold", F.col("y").alias("label"), (F.col("constant") + dot).alias("prediction")), errors
+    if not lines:
+        return None, [], errors
+    constant = np.array([[line[k][0] for line in lines.values()] for k in range(folds)])  # folds x models
+    weights = np.array([[line[k][1] for line in lines.values()] for k in range(folds)])  # folds x models x columns
+    n = len(features)
+    if n <= FEW_COLUMNS:
+        own = lambda values: F.lit(values.tolist())[F.col("fold")]
+        guesses = [reduce(lambda a, i: a + F.col("x")[i].cast("double") * own(weights[:, m, i]), range(n), own(constant[:, m])) for m in range(len(lines))]
+        return df.select("fold", F.col("y").alias("label"), F.array(*guesses).alias("predictions")), list(lines), errors
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, n)
+            fold = b.column("fold").to_numpy(zero_copy_only=False)
+            p = np.empty((len(fold), len(lines)))
+            for k in range(folds):
+                own = np.flatnonzero(fold == k)
+                p[own] = x[own] @ weights[k].T + constant[k]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, len(lines), dtype=np.int32)), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("fold"), b.column("y"), lists], names=["fold", "label", "predictions"])
+
+    return df.select("fold", "y", "x").mapInArrow(scored, "fold int, label double, predictions array<double>"), list(lines), errors
 
 
 def class_folds(df: DataFrame, features: Sequence[str], models: dict[str, Estimator], folds: int, classes: int) -> tuple[Callable[..., DataFrame] | None, dict[str, str]]:

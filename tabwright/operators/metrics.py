@@ -103,6 +103,11 @@ def regression_scores(df: DataFrame, groups: list[str], label: str, prediction:
     return df.groupBy(*groups).agg(*_regression(label, prediction))
 
 
+def regression_scores_wide(df: DataFrame, groups: list[str], label: str, predictions: list[str]) -> DataFrame:
+    """The same for each group and several predictions of a row: one struct column for each of them."""
+    return df.groupBy(*groups).agg(*[F.struct(*_regression(label, p)).alias(p) for p in predictions])
+
+
 def tied(values: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values in order with their sums of p and q; NaN is one value, the largest."""
     order = np.argsort(values, kind="stable")  # runs that are sorted already are merged

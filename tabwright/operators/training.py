@@ -5,26 +5,34 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from math import prod
+from typing import NamedTuple
 
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.columns import col, kinds
 from ..functions.sizing import rows_if_bounded
 from . import closed_form as closed
-from .metrics import RANGE_SAMPLE, auc_by, confusion_matrix, regression_metrics, regression_scores, weighted_metrics
+from .cells import bins_of, cell_sums, coded, drawn_sums, fold_cuts
+from .metrics import RANGE_SAMPLE, auc_by, confusion_matrix, regression_metrics, regression_scores_wide, weighted_metrics
 
 CLASSIFICATION_METRICS = ("accuracy", "auc", "f1", "precision", "recall")
 REGRESSION_METRICS = ("r2", "rmse", "mae", "mape")
 ROWS_PER_TASK = 50_000
 CELL_ROWS = 1_000_000  # rows from which single and boosted regression trees are fitted on cells
+DRAWN_ROWS = 1_000_000  # the same for forests, whose draws then differ from those made on rows
 CELL_SHARE = 8  # cells are used when there is one for at least as many rows
+BROADCAST_CELLS = 1_000_000
+MOST_FITS = 16  # fits on cells that run side by side
 
 
 def training_input_checks(df: DataFrame, target: str, task: str) -> DataFrame:
@@ -169,8 +177,9 @@ def compare_models(
     """(model, rank, folds_done, error, fold metrics averaged) for every candidate.
 
     Folds are a hash of `keys`.  Models with a closed form (the linear family, naive Bayes, discriminants)
-    are solved for all folds from one scan and scored in a second one; for the others the assembled table
-    is cached once and fits run side by side as `pyspark.ml.tuning` does.  Class labels may be any
+    are solved for all folds from one scan and scored in a second one; regression trees of many rows are fitted
+    on cells of binned features; for the others the assembled table is cached once and fits run side by side as
+    `pyspark.ml.tuning` does.  Class labels may be any
     numbers; models see their positions.  `training_rows` bounds the rows that are compared on, by a hash
     of `keys` (None: all).  A model that fails in any fold has no metrics, only its error; when all fail
     the comparison does.
@@ -198,9 +207,13 @@ def compare_models(
     useful = min(df.sparkSession.sparkContext.defaultParallelism, rows // ROWS_PER_TASK + 1)
     if data.rdd.getNumPartitions() < useful:
         data = data.repartition(useful, *[col(k) for k in keys])
-    data = data.withColumn("__fold", fold_of(keys, folds))
-    results = _solved_folds(data, target, task, features, {m: e for m, e in models.items() if solved(e)}, folds, classes)
-    results += _fitted_folds(data, target, task, features, {m: e for m, e in models.items() if not solved(e)}, folds, classes, parallelism)
+    data = data.withColumn("__fold", fold_of(keys, folds)).select(col(target), "__fold", *[col(c) for c in features])
+    data = data.persist(StorageLevel.MEMORY_ONLY)  # read up to ten times; what does not fit is read anew
+    try:
+        results = _solved_folds(data, target, task, features, {m: e for m, e in models.items() if solved(e)}, folds, classes)
+        results += _fitted_folds(data, target, task, features, {m: e for m, e in models.items() if not solved(e)}, folds, classes, parallelism, rows)
+    finally:
+        data.unpersist()
     names = CLASSIFICATION_METRICS if task == "classification" else REGRESSION_METRICS
     rows_out = []
     for m in models:
@@ -221,8 +234,10 @@ def _solved_folds(data: DataFrame, target: str, task: str, features: list[str],
     x = F.array(*[col(c).cast("double") for c in features])
     if task == "regression":
         rows = data.select(F.col("__fold").alias("fold"), col(target).cast("double").alias("y"), x.alias("x"))
-        scored, errors = closed.regression_folds(rows, features, models, folds)
-        found = [] if scored is None else [(r["model"], r.asDict()) for r in regression_scores(scored, ["model", "fold"], "label", "prediction").collect()]
+        scored, fitted, errors = closed.regression_folds(rows, features, models, folds)
+        names = [f"p{i}" for i in range(len(fitted))]
+        wide = scored and regression_scores_wide(scored.select("fold", "label", *[F.col("predictions")[i].alias(p) for i, p in enumerate(names)]), ["fold"], "label", names)
+        found = [(m, r[p].asDict()) for r in (wide.collect() if wide else []) for m, p in zip(fitted, names)]
         return found + list(errors.items())
     rows = data.select(F.col("__fold").alias("fold"), col(target).cast("int").alias("label"), x.alias("x"))
     scorer, errors = closed.class_folds(rows, features, models, folds, classes)
@@ -249,109 +264,212 @@ def _solved_folds(data: DataFrame, target: str, task: str, features: list[str],
 
 
 def _fitted_folds(
-    data: DataFrame, target: str, task: str, features: list[str], models: dict[str, Estimator], folds: int, classes: int, parallelism: int
+    data: DataFrame, target: str, task: str, features: list[str], models: dict[str, Estimator], folds: int, classes: int, parallelism: int, rows: int | None = None
 ) -> list:
     """(model, metrics of a fold or error) of models that are fitted fold by fold.
 
-    Of many rows, single and boosted regression trees are fitted on cells; the others see the rows, one fit at a
-    time then, as each one holds its own copy of them.
+    Of many rows, regression trees, single, boosted or in forests, are fitted on cells; the others see the rows, one
+    fit at a time then, as each one holds its own copy of them.
     """
     if not models:
         return []
+    jobs = [(m, k) for m in models for k in range(folds)]
+    found: dict[tuple[str, int], dict | str] = {}
+    many = False
+    if task == "regression" and any(fits_on_cells(e) or draws_on_cells(e) for e in models.values()) and not set(vector_columns(data)) & set(features):
+        rows = data.count() if rows is None else rows
+        many = rows >= CELL_ROWS
+        on_cells = {m: e for m, e in models.items() if (many and fits_on_cells(e)) or (rows >= DRAWN_ROWS and draws_on_cells(e))}
+        found = _cell_folds(data, target, features, on_cells, folds, parallelism) if on_cells else {}
+    left = [j for j in jobs if j not in found]
+    if not left:
+        return [(m, found[m, k]) for m, k in jobs]
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    on_cells = [m for m, e in models.items() if fits_on_cells(e)] if task == "regression" else []
-    if on_cells and not set(vector_columns(data)) & set(features):
-        table = data.select(target, "__fold", *features).cache()
-        rows = assembler.transform(table).select(target, "__fold", "features")
-    else:
-        table = rows = assembler.transform(data).select(target, "__fold", "features").cache()
-        on_cells = []
-
-    def one(job: tuple[str, int]):
+    table = assembler.transform(data).select(target, "__fold", "features").cache()
+
+    def one(job: tuple[str, int]) -> dict | str:
         name, k = job
         try:
-            model = models[name].copy().setLabelCol(target)
-            if name in on_cells:
-                coded, cells, n = parts[k]
-                fitted = model.setWeightCol("__n").setMaxBins(max(model.getMaxBins(), int(n**0.5) + 2)).fit(cells)
-                return name, _scores(fitted.transform(coded.where(F.col("__fold") == k)), target, task, classes)
-            fitted = model.fit(rows.where(F.col("__fold") != k))
-            return name, _scores(fitted.transform(rows.where(F.col("__fold") == k)), target, task, classes)
+            fitted = models[name].copy().setLabelCol(target).fit(table.where(F.col("__fold") != k))
+            return _scores(fitted.transform(table.where(F.col("__fold") == k)), target, task, classes)
         except Exception as problem:  # reported with the model
-            return name, f"{type(problem).__name__}: {str(problem)[:300]}"
+            return _told(problem)
 
-    parts: dict[int, tuple[DataFrame, DataFrame, int]] = {}
     try:
-        many = bool(on_cells) and table.count() >= CELL_ROWS
-        parts = fold_cells(table, target, features, folds, max(models[m].getMaxBins() for m in on_cells)) if many else {}
-        on_cells = on_cells if parts else []
-        jobs = [(m, k) for m in models for k in range(folds)]
-        found: dict[tuple[str, int], object] = {}
-        for those, at_once in (([j for j in jobs if j[0] in on_cells], parallelism), ([j for j in jobs if j[0] not in on_cells], 1 if many else parallelism)):
-            with ThreadPoolExecutor(at_once) as pool:
-                found |= dict(zip(those, pool.map(one, those)))
-        return [found[j] for j in jobs]
+        with ThreadPoolExecutor(1 if many else parallelism) as pool:
+            found |= dict(zip(left, pool.map(one, left)))
+        return [(m, found[m, k]) for m, k in jobs]
     finally:
-        for _, cells, _ in parts.values():
-            cells.unpersist()
         table.unpersist()
 
 
-def fits_on_cells(model: Estimator) -> bool:
-    """A regression tree, single or boosted, whose splits depend on counts and sums of the target alone, without draws."""
-    if not isinstance(model, (R.DecisionTreeRegressor, R.GBTRegressor)):
-        return False
+def _told(problem: Exception) -> str:
+    return f"{type(problem).__name__}: {str(problem)[:300]}"
+
+
+def _plain_tree(model: Estimator) -> bool:
+    """Whether splits and leaves of the trees depend on counts and sums of the target alone."""
     get = lambda name: model.getOrDefault(name) if model.hasParam(name) and (model.isSet(name) or model.hasDefault(name)) else None
-    plain = {"minInstancesPerNode": 1, "minWeightFractionPerNode": 0.0, "minInfoGain": 0.0, "impurity": "variance", "subsamplingRate": 1.0}
+    plain = {"minInstancesPerNode": 1, "minWeightFractionPerNode": 0.0, "minInfoGain": 0.0, "impurity": "variance"}
     if any(get(name) not in (value, None) for name, value in plain.items()):
         return False
-    if isinstance(model, R.GBTRegressor) and (get("lossType") != "squared" or get("featureSubsetStrategy") != "all"):
-        return False
     return get("weightCol") is None and get("validationIndicatorCol") is None and get("varianceCol") is None
 
 
-def fold_cells(table: DataFrame, target: str, features: Sequence[str], folds: int, bins: int) -> dict[int, tuple[DataFrame, DataFrame, int]]:
-    """fold -> (all rows with binned features, the cells of the rows outside the fold with __n and the mean target, their number).
+def fits_on_cells(model: Estimator) -> bool:
+    """A regression tree, single or boosted, whose splits depend on counts and sums of the target alone, without draws."""
+    if isinstance(model, R.GBTRegressor):
+        whole = model.getSubsamplingRate() == 1.0 and model.getFeatureSubsetStrategy() == "all"
+        return whole and model.getLossType() == "squared" and _plain_tree(model)
+    return isinstance(model, R.DecisionTreeRegressor) and _plain_tree(model)
+
+
+def draws_on_cells(model: Estimator) -> bool:
+    """A forest of such trees, each grown on Poisson draws of the rows."""
+    return isinstance(model, R.RandomForestRegressor) and model.getBootstrap() and _plain_tree(model)
+
+
+class FoldRows(NamedTuple):
+    """What the trees of a fold are scored on: (code, y) of all rows, their sums by code, (code, features) of the fold."""
+
+    rows: DataFrame
+    sums: DataFrame
+    held: DataFrame
+
+
+def fold_cells(
+    table: DataFrame, target: str, features: Sequence[str], folds: int, bins: int, draws: Sequence[tuple[int, int, float]] = ()
+) -> dict[int, tuple[FoldRows, DataFrame, int]]:
+    """fold -> (its rows, the cells of the rows outside the fold with __n and the mean target, their number).
 
     A tree that splits by at most `bins` bins of a feature sees rows of equal bins as one, and the squares of the
     target within a cell cancel out of every gain; so trees grown on weighted cell means are those grown on the rows.
-    A feature of at most `bins` values has a bin for each of them, another one bins of equal row count outside the
-    fold.  Empty when a feature has nulls, NaN or infinity, or when cells are hardly fewer than rows.
+    `draws` (seed, trees, rate) of forests give __w0, __s0, __w1, ... too: how often the rows of a cell are drawn for a
+    tree, and the sum of their targets; left out when these numbers would be more than those of the rows.  Empty when
+    a feature has nulls, NaN or infinity, or when cells are hardly fewer than rows.
     """
-    x = [col(c).cast("double") for c in features]
-    holes = table.agg(*[F.count_if(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) for v in x], *[F.approx_count_distinct(v) for v in x], F.count("*")).first()
-    n = len(features)
-    if any(holes[:n]):
+    found = fold_cuts(table, features, folds, bins)
+    if found is None:
         return {}
-    values = [
-        sorted(r[0] for r in table.select(v).distinct().limit(bins + 1).collect()) if seen <= 2 * bins else None  # at most bins + 1 rows
-        for v, seen in zip(x, holes[n : 2 * n])
-    ]
-    wide = [i for i in range(n) if values[i] is None or len(values[i]) > bins]
-    shares = F.array(*[F.lit(j / bins) for j in range(1, bins)])
-    cuts = table.agg(*[
-        F.percentile_approx(F.when(F.col("__fold") != k, x[i]), shares, 10_000) for k in range(folds) for i in wide
-    ]).first() if wide else ()
-    names, parts = [f"__bin_{i}" for i in range(n)], {}
-    raw = table.select(target, "__fold", *[v.alias(f"__x_{i}") for i, v in enumerate(x)])
-    for k in range(folds):
-        inner = [v[1:] if v is not None else [] for v in values]
-        for j, i in enumerate(wide):
-            inner[i] = sorted(set(cuts[k * len(wide) + j]))
-        splits = [[float("-inf"), *(c or [0.0]), float("inf")] for c in inner]
-        coded = Bucketizer(inputCols=[f"__x_{i}" for i in range(n)], outputCols=names, splitsArray=splits).transform(raw)
-        coded = coded.select(target, "__fold", *[(F.col(b) + 0.0).alias(b) for b in names])  # numbers: marked as categories, trees would not split them by order
+    count, cuts = found
+    edges = [np.unique(np.concatenate(c)) for c in zip(*cuts)]
+    if prod(len(e) + 1 for e in edges) * folds >= 1 << 62:
+        return {}
+    rows = coded(table, target, features, edges, folds).cache()
+    kept, parts = [rows], {}
+    sums = cell_sums(rows).cache()
+    kept.append(sums)
+    codes = sums.count()
+    numbers = 2 * sum(trees for _, trees, _ in draws)
+    drawn = [f"{c}{t}" for t in range(numbers // 2) for c in "ws"] if codes * (numbers + 2) <= count * (len(features) + 2) else []
+    if 2 * codes <= count:
+        if drawn:
+            sums = reduce(lambda a, b: a.join(b, "code"), drawn_sums(rows, draws), sums).cache()
+            kept.append(sums)
+        names = [f"__bin_{i}" for i in range(len(features))]
         assembled = VectorAssembler(inputCols=names, outputCol="features").transform
-        cells = coded.where(F.col("__fold") != k).groupBy(*names).agg(F.count("*").cast("double").alias("__n"), F.avg(col(target).cast("double")).alias(target))
-        cells = assembled(cells).select(target, "__n", "features").coalesce(4).cache()
-        parts[k] = (assembled(coded).select(target, "__fold", "features"), cells, cells.count())
-        if parts[k][2] * CELL_SHARE > holes[2 * n]:
-            for _, kept, _ in parts.values():
-                kept.unpersist()
-            return {}
+        sums.count()
+
+        def part(k: int) -> tuple[FoldRows, DataFrame, int]:
+            binned = sums.select("*", *[b.alias(n) for n, b in zip(names, bins_of(edges, cuts[k], folds))])
+            inside = F.col("code") % folds == k
+            totals = [F.sum("n").alias("__n"), (F.sum("s") / F.sum("n")).alias(target), *[F.sum(c).alias(f"__{c}") for c in drawn]]
+            cells = assembled(binned.where(~inside).groupBy(*names).agg(*totals)).drop(*names)
+            cells = cells.coalesce(codes // ROWS_PER_TASK + 1).cache()
+            kept.append(cells)
+            return FoldRows(rows, sums, assembled(binned.where(inside)).select("code", "features")), cells, cells.count()
+
+        with ThreadPoolExecutor(folds) as pool:
+            parts = dict(enumerate(pool.map(part, range(folds))))
+    if not parts or any(n * CELL_SHARE > count for _, _, n in parts.values()):
+        for df in kept:
+            df.unpersist()
+        return {}
     return parts
 
 
+def _cell_folds(table: DataFrame, target: str, features: list[str], models: dict[str, Estimator], folds: int, parallelism: int) -> dict[tuple[str, int], dict | str]:
+    """(model, fold) -> metrics or error of trees fitted on cells; without those that cells do not do for.
+
+    Each tree of a forest is grown on its own draws.  All models are scored in one pass over the rows.
+    """
+    forests = [m for m, e in models.items() if draws_on_cells(e)]
+    draws = [(models[m].getSeed(), models[m].getNumTrees(), models[m].getSubsamplingRate()) for m in forests]
+    parts = fold_cells(table, target, features, folds, max(e.getMaxBins() for e in models.values()), draws)
+    if not parts:
+        return {}
+    first, at = {}, 0
+    for m, (_, trees, _) in zip(forests, draws):
+        first[m], at = at, at + trees
+    fitted_on = [m for m in models if m not in forests or "__w0" in parts[0][1].columns]
+
+    def grown(job: tuple[str, int, int | None]):
+        name, k, t = job
+        _, cells, n = parts[k]
+        try:
+            model = models[name].copy().setLabelCol(target).setWeightCol("__n")
+            model = model.setMaxBins(max(model.getMaxBins(), int(n**0.5) + 2))  # so that no bin is left out by sampling cells
+            return model.fit(cells) if t is None else tree_of_forest(model, t, first[name] + t, cells, target)
+        except Exception as problem:  # reported with the model
+            return _told(problem)
+
+    try:
+        ordered = sorted(fitted_on, key=lambda m: not isinstance(models[m], R.GBTRegressor))  # the longest first
+        jobs = [(m, k, t) for m in ordered for k in range(folds) for t in (range(models[m].getNumTrees()) if m in forests else [None])]
+        with ThreadPoolExecutor(max(parallelism, min(table.sparkSession.sparkContext.defaultParallelism, MOST_FITS))) as pool:
+            done = dict(zip(jobs, pool.map(grown, jobs)))
+        found: dict[tuple[str, int], dict | str] = {}
+        guesses = []
+        for k in range(folds):
+            scored = parts[k][0].held
+            for i, m in enumerate(fitted_on):
+                own = [done[j] for j in jobs if j[:2] == (m, k)]
+                error = next((o for o in own if isinstance(o, str)), None)
+                if error is None:
+                    scored = (forest_of(own) if m in forests else own[0]).setPredictionCol(f"p{i}").transform(scored)
+                else:
+                    found[m, k] = error
+                    scored = scored.withColumn(f"p{i}", F.lit(None).cast("double"))
+            guesses.append(scored.drop("features"))
+        guesses = reduce(DataFrame.unionByName, guesses)
+        rows, sums = parts[0][0].rows, parts[0][0].sums
+        few = sums.count() <= BROADCAST_CELLS
+        scored = rows.join(F.broadcast(guesses) if few else guesses, "code").withColumn("fold", F.col("code") % folds)
+        names = [f"p{i}" for i in range(len(fitted_on))]
+        metrics = {r["fold"]: r for r in regression_scores_wide(scored, ["fold"], "y", names).collect()}
+        for i, m in enumerate(fitted_on):
+            for k in range(folds):
+                found.setdefault((m, k), {c: metrics[k][names[i]][c] if k in metrics else None for c in REGRESSION_METRICS})
+        return found
+    finally:
+        for held, cells, _ in parts.values():
+            for df in (held.rows, held.sums, cells):
+                df.unpersist()
+
+
+def tree_of_forest(forest: R.RandomForestRegressor, tree: int, draw: int, cells: DataFrame, target: str) -> R.RandomForestRegressionModel:
+    """One tree of a forest, grown on the rows of its own draw; it tries as many features a node as the forest does."""
+    times, total = F.col(f"__w{draw}"), F.col(f"__s{draw}")
+    own = cells.where(times > 0).select((total / times).alias(target), times.alias("__n"), "features")
+    strategy = forest.getFeatureSubsetStrategy()
+    if strategy == "auto":
+        strategy = "onethird" if forest.getNumTrees() > 1 else "all"
+    alone = forest.copy().setNumTrees(1).setBootstrap(False).setSubsamplingRate(1.0).setFeatureSubsetStrategy(strategy)
+    return alone.setSeed(forest.getSeed() + tree).fit(own)
+
+
+def forest_of(trees: Sequence[R.RandomForestRegressionModel]) -> R.RandomForestRegressionModel:
+    """The forest of forests of one tree."""
+    spark = SparkSession.active()
+    kind = spark._jvm.org.apache.spark.ml.regression
+    array = spark.sparkContext._gateway.new_array(kind.DecisionTreeRegressionModel, len(trees))
+    for i, tree in enumerate(trees):
+        array[i] = tree._java_obj.trees()[0]
+    whole = kind.RandomForestRegressionModel(trees[0].uid, array, trees[0].numFeatures)
+    whole.set("numTrees", len(trees))  # what predictions are divided by
+    return R.RandomForestRegressionModel(whole)
+
+
 def class_values(df: DataFrame, target: str, limit: int = fv.MOST_CLASSES) -> list[float]:
     """The sorted distinct labels of a numeric target; refuses more than `limit`."""
     rows = rows_if_bounded(df.select(col(target).cast("double").alias("v")).distinct(), limit)
