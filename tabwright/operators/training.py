@@ -208,7 +208,8 @@ def compare_models(
     if data.rdd.getNumPartitions() < useful:
         data = data.repartition(useful, *[col(k) for k in keys])
     data = data.withColumn("__fold", fold_of(keys, folds)).select(col(target), "__fold", *[col(c) for c in features])
-    data = data.persist(StorageLevel.MEMORY_ONLY)  # read up to ten times; what does not fit is read anew
+    if rows >= CELL_ROWS:  # read up to ten times; on disk, as partitions may be larger than what memory has left
+        data = data.persist(StorageLevel.DISK_ONLY)
     try:
         results = _solved_folds(data, target, task, features, {m: e for m, e in models.items() if solved(e)}, folds, classes)
         results += _fitted_folds(data, target, task, features, {m: e for m, e in models.items() if not solved(e)}, folds, classes, parallelism, rows)
@@ -355,7 +356,7 @@ def fold_cells(
     edges = [np.unique(np.concatenate(c)) for c in zip(*cuts)]
     if prod(len(e) + 1 for e in edges) * folds >= 1 << 62:
         return {}
-    rows = coded(table, target, features, edges, folds).cache()
+    rows = coded(table, target, features, edges, folds).persist(StorageLevel.DISK_ONLY)
     kept, parts = [rows], {}
     sums = cell_sums(rows).cache()
     kept.append(sums)
