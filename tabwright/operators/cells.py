@@ -20,8 +20,7 @@ from ..functions.columns import col
 from ..functions.sizing import rows_if_bounded
 
 DRAWN_AT_ONCE = 5  # trees; the code for 20 of them is too long to be compiled (37 s in place of 4 x 1.3 s for 36 million rows)
-CANDIDATES = 32  # values for each bin that may become a cut of a feature with many values
-SAMPLE = 100_000  # rows that they are taken from
+CANDIDATES = 32  # values for each bin that may become a cut of a feature with many values, at equal steps in rank
 MOST_FEATURES = 60  # with two values each, codes of more do not fit a number
 
 
@@ -39,21 +38,18 @@ def fold_cuts(table: DataFrame, features: Sequence[str], folds: int, bins: int)
     rows = table.select(col("__fold").alias("fold"), *x)
     names = rows.columns[1:]
     holes = [F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) for c in names]
-    count, *holes = rows.agg(F.count("*"), *holes).first()
-    if any(holes):
+    count, *found = rows.agg(F.count("*"), *holes, *[F.approx_count_distinct(c) for c in names]).first()
+    if any(found[: len(names)]):
         return None
-    some = rows.select(*names).sample(min(1.0, SAMPLE / max(count, 1)), 42).limit(2 * SAMPLE).toArrow()  # any of them gives right counts
     cuts: dict[int, list[np.ndarray]] = {}  # feature -> cuts for each fold
-    grids: dict[int, np.ndarray] = {}
-    for i, c in enumerate(names):
-        seen = np.unique(some.column(c).to_numpy())
-        few = rows_if_bounded(rows.select(F.col(c).alias("v")).distinct(), bins) if len(seen) <= bins else None
+    for i, (c, seen) in enumerate(zip(names, found[len(names) :])):
+        few = rows_if_bounded(rows.select(F.col(c).alias("v")).distinct(), bins) if seen <= 2 * bins else None
         if few is not None:
             cuts[i] = [np.array(sorted(r["v"] for r in few)[1:])] * folds
-        elif len(seen) <= CANDIDATES * bins:
-            grids[i] = seen
-        else:
-            grids[i] = np.unique(np.quantile(some.column(c).to_numpy(), np.arange(CANDIDATES * bins) / (CANDIDATES * bins), method="lower"))
+    wide = [i for i in range(len(names)) if i not in cuts]
+    shares = F.lit([j / (CANDIDATES * bins) for j in range(CANDIDATES * bins)])
+    ranked = rows.agg(*[F.percentile_approx(names[i], shares, 10 * CANDIDATES * bins) for i in wide]).first() if wide else ()
+    grids = {i: np.unique(values) for i, values in zip(wide, ranked)}
     if grids:
         placed = Bucketizer(
             inputCols=[names[i] for i in grids], outputCols=[f"b{i}" for i in grids], splitsArray=[[float("-inf"), *g.tolist(), float("inf")] for g in grids.values()]
